@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import mixing
-from epochlens.llm.common import table
+from epochlens.llm import mixing, tokens
+from epochlens.llm.common import shared_dir, table
 
 
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +19,14 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_systematic_mix,)}
+    return {f.__name__: f for f in (op2_token_counts, op4_systematic_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
