@@ -9,10 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import mixing, tokens
+from epochlens.llm import mixing, neardup, tokens
 from epochlens.llm.common import shared_dir, table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.systematic_mix(docs)
@@ -26,7 +31,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_systematic_mix)}
+    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
