@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import mixing, neardup, tokens
+from epochlens.llm import decontaminate, mixing, neardup, tokens
 from epochlens.llm.common import shared_dir, table
 
 
@@ -30,9 +30,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix)}
+    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix, op8_contaminated)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": mixing.MIX_SQL}
+    return {"op4_systematic_mix": mixing.MIX_SQL, "op8_contaminated": decontaminate.DECONTAMINATE_SQL}
