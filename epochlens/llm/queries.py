@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import decontaminate, mixing, neardup, tokens
+from epochlens.llm import decontaminate, mixing, neardup, pii, tokens
 from epochlens.llm.common import shared_dir, table
 
 
@@ -35,8 +35,13 @@ def op8_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, key="surrogates-1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix, op8_contaminated)}
+    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix, op8_contaminated, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
