@@ -59,7 +59,7 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, item_copies, item_shingles, shared_shingles, containment): items whose 5-word shingles lie in a document to at least threshold.
+    """(id, mark, item, item_copies, item_shingles, shared_shingles, containment): items whose 5-word shingles lie in a document to at least threshold. mark is the xxhash64 of the text.
 
     Items are partitioned by size (powers of two of their distinct shingles). A partition fixes how many
     MinHash minima (the shingles of the smallest hashes) its items keep and how many of these a document must
@@ -68,8 +68,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     that can fit it by size. Candidates are verified on the texts of the shingles themselves.
 
     Items with the same shingles are one item, named by the smallest id, with their count. Items and documents of
-    fewer than five words, null and empty ones included, have no shingle and match nothing. Rows that repeat an id
-    give one result, with the largest containment. Empty tables give an empty result.
+    fewer than five words, null and empty ones included, have no shingle and match nothing. Rows that repeat both
+    id and text give one result. Empty tables give an empty result.
     """
     text = items[item_text_col]
     it = items.select(items[item_col].alias("item"), F.array_sort(F.array_distinct(shingle_texts(text))).alias("texts"), F.array_distinct(shingle_hashes(text)).alias("hashes")).where(F.size("texts") > 0)
@@ -90,11 +90,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     right = pairs.select(F.col("id").alias("c_id"), F.col("mark").alias("c_mark"), F.col("item"))
     found = d.join(if_small(right), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")))
-    found = found.select("id", "item", shingle_texts(F.col("text")).alias("mine")).join(if_small(it.select("item", "texts", "item_copies", "q")), "item")
-    found = found.select("id", "item", "item_copies", F.col("q").alias("item_shingles"), F.size(F.array_intersect("texts", "mine")).alias("shared_shingles"))
-    found = found.where(F.col("shared_shingles") >= F.col("item_shingles") * threshold - 1e-9)
-    best = found.groupBy("id", "item").agg(F.max(F.struct("shared_shingles", "item_shingles", "item_copies")).alias("x"))
-    return best.select("id", "item", "x.item_copies", "x.item_shingles", "x.shared_shingles", (F.col("x.shared_shingles") / F.col("x.item_shingles")).alias("containment"))
+    found = found.select("id", "mark", "item", shingle_texts(F.col("text")).alias("mine")).join(if_small(it.select("item", "texts", "item_copies", "q")), "item")
+    found = found.select("id", "mark", "item", "item_copies", F.col("q").alias("item_shingles"), F.size(F.array_intersect("texts", "mine")).alias("shared_shingles"))
+    found = found.where(F.col("shared_shingles") >= F.col("item_shingles") * threshold - 1e-9).distinct()
+    return found.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that hold no item; rows whose text is null or empty stay."""
+    found = contaminated(docs, items, id_col=id_col, text_col=text_col, **how)
+    found = cut(found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    marked = docs.withColumn("__m", F.xxhash64(docs[text_col].cast("string")))
+    return marked.join(if_small(found), marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left_anti").select(*docs.columns)
 
 
 DECONTAMINATE_SQL = r"""

@@ -106,14 +106,14 @@ def _sign(bands: int, rows: int):
         words = Words()
         done: dict[int, int] = {}
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             i = 0
             while i < len(texts):
                 sets, nodes, start, total = [], [], i, 0
                 while i < len(texts) and total < SHINGLES_AT_ONCE:
                     w = words.of(texts[i])
                     nodes.append(xxhash.xxh3_64_intdigest(w.tobytes()) if len(w) else None)
-                    fresh = len(w) > 0 and nodes[-1] not in done
+                    fresh = len(w) > 0 and nodes[-1] not in done  # a copy of a text of this task needs no signature of its own
                     if fresh:
                         done[nodes[-1]] = 1
                     sets.append(shingles(w) if fresh else w[:0])
@@ -135,7 +135,7 @@ def _sign(bands: int, rows: int):
                     for k, s, b in zip(new, sig, band_keys(sig, bands, rows), strict=True):
                         signed[k], keys[k] = s.tobytes(), b
                 node = pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in nodes], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, i - start), node, pa.array(keys, pa.list_(pa.int64())), pa.array(signed, pa.binary())], ["id", "node", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, i - start), batch.column("mark").slice(start, i - start), node, pa.array(keys, pa.list_(pa.int64())), pa.array(signed, pa.binary())], ["id", "mark", "node", "keys", "sig"])
 
     return run
 
@@ -199,7 +199,7 @@ def _residual(least: int):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id) for every row of docs.
+    """(id, mark, component, class_id) for every row of docs; mark is the xxhash64 of the text.
 
     Words are runs of \\w in the lower-cased text; weights are how often a 5-word shingle occurs. Texts with
     equal words are copies: one node. Nodes that share a band are candidates; pairs verified at probability
@@ -214,17 +214,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     an id have the class of their own text. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    signed = cut(src.mapInArrow(_sign(bands, rows), "id long, node long, keys array<long>, sig binary"), "signatures")
+    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = cut(src.mapInArrow(_sign(bands, rows), "id long, mark long, node long, keys array<long>, sig binary"), "signatures")
     nodes = cut(signed.where("sig is not null").select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     buckets = cut(buckets.join(shared, "key"), "buckets")
     members = buckets.select("node").distinct()
-    ids = signed.where("sig is not null").groupBy("node").agg(F.min("id").alias("id"))
-    holders = members.join(ids, "node").select("node", F.col("id").alias("holder")).hint("shuffle_hash")
-    digest = src.join(holders, F.col("id").eqNullSafe(F.col("holder"))).select("text", "node")
-    texts = cut(digest.mapInArrow(_own, "node long, text string").dropDuplicates(["node"]), "candidates")
+    ids = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("x")).select("node", "x.id", "x.mark")
+    holders = members.join(ids, "node").select("node", F.col("id").alias("h_id"), F.col("mark").alias("h_mark")).hint("shuffle_hash")
+    texts = src.join(holders, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark"))).select("node", "text")
+    texts = cut(texts.dropDuplicates(["node"]), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -258,17 +258,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         comps = cut(comps, "classes")
     named = ids.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    classes = cut(named.join(label, "component").select(F.col("node").alias("of"), "class_id"), "classes")
-    out = signed.select("id", "node").join(classes, F.col("node") == F.col("of"), "left")
-    return out.select("id", "node", F.coalesce("class_id", "id").alias("class_id"))
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is the one that the node stands for; an id may come with several texts."""
-    words = Words()
-    for batch in batches:
-        keep = []
-        for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
-            w = words.of(text)
-            keep.append(len(w) > 0 and xxhash.xxh3_64_intdigest(w.tobytes()) == node % (1 << 64))
-        yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep)), batch.column("text").filter(pa.array(keep))], ["node", "text"])
+    classes = cut(named.join(label, "component").select(F.col("node").alias("of"), "component", "class_id"), "classes")
+    out = signed.select("id", "mark", "node").join(classes, F.col("node") == F.col("of"), "left")
+    return out.select("id", "mark", "component", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that stay when each class keeps the text of its smallest id.
+
+    Documents without words all stay. Rows that repeat both id and text are one document and stay once.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("x")).select("x.id", "x.mark")
+    stays = first.union(found.where("component is null").select("id", "mark")).distinct()
+    stays = cut(stays.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), "stays")
+    marked = docs.withColumn("__m", F.xxhash64(docs[text_col].cast("string")))
+    kept = marked.join(stays.hint("shuffle_hash"), marked[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left_semi")
+    return kept.dropDuplicates([id_col, "__m"]).select(*docs.columns)
