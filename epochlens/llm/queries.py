@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import decontaminate, mixing, neardup, pii, tokens, toxicity
+from epochlens.llm import decontaminate, mixing, neardup, pii, tokens, toxicity, urls
 from epochlens.llm.common import crc_bucket, shared_dir, table
 
 
@@ -24,6 +24,15 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+#: The rules that op1's contract fixes: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, table(spark, sf_dir, "labels"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache)
@@ -48,7 +57,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_systematic_mix, op7_toxicity, op8_contaminated, op10_surrogates)}
+    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op7_toxicity, op8_contaminated, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
