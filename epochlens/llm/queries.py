@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import decontaminate, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
+from epochlens.llm import decontaminate, itq, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
 from epochlens.llm.common import crc_bucket, shared_dir, table
 
 
@@ -56,13 +56,17 @@ def op8_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "x.item_copies", "x.item_shingles", "x.shared_shingles", "x.containment")
 
 
+def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.embedding_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, key="surrogates-1")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op6_suffix_tree, op7_toxicity, op8_contaminated, op10_surrogates)}
+    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op6_suffix_tree, op7_toxicity, op8_contaminated, op9_embedding_links, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
