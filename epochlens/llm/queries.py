@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import decontaminate, itq, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
+from epochlens.llm import decontaminate, itq, langid, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
 from epochlens.llm.common import crc_bucket, shared_dir, table
 
 
@@ -39,6 +39,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict_languages(docs).withColumnRenamed("id", "doc_id")
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = suffixtree.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.withColumnRenamed("id", "doc_id")
@@ -66,7 +71,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op6_suffix_tree, op7_toxicity, op8_contaminated, op9_embedding_links, op10_surrogates)}
+    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op5_language, op6_suffix_tree, op7_toxicity, op8_contaminated, op9_embedding_links, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
