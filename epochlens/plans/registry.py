@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epochlens.plans import history_queries, search_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (*history_queries.QUERIES, *search_queries.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return history_queries.SQL | search_queries.SQL
