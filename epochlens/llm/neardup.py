@@ -175,25 +175,69 @@ def _verify(threshold: float):
     return run
 
 
-def _residual(least: int):
-    """Pairs across components in a tile of a bucket whose signatures agree in enough registers."""
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for t in whole_groups(batches, ["key", "tile"]):
+        key, tile = t.column("key").to_numpy(), t.column("tile").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+        for i, j in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            yield t.slice(i, j - i)
+
+
+def _across(t: pa.Table, rows: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a tile with the rows of other components that it is to be compared with: those whose signature
+    agrees in at least `least` registers, if the tile's band is the first that the two share."""
+    node, comp, side, band = (t.column(c).to_numpy() for c in ("node", "comp", "side", "band"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+    for k in range(t.num_rows):
+        other = np.flatnonzero((comp != comp[k]) & ((side > side[k]) if side.any() else (node > node[k])))
+        if len(other):
+            same = sig[other] == sig[k]
+            ok = same.sum(1) >= least
+            other, same = other[ok], same[ok]
+            yield k, other[same.reshape(len(other), sig.shape[1] // rows, rows).all(2).argmax(1) == band[k]]
+
+
+def _flagged(rows: int, least: int):
+    """The nodes of each tile that have something to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "tile"]):
-            key, tile = t.column("key").to_numpy(), t.column("tile").to_numpy()
-            node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-            out_a, out_b = [], []
-            for i, j in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-                for k in range(i, j):
-                    rest = np.arange(i, j)
-                    ok = (comp[rest] != comp[k]) & ((side[rest] > side[k]) if side[i:j].max() > 0 else (node[rest] > node[k]))
-                    rest = rest[ok]
-                    rest = rest[(sig[rest] == sig[k]).sum(1) >= least]
-                    out_a += [node[k]] * len(rest)
-                    out_b += node[rest].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        for t in _tiles(batches):
+            mark = np.zeros(t.num_rows, bool)
+            for k, other in _across(t, rows, least):
+                mark[other] = True
+                mark[k] |= len(other) > 0
+            yield from t.filter(pa.array(mark)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linked(rows: int, least: int, threshold: float):
+    """The links across components in each tile, verified on the texts. Overlaps come from an inverted index of the
+    tile's shingles; they give the similarity at once where no shingle is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for t in _tiles(batches):
+            n = t.num_rows
+            sets = [shingles(words.of(x)) for x in t.column("text").to_pylist()]
+            single = [np.unique(x) for x in sets]
+            sizes = np.array([len(x) for x in single])
+            plain = sizes == np.array([len(x) for x in sets])
+            every, ids = np.unique(np.concatenate(single), return_inverse=True)
+            holder = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+            starts = np.r_[0, np.bincount(ids, minlength=len(every)).cumsum()]
+            own = np.split(ids, sizes.cumsum()[:-1])
+            node = t.column("node").to_numpy()
+            a, b = [], []
+            for k, other in _across(t, rows, least):
+                if not len(other):
+                    continue
+                shared = np.bincount(np.concatenate([holder[starts[i] : starts[i + 1]] for i in own[k]]), minlength=n)[other]
+                alike = shared / (sizes[k] + sizes[other] - shared)
+                hit = [x for x, j in zip(other, alike, strict=True) if (j >= threshold if plain[k] and plain[x] else prob_jaccard(sets[k], sets[x]) >= threshold)]
+                a += [node[k]] * len(hit)
+                b += node[hit].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -206,9 +250,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     Jaccard >= threshold are links; a class is what links reach, named by its smallest id.
 
     In each bucket, every member is first compared with one member that a hash picks, a different one for
-    each band and round. Buckets whose members then still lie in more than one component are compared in
-    full across components, in tiles of bounded size, with pairs dropped only where the signatures rule the
-    threshold out. So no bucket is expanded into all its pairs, and no link between components is lost.
+    each band and round. Buckets whose members then still lie in more than one component are compared across
+    components inside tiles of bounded size, each pair in the first band that it shares, with pairs dropped
+    only where the signatures rule the threshold out; a tile puts out its links alone. So no bucket is expanded
+    into its pairs, and no link between components is lost.
 
     A null or empty text, or one without words, is like no other and forms its own class. Rows that repeat
     an id have the class of their own text. Empty tables give empty results.
@@ -217,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     signed = cut(src.mapInArrow(_sign(bands, rows), "id long, mark long, node long, keys array<long>, sig binary"), "signatures")
     nodes = cut(signed.where("sig is not null").select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
-    buckets = nodes.select("node", F.posexplode("keys").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
+    buckets = nodes.select("node", F.posexplode("keys").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     buckets = cut(buckets.join(shared, "key"), "buckets")
     members = buckets.select("node").distinct()
@@ -231,31 +276,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         both = pairs.join(b, "b").join(a, "a").repartition(width(spark), F.xxhash64("a", "b"))
         return cut(both.mapInArrow(_verify(threshold), "a long, b long"), "links")
 
-    links = spark.createDataFrame([], "a long, b long")
-    comps = None
-    pairs = None
-    for turn in range(leader_rounds + 1):
-        if turn == 0:
-            inside = buckets.withColumn("comp", F.col("node"))
-        else:
-            inside = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "node", "comp")
-        split = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))).alias("x")).where("lo <> hi")
-        if turn < leader_rounds:
-            found = inside.join(split.select("key", "x.leader", "x.leader_comp"), "key").where("comp <> leader_comp").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        else:
-            tiled = inside.join(split.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "key").join(nodes.select("node", "sig"), "node")
-            mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            tiled = tiled.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            tiled = tiled.select("key", "node", "comp", "sig", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-            found = tiled.repartition(width(spark), "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_residual(LEAST_AGREEING), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = found.distinct()
-        if pairs is not None:
-            found = found.join(pairs, ["a", "b"], "left_anti")
-        found = cut(found, "pairs")
-        pairs = found if pairs is None else pairs.union(found)
-        links = links.union(verified(found))
-        comps = components(links).withColumnRenamed("id", "node")
-        comps = cut(comps, "classes")
+    def split_buckets(turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets whose members lie in several, each with a leader."""
+        inside = buckets.withColumn("comp", F.col("node")) if comps is None else buckets.join(comps, "node", "left").select("node", "band", "key", F.coalesce("component", "node").alias("comp"))
+        leader = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))).alias("x")
+        return inside, inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), leader).where("lo <> hi")
+
+    links, comps, tried = None, None, None
+    for turn in range(leader_rounds):
+        inside, split = split_buckets(turn)
+        pairs = inside.join(split.select("key", "x.leader", "x.leader_comp"), "key").where("comp <> leader_comp").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = verified(pairs)
+        links = found if links is None else links.union(found)
+        comps = cut(components(links).withColumnRenamed("id", "node"), "classes")
+
+    inside, split = split_buckets(leader_rounds)
+    tiled = inside.join(split.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "key").join(nodes.select("node", "sig"), "node")
+    tiled = tiled.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    tiled = tiled.select("key", tile.alias("tile"), "band", "node", "comp", (F.col("mine") > F.col("other")).cast("int").alias("side"), "sig")
+    in_tiles = lambda df: df.repartition(width(spark), "key", "tile").sortWithinPartitions("key", "tile")
+    flagged = cut(in_tiles(tiled).mapInArrow(_flagged(rows, LEAST_AGREEING), tiled.schema), "flagged")
+    rest = in_tiles(flagged.join(texts, "node").select(*flagged.columns, "text")).mapInArrow(_linked(rows, LEAST_AGREEING, threshold), "a long, b long")
+    comps = cut(components(links.union(cut(rest, "links"))).withColumnRenamed("id", "node"), "classes")
     named = ids.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("id").alias("class_id"))
     classes = cut(named.join(label, "component").select(F.col("node").alias("of"), "component", "class_id"), "classes")
