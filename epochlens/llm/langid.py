@@ -161,6 +161,8 @@ class LanguageModel:
         self.sums = np.concatenate(new)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         found = [pieces(x) for x in texts]
         every = set().union(*found)
         if len(self.place) + len(every) > WORDS_KEPT:
@@ -169,7 +171,7 @@ class LanguageModel:
             self.learn(sorted(missing))
         names, scores, k = [], [], len(self.languages)
         for words in found:
-            if not words or not k:
+            if not words:
                 names.append("und")
                 scores.append(0.0)
                 continue
