@@ -22,6 +22,8 @@ def bin_weights(objects: DataFrame, size: int = 10, id_col: str = "artwork_id",
     d = objects.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
     first, last = bin_start(F.col(start), size), bin_start(F.col(end), size)
     d = d.select(id_col, *keep, F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode(F.sequence(first, last, F.lit(size))).alias("bin_start"))
+    if size == 1:
+        d = d.where("bin_start <> 0")
     d = d.withColumn("bin_end", bin_end(F.col("bin_start"), size))
     over = years_between(F.greatest("__s", "bin_start"), F.least("__e", "bin_end"))
     d = d.withColumn("__n", over).where("__n > 0")
