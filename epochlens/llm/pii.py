@@ -28,12 +28,29 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 
 
+def _names(given: dict[str, list[str]]) -> str:
+    return "|".join(y for g in given.values() for x in g for y in (x, x.upper()))
+
+
+def _titles() -> str:
+    return "|".join(x for t in TITLES.values() for x in t)
+
+
+#: What every text with an entity other than a name has; quicker to look for than the entities.
+HINT = r"@|[0-9][0-9 ().-]{6}|[A-Z][0-9]{2}|[=:] ?[\"']?[A-Za-z0-9+/_-]{16}|[0-9a-fA-F]{32}"
+
+
+def may_hold_entity(text: Column, given: dict[str, list[str]]) -> Column:
+    """False only for texts that entity_pattern can't match, and cheap where it is False."""
+    called = rf"(?=[\p{{Lu}}г])(?<![\p{{L}}\p{{N}}])(?:{_titles()}|{_names(given)})[.]?[ ]\p{{Lu}}"
+    return text.rlike(HINT) | text.rlike(called)
+
+
 def patterns(given: dict[str, list[str]]) -> dict[str, str]:
     """Patterns by type. Each word of a name is an entity of its own, so that a surname alone keeps its surrogate."""
-    names = "|".join(x for g in given.values() for x in g)
-    titles = "|".join(x for t in TITLES.values() for x in t)
-    first = rf"(?<![\p{{L}}\p{{N}}])(?i:{names})(?=[ ]\p{{Lu}})|(?<=(?<![\p{{L}}\p{{N}}])(?:{titles})[.]?[ ])(?:{names})(?![\p{{L}}\p{{N}}])"
-    last = rf"(?<=(?<![\p{{L}}\p{{N}}])(?i:{names})[ ]){_NAME}|(?<=(?<![\p{{L}}\p{{N}}])(?:{titles})[.]?[ ]){_NAME}"
+    names, titles = _names(given), _titles()
+    first = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{names})(?=[ ]\p{{Lu}})|(?=\p{{Lu}})(?<=(?<![\p{{L}}\p{{N}}])(?:{titles})[.]?[ ])(?:{names})(?![\p{{L}}\p{{N}}])"
+    last = rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}\p{{N}}])(?:{names})[ ]){_NAME}|(?=\p{{Lu}})(?<=(?<![\p{{L}}\p{{N}}])(?:{titles})[.]?[ ]){_NAME}"
     return {"email": EMAIL, "ip": IP, "iban": IBAN, "secret": SECRET, "card": CARD, "ssn": SSN, "phone": PHONE, "given": first, "surname": last}
 
 
@@ -189,8 +206,9 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     pattern = entity_pattern(given)
     docs = docs.drop("pii_entities")
     cols = docs.columns
-    clean = docs.where(F.coalesce(~docs[text_col].rlike(pattern), F.lit(True))).withColumn("pii_entities", F.lit(0))
-    hit = docs.where(docs[text_col].rlike(pattern)).select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("t"))
+    found = may_hold_entity(docs[text_col], given) & docs[text_col].rlike(pattern)
+    clean = docs.where(F.coalesce(~found, F.lit(True))).withColumn("pii_entities", F.lit(0))
+    hit = docs.where(found).select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("t"))
     hit = cut(hit.select("row", "id", "mark", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("found"), F.split("t", pattern, -1).alias("gaps")), "pii-rows")
     mentions = hit.select("id", "mark", F.posexplode("found").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"), given)).withColumn("name", canonical(F.col("surface"), F.col("kind")))
     made = distinct_surrogates(mentions.select("kind", "name").distinct(), key)
