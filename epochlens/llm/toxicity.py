@@ -18,7 +18,7 @@ from epochlens.llm.common import crc_bucket, cut
 TOKEN = re.compile(r"\w+")
 #: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id.
 EXAMPLES = 3000
-#: A term counts if it is in at least so many examples and its log odds between the labels differ from 0 by so many standard errors.
+#: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
 LEAST_DF, LEAST_Z = 5, 4.0
 NEIGHBOURS, BLOCK = 15, 64
 
@@ -160,8 +160,8 @@ def _frequencies(vocabulary: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from at most `examples` labelled rows of each label whose crc32(id) modulo held_out[0] isn't held_out[1].
 
-    The sample is weighted back to the share of each label. Its terms are tested for a difference in log odds
-    between the labels; those that pass are the vocabulary. Their document frequencies cover all documents.
+    The sample is weighted back to the share of each label. Its terms are tested for independence of the
+    label; those that fail are the vocabulary. Their document frequencies cover all documents.
     """
     n, rest = held_out
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.round(F.avg("toxic")).cast("int").alias("toxic"))
@@ -177,9 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1),
     weights = (totals[0] / neg, totals[1] / pos)
     terms = sample.select("toxic", "text").mapInArrow(_document_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
     terms = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    z = (F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))) / F.sqrt(1 / a + 1 / (pos + 1 - a) + 1 / b + 1 / (neg + 1 - b))
-    vocabulary = sorted(r["term"] for r in terms.where(F.abs(z) >= LEAST_Z).select("term").collect())
+    # the likelihood ratio of label and term being independent, which holds for empty cells too
+    share = pos / (pos + neg)
+    with_term, without = F.col("a") + F.col("b"), F.lit(pos + neg) - F.col("a") - F.col("b")
+    cells = [(F.col("a"), with_term * share), (F.col("b"), with_term * (1 - share)), (F.lit(pos) - F.col("a"), without * share), (F.lit(neg) - F.col("b"), without * (1 - share))]
+    ratio = sum((F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    vocabulary = sorted(r["term"] for r in terms.where(ratio >= LEAST_Z**2).select("term").collect())
     seen = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(len(vocabulary))]))) + 1
     own = sample.mapInArrow(_document_counts(vocabulary), "id long, toxic int, terms array<int>, counts array<int>").collect()
