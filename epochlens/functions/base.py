@@ -1,13 +1,29 @@
-"""Small column helpers."""
+"""Small helpers for columns and frames."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row however often use names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ranged_ranks(df: DataFrame, order: list, within: list[str], name: str) -> DataFrame:
+    """df with the 1-based rank of each row in an order, or in the order of its group within.
+
+    Rows are dealt into ranges and kept, ranges are counted, and a row's rank is its place in its range plus the
+    counts before; so no task ranks more than its range. Kept rows are read twice, with the same ranges.
+    """
+    parts = df.repartitionByRange(*within, *order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    counts = parts.groupBy("__p", *within).agg(F.count("*").alias("__c"))
+    earlier = W.partitionBy(*within).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("__p", *within, F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(W.partitionBy("__p", *within).orderBy(*order))
+    return parts.withColumn("__n", nth).join(before, ["__p", *within]).withColumn(name, F.col("__before") + F.col("__n")).drop("__p", "__n", "__before")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import ranged_ranks
+
+#: A query set of this size is a few tens of MB at most.
+MOST_QUERIES = 4000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -64,7 +69,9 @@ def mean_vectors(vectors: DataFrame, key: str, vector_col: str = "embedding") ->
 def scored_pairs(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score) of every query with every row: a stated query set against the corpus.
 
-    queries has (query_id, embedding) and is broadcast; callers pass at most a few thousand."""
+    queries has (query_id, embedding); it is counted and broadcast, and more than MOST_QUERIES are refused."""
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"pass at most {MOST_QUERIES} queries at once")
     q = F.broadcast(queries.select("query_id", F.col("embedding").alias("__q")))
     return corpus.select(F.col(id_col).alias("id"), F.col("embedding").alias("__v")).crossJoin(q).select("query_id", "id", dot(F.col("__q"), F.col("__v")).alias("score"))
 
@@ -73,15 +80,19 @@ def retrieval_size(n: int, share: float) -> int:
     return max(1, math.ceil(share * n))
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, share: float = 0.01, id_col: str = "vec_id") -> DataFrame:
+def exact_topk(queries: DataFrame, corpus: DataFrame, share: float = 0.01, id_col: str = "vec_id", group_limit: int = 1000) -> DataFrame:
     """(query_id, id, score, rank, k): the best ceil(share * rows of corpus) of each query, ties by id.
 
-    Filter corpus before: the size follows the rows that are eligible. Ranks are cut inside each task before
-    the shuffle where the size is below Spark's window group limit.
+    Filter corpus before: the size follows the rows that are eligible. Up to group_limit ranks, Spark cuts each
+    task's rows before the shuffle; beyond, rows are ranked by ranges, so no task holds a query's rows.
     """
     k = retrieval_size(corpus.count(), share)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored_pairs(queries, corpus, id_col).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("k", F.lit(k))
+    scores = scored_pairs(queries, corpus, id_col)
+    if k <= group_limit:
+        ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    else:
+        ranked = ranged_ranks(scores, [F.desc("score"), F.col("id")], ["query_id"], "rank").select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    return ranked.where(F.col("rank") <= k).withColumn("k", F.lit(k))
 
 
 def score_thresholds(hits: DataFrame) -> DataFrame:

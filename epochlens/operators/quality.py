@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import ranged_ranks
+
 
 def coverage(df: DataFrame, dimensions: list[str], dated: str = "date_start", public: str = "public_domain", image: str = "image_available") -> DataFrame:
     """(dimension, value, row_count, dated_count, public_domain_count, image_count), one pass over the rows.
@@ -68,12 +70,8 @@ def with_images(corpus: DataFrame, images: DataFrame, key: str = "artwork_id") -
 
 
 def dense_offsets(df: DataFrame, key: str = "artwork_id", name: str = "embedding_offset") -> DataFrame:
-    """df with the 0-based rank of key. Ranges are counted first, so no task ranks more than its own range."""
-    parts = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    before = counts.select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(W.partitionBy("__p").orderBy(key))
-    return parts.withColumn("__n", nth).join(F.broadcast(before), "__p").withColumn(name, (F.col("before") + F.col("__n") - 1).cast("long")).drop("__p", "__n", "before")
+    """df with the 0-based rank of key."""
+    return ranged_ranks(df, [F.col(key)], [], name).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:

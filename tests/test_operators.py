@@ -76,6 +76,19 @@ def test_topk_ties_and_filter_first(spark):
     assert sorted(r["id"] for r in vectors.exact_topk(q, v.where("label = 0"), 0.3).collect()) == [0, 2]
 
 
+def test_topk_by_ranges_equals_window(spark):
+    v = spark.range(500, numPartitions=6).select(F.col("id").alias("vec_id"), F.array((F.col("id") * 7 % 50).cast("double"), F.lit(1.0)).alias("embedding"))
+    q = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [-1.0, 0.5])], "query_id string, embedding array<double>")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score", "k").collect()))
+    assert rows(vectors.exact_topk(q, v, 0.1, group_limit=1)) == rows(vectors.exact_topk(q, v, 0.1))
+
+
+def test_dense_offsets(spark):
+    d = spark.range(400, numPartitions=5).select(F.sha2(F.col("id").cast("string"), 256).alias("artwork_id"))
+    got = sorted((r["artwork_id"], r["embedding_offset"]) for r in quality.dense_offsets(d).collect())
+    assert [k for _, k in got] == list(range(400))
+
+
 def test_vectors(spark):
     d = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<double>")
     assert [r[0] for r in d.select(vectors.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], None]
