@@ -20,7 +20,11 @@ TOKEN = re.compile(r"\w+")
 EXAMPLES = 3000
 #: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
 LEAST_DF, LEAST_Z = 5, 4.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
+#: Rows of the usual share of label 1 that texts without a term of the vocabulary are smoothed with.
+PRIOR_ROWS = 10
+#: Scores of vectors that a task keeps.
+SCORES_KEPT = 100_000
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -30,8 +34,8 @@ def terms_of(text: str | None) -> list[str]:
 class BlockMaxIndex:
     """Postings of unit vectors by term, in blocks of BLOCK examples with the largest weight of each.
 
-    nearest() gives the exact NEIGHBOURS best by cosine: the sum of a block's largest weights bounds all its
-    examples, and blocks are scored from the highest bound down until none can hold a better one.
+    nearest() gives the exact k best by cosine: the sum of a block's largest weights bounds all its examples. The
+    blocks of the highest bounds are scored first; of the others only those whose bound reaches the k-th score found.
     """
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
@@ -49,25 +53,39 @@ class BlockMaxIndex:
         for t in range(n_terms):
             np.maximum.at(self.block_max[t], self.ids[t] // BLOCK, self.weights[t])
 
+    @staticmethod
+    def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k highest scores, ties to the smaller id."""
+        if len(ids) > k:
+            keep = scores >= np.partition(scores, len(ids) - k)[len(ids) - k]
+            ids, scores = ids[keep], scores[keep]
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
     def nearest(self, query: dict[int, float], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         terms = list(query)
         bounds = sum(query[t] * self.block_max[t] for t in terms)
-        order = np.argsort(-bounds, kind="stable")
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[k - 1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t in terms:
+        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
+        scores = np.zeros(self.n_blocks * BLOCK)
+        for t in terms:
+            for b in first:
                 lo, hi = self.offsets[t][b], self.offsets[t][b + 1]
-                if hi > lo:
-                    scores[self.ids[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
-            found = np.flatnonzero(scores > 0) + b * BLOCK
-            found = found[found != leave_out]
-            ids, s = np.r_[best_ids, found], np.r_[best, scores[found - b * BLOCK]]
-            keep = np.lexsort((ids, -s))[:k]
-            best_ids, best = ids[keep], s[keep]
-        return best_ids, best
+                scores[self.ids[t][lo:hi]] += query[t] * self.weights[t][lo:hi]
+        if leave_out >= 0:
+            scores[leave_out] = 0
+        found = np.flatnonzero(scores)
+        ids, got = self.best(found, scores[found], k)
+        rest = bounds >= got[k - 1] - 1e-12 if len(got) == k else bounds > 0
+        rest[first] = False
+        if rest.any():
+            scores = np.zeros(self.n_blocks * BLOCK)
+            for t in terms:
+                scores[self.ids[t]] += query[t] * self.weights[t]
+            if leave_out >= 0:
+                scores[leave_out] = 0
+            found = np.flatnonzero(scores * np.repeat(rest, BLOCK))
+            ids, got = self.best(np.r_[ids, found], np.r_[got, scores[found]], k)
+        return ids, got
 
 
 class ToxicityModel:
@@ -75,6 +93,7 @@ class ToxicityModel:
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], weights: tuple[float, float]):
         self.terms = {t: i for i, t in enumerate(vocabulary)}
+        self.kept: dict[frozenset, tuple[float, list[int]]] = {}
         self.idf = idf
         vectors = [(self.unit(dict(zip(ts, ns, strict=True))), y, i) for i, ts, ns, y in examples]
         some = sorted(((v, y, i) for v, y, i in vectors if v), key=lambda x: (max(x[0], key=lambda t: (x[0][t], t)), x[2] if x[2] is not None else -1))
@@ -86,7 +105,7 @@ class ToxicityModel:
         self.prior = sum(weights[1] for _, y, _ in vectors if y) / total if total else 0.0
         none = [weights[y] for v, y, _ in vectors if not v]
         # no term speaks for either label: the share among the examples of that kind
-        self.empty = (sum(weights[1] for v, y, _ in vectors if not v and y) + self.prior) / (sum(none) + 1) if total else 0.0
+        self.empty = (sum(weights[1] for v, y, _ in vectors if not v and y) + PRIOR_ROWS * self.prior) / (sum(none) + PRIOR_ROWS) if total else 0.0
         votes = np.array([self.votes(v, i)[0] for i, (v, _, _) in enumerate(some)])
         self.steps, self.levels = self.isotonic(votes, self.labels, self.row_weight)
 
@@ -112,16 +131,23 @@ class ToxicityModel:
                 pools[-1][2] += b
         return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+    def score(self, text: str | None) -> tuple[float, list[int]]:
         counts = Counter(t for t in map(self.terms.get, terms_of(text)) if t is not None)
-        vector = self.unit(counts)
+        key = frozenset(counts.items())
+        if key not in self.kept:
+            if len(self.kept) >= SCORES_KEPT:
+                self.kept.clear()
+            self.kept[key] = self.score_vector(self.unit(counts))
+        return self.kept[key]
+
+    def score_vector(self, vector: dict[int, float]) -> tuple[float, list[int]]:
         if not vector or not len(self.labels):
-            return self.empty, [], []
+            return self.empty, []
         vote, ids = self.votes(vector)
         if not len(ids):
-            return self.empty, [], []
+            return self.empty, []
         at = max(0, int(np.searchsorted(self.steps, vote, side="right")) - 1)
-        return float(min(1.0, max(0.0, self.levels[at]))), [self.names[i] for i in ids[:5]], [float(vote)]
+        return float(min(1.0, max(0.0, self.levels[at]))), [self.names[i] for i in ids[:5]]
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
