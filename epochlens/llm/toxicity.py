@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.llm.common import crc_bucket, cut
+from epochlens.llm.neardup import M1, Words, mixed, shingles
 
 TOKEN = re.compile(r"\w+")
 #: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id.
@@ -21,6 +22,8 @@ EXAMPLES = 3000
 #: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
 LEAST_DF, LEAST_Z = 5, 4.0
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
+#: MinHashes by which near copies among the examples are told.
+COPY_KEYS = 3
 #: Rows of the usual share of label 1 that texts without a term of the vocabulary are smoothed with.
 PRIOR_ROWS = 10
 #: Scores of vectors that a task keeps.
@@ -168,6 +171,19 @@ def _document_counts(vocabulary: list[str]):
     return run
 
 
+def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COPY_KEYS MinHashes of each row's 5-word shingles; near copies share most of them."""
+    words = Words()
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            s = shingles(words.of(text))
+            with np.errstate(over="ignore"):
+                rows.append([int(mixed(s + np.uint64(k) * M1).min().view(np.int64)) if len(s) else k for k in range(COPY_KEYS)])
+        keys = [pa.array([r[k] for r in rows], pa.int64()) for k in range(COPY_KEYS)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, *[f"copy{k}" for k in range(COPY_KEYS)]])
+
+
 def _frequencies(vocabulary: list[str]):
     """Of how many rows of a partition each term of the vocabulary is part; -1 stands for the rows."""
     known = {t: i for i, t in enumerate(vocabulary)}
@@ -186,7 +202,8 @@ def _frequencies(vocabulary: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from at most `examples` labelled rows of each label whose crc32(id) modulo held_out[0] isn't held_out[1].
 
-    The sample is weighted back to the share of each label. Its terms are tested for independence of the
+    Near copies among them count once, else all words of a much copied text would speak for its label. The sample
+    is weighted back to the share of each label. Its terms are tested for independence of the
     label; those that fail are the vocabulary. Their document frequencies cover all documents.
     """
     n, rest = held_out
@@ -195,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1),
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = known.withColumn("nth", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit(3)), "id"))).where(F.col("nth") <= examples).select(F.col("id").alias("l_id"), "toxic")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    sample = cut(rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "toxic", "text").dropDuplicates(["text", "toxic"]), "examples")
+    sample = cut(rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "toxic", "text").mapInArrow(_least_shingles, "id long, toxic int, text string, " + ", ".join(f"copy{k} long" for k in range(COPY_KEYS))), "labelled")
+    for k in range(COPY_KEYS):
+        sample = sample.dropDuplicates(["toxic", f"copy{k}"])
+    sample = cut(sample.select("id", "toxic", "text"), "examples")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
