@@ -18,9 +18,9 @@ from epochlens.llm.neardup import M1, Words, mixed, shingles
 
 TOKEN = re.compile(r"\w+")
 #: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id.
-EXAMPLES = 3000
+EXAMPLES = 1500
 #: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
-LEAST_DF, LEAST_Z = 5, 4.0
+LEAST_DF, LEAST_Z = 5, 5.0
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
 #: MinHashes by which near copies among the examples are told.
 COPY_KEYS = 3
