@@ -18,9 +18,9 @@ from epochlens.llm.neardup import M1, Words, mixed, shingles
 
 TOKEN = re.compile(r"\w+")
 #: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id.
-EXAMPLES = 1500
+EXAMPLES = 3000
 #: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
-LEAST_DF, LEAST_Z = 5, 5.0
+LEAST_DF, LEAST_Z = 5, 4.0
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
 #: MinHashes by which near copies among the examples are told.
 COPY_KEYS = 3
@@ -35,26 +35,25 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of BLOCK examples with the largest weight of each.
+    """Weights of unit vectors by block of BLOCK examples and term, with the largest of each.
 
-    nearest() gives the exact k best by cosine: the sum of a block's largest weights bounds all its examples. The
-    blocks of the highest bounds are scored first; of the others only those whose bound reaches the k-th score found.
+    nearest() gives the exact k best by cosine: the sum of a block's largest weights bounds all its examples. Blocks
+    are scored by falling bound, FIRST_BLOCKS at a time, until the next bound is below the k-th score found.
     """
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
         self.n = len(rows)
         self.n_blocks = -(-max(self.n, 1) // BLOCK)
-        by_term: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
+        pairs = sorted({(i // BLOCK, t) for i, row in enumerate(rows) for t in row})
+        #: Where a block's weights of a term are; 0 is a row of zeros, for terms that the block hasn't.
+        self.place = np.zeros((self.n_blocks, n_terms), np.int32)
+        for at, (b, t) in enumerate(pairs, 1):
+            self.place[b, t] = at
+        self.weights = np.zeros((len(pairs) + 1, BLOCK))
         for i, row in enumerate(rows):
             for t, w in row.items():
-                by_term[t][0].append(i)
-                by_term[t][1].append(w)
-        self.ids = [np.array(i, np.int32) for i, _ in by_term]
-        self.weights = [np.array(w, np.float64) for _, w in by_term]
-        self.offsets = [np.searchsorted(i // BLOCK, np.arange(self.n_blocks + 1)) for i in self.ids]
-        self.block_max = np.zeros((n_terms, self.n_blocks))
-        for t in range(n_terms):
-            np.maximum.at(self.block_max[t], self.ids[t] // BLOCK, self.weights[t])
+                self.weights[self.place[i // BLOCK, t], i % BLOCK] = w
+        self.block_max = np.ascontiguousarray(self.weights.max(axis=1)[self.place].T)
 
     @staticmethod
     def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,28 +65,20 @@ class BlockMaxIndex:
         return ids[order], scores[order]
 
     def nearest(self, query: dict[int, float], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        terms = list(query)
-        bounds = sum(query[t] * self.block_max[t] for t in terms)
-        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
-        scores = np.zeros(self.n_blocks * BLOCK)
-        for t in terms:
-            for b in first:
-                lo, hi = self.offsets[t][b], self.offsets[t][b + 1]
-                scores[self.ids[t][lo:hi]] += query[t] * self.weights[t][lo:hi]
-        if leave_out >= 0:
-            scores[leave_out] = 0
-        found = np.flatnonzero(scores)
-        ids, got = self.best(found, scores[found], k)
-        rest = bounds >= got[k - 1] - 1e-12 if len(got) == k else bounds > 0
-        rest[first] = False
-        if rest.any():
-            scores = np.zeros(self.n_blocks * BLOCK)
-            for t in terms:
-                scores[self.ids[t]] += query[t] * self.weights[t]
-            if leave_out >= 0:
-                scores[leave_out] = 0
-            found = np.flatnonzero(scores * np.repeat(rest, BLOCK))
-            ids, got = self.best(np.r_[ids, found], np.r_[got, scores[found]], k)
+        terms, by = np.array(list(query), np.int64), np.array(list(query.values()))
+        bounds = by @ self.block_max[terms]
+        order = np.argsort(-bounds, kind="stable")
+        ids, got = np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(order), FIRST_BLOCKS):
+            blocks = order[at : at + FIRST_BLOCKS]
+            blocks = blocks[bounds[blocks] >= got[k - 1] - 1e-12] if len(got) == k else blocks[bounds[blocks] > 0]
+            if not len(blocks):
+                break
+            # summed term by term, so that equal examples have equal scores
+            scores = (by[:, None] * self.weights[self.place[blocks[:, None], terms]]).sum(axis=1).ravel()
+            of = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = (scores > 0) & (of != leave_out)
+            ids, got = self.best(np.r_[ids, of[found]], np.r_[got, scores[found]], k)
         return ids, got
 
 
