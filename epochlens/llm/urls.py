@@ -10,7 +10,9 @@ from epochlens.llm.common import cut
 
 #: Path segments that have a node of their own; what is deeper is one more segment.
 DEPTH = 6
-#: A node with more children than this is variable, and so is one whose children are mostly seen once.
+#: A node with more children than this is variable, and so is one whose children are mostly seen once. Its children
+#: are a wildcard but for those with evidence of their own: as many labels as a template's prior weighs, or as many
+#: pages as the root of the node's (and FEW_CHILDREN at least).
 MOST_CHILDREN, FEW_CHILDREN = 20, 5
 #: Siblings whose label shares and leaf shares differ by fewer standard errors are one branch.
 ALIKE_Z = 1.64
@@ -54,9 +56,10 @@ def z_test(a: Column, n: Column, b: Column, m: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """(host, typed, template) for distinct (host, typed) with counts n, bad and labelled.
 
-    Level by level below each prefix: many or mostly single children become a wildcard; of the others, at most
-    MOST_CHILDREN, those next to each other by label share merge unless a test of their label shares or of how
-    often the path ends there tells them apart. Levels are written, so a lost executor repeats one at most.
+    Level by level below each prefix: where children are many or mostly single, each one with enough labels or pages
+    is a branch and the sparse rest becomes a wildcard. Elsewhere, among at most MOST_CHILDREN, those next to each
+    other by label share merge unless a test of their label shares or of how often the path ends there tells them
+    apart. Levels are written, so a lost executor repeats one at most.
     """
     segments = F.split(F.regexp_replace("typed", "^/", ""), "/")
     deep = F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.array_join(F.slice(segments, DEPTH + 1, 1_000_000), "/")))).otherwise(segments)
@@ -69,8 +72,9 @@ def templates(paths: DataFrame) -> DataFrame:
         child = live.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum(ends).alias("ends"))
         child = cut(child, "url-children")
         node = child.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("all")).withColumn("variable", (F.col("k") > MOST_CHILDREN) | (F.col("k") >= FEW_CHILDREN) & (F.col("k") * 2 > F.col("all")))
-        child = child.join(node.select("host", "template", "variable"), ["host", "template"])
-        wild = child.where("variable").select("host", "template", "seg", F.lit("*").alias("name"))
+        child = child.join(node.select("host", "template", "all", "variable"), ["host", "template"])
+        own = (F.col("labelled") >= PRIOR_WEIGHT) | (F.col("n") >= F.greatest(F.sqrt("all"), F.lit(FEW_CHILDREN)))
+        wild = child.where("variable").select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("name"))
         share = (F.col("bad") + 0.5) / (F.col("labelled") + 1)
         order = W.partitionBy("host", "template").orderBy(share, "seg")
         before = lambda c: F.lag(c).over(order)

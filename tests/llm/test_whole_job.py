@@ -1,6 +1,7 @@
 """Cases in which an operator did less than its whole job."""
 
 from epochlens.llm import queries as Q
+from epochlens.llm import urls
 
 
 def test_op7_has_a_vector_for_nearly_all_toxic_texts(spark):
@@ -8,3 +9,18 @@ def test_op7_has_a_vector_for_nearly_all_toxic_texts(spark):
     held = Q.op7_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), "doc_id")
     got = held.selectExpr("count(*) n", "sum(predicted) hit", "sum(cast(size(evidence) = 0 as int)) none").first()
     assert got["n"] == 144 and got["hit"] >= 123 and got["none"] <= 12
+
+
+def test_op1_keeps_populated_sections_among_many(spark):
+    pages, labels = [], []
+    for i in range(3000):
+        part = i % 30
+        pages.append((i, f"https://h.org/section-{chr(97 + part % 26)}{chr(97 + part // 26)}/{i}"))
+        labels.append((i, 0 if part == 7 else 1, 0))
+    # a section without labels stands by its pages, single ones are a wildcard
+    pages += [(3000 + i, f"https://h.org/unlabelled/{i}") for i in range(100)] + [(4000 + i, f"https://h.org/once-{chr(97 + i)}/{i}") for i in range(26)]
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).collect()
+    blocked = {r["id"] for r in got if r["verdict"] == "block"}
+    assert blocked == {i for i in range(3000) if i % 30 == 7}
+    found = {r["template"] for r in got}
+    assert {"/section-ha/<n>", "/section-aa/<n>", "/unlabelled/<n>", "/*/<n>"} <= found and len(found) == 32
