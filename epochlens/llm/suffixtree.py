@@ -15,14 +15,14 @@ from epochlens.llm.common import crc_bucket, cut
 #: A word is a run of bytes other than space and \t \n \v \f \r, which is what bytes.split() takes; bytes.lower() maps A-Z alone.
 END = b"\n"
 #: Contexts occur at least once in 1 / CONTEXT_SHARE training tokens, so there are at most 1 / CONTEXT_SHARE of each length.
-CONTEXT_SHARE = 1e-4
+CONTEXT_SHARE = 5e-5
 #: A context keeps next symbols of at least this share of its own occurrences, so at most 1 / NEXT_SHARE of them.
 NEXT_SHARE = 0.01
 #: It is retained if for one of these the probability differs by this factor from that of the shorter context.
 RATIO = 1.5
 #: Pseudo-counts drawn from the shorter context.
 SMOOTHING = 5.0
-#: Words of at least this share of all tokens, so at most a million, go to every task; the counts of the others are
+#: Words of at least this share of all tokens, so at most two million, go to every task; the counts of the others are
 #: joined. A next symbol that a context keeps is always one of them.
 COMMON_SHARE = CONTEXT_SHARE * NEXT_SHARE
 FLUSH = 400_000

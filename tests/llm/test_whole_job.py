@@ -1,7 +1,10 @@
 """Cases in which an operator did less than its whole job."""
 
+import random
+import zlib
+
 from epochlens.llm import queries as Q
-from epochlens.llm import urls
+from epochlens.llm import suffixtree, urls
 
 
 def test_op7_has_a_vector_for_nearly_all_toxic_texts(spark):
@@ -24,3 +27,14 @@ def test_op1_keeps_populated_sections_among_many(spark):
     assert blocked == {i for i in range(3000) if i % 30 == 7}
     found = {r["template"] for r in got}
     assert {"/section-ha/<n>", "/section-aa/<n>", "/unlabelled/<n>", "/*/<n>"} <= found and len(found) == 32
+
+
+def test_op6_keeps_contexts_of_a_fifteen_thousandth(spark):
+    rng = random.Random(8)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(1000))) for i in range(200)]
+    some = [i for i, _ in rows if not held(i)][:14]
+    rows = [(i, t + " zeta omega" if i in some else t) for i, t in rows]
+    new = next(i for i in range(1000, 2000) if held(i))
+    r = suffixtree.score_documents(spark.createDataFrame([*rows, (new, "w1 zeta omega w2")], "doc_id long, text string")).where(f"id = {new}").first()
+    assert 10_000 < r["train_tokens"] / 14 < 20_000 and r["score"] - r["base_score"] > 1
