@@ -37,7 +37,7 @@ def _titles() -> str:
 
 
 #: What every text with an entity other than a name has; quicker to look for than the entities.
-HINT = r"@|[0-9][0-9 ().-]{6}|[A-Z][0-9]{2}|[=:] ?[\"']?[A-Za-z0-9+/_-]{16}|[0-9a-fA-F]{32}"
+HINT = r"@|\+[0-9]|[0-9][0-9 ().-]{6}|[A-Z][0-9]{2}|[=:] ?[\"']?[A-Za-z0-9+/_-]{16}|[0-9a-fA-F]{32}"
 
 
 def may_hold_entity(text: Column, given: dict[str, list[str]]) -> Column:

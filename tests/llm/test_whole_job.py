@@ -1,10 +1,11 @@
 """Cases in which an operator did less than its whole job."""
 
 import random
+import re
 import zlib
 
 from epochlens.llm import queries as Q
-from epochlens.llm import suffixtree, urls
+from epochlens.llm import pii, suffixtree, urls
 
 
 def test_op7_has_a_vector_for_nearly_all_toxic_texts(spark):
@@ -38,3 +39,8 @@ def test_op6_keeps_contexts_of_a_fifteen_thousandth(spark):
     new = next(i for i in range(1000, 2000) if held(i))
     r = suffixtree.score_documents(spark.createDataFrame([*rows, (new, "w1 zeta omega w2")], "doc_id long, text string")).where(f"id = {new}").first()
     assert 10_000 < r["train_tokens"] / 14 < 20_000 and r["score"] - r["base_score"] > 1
+
+
+def test_op10_hint_holds_for_the_shortest_numbers():
+    for x in ("+12345", "+123456", "+1 2345", "+123-45", "(12)345678", "123 456 7890", "123-45-6789", "1.1.1.1", "1234123412341", "340000000000000"):
+        assert any(re.search(p, x) for p in (pii.PHONE, pii.SSN, pii.IP, pii.CARD)) and re.search(pii.HINT, x), x
