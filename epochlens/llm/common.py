@@ -33,6 +33,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for steps that are heavy on CPU, which Spark would otherwise coalesce by bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,109 +9,151 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import crc_bucket, cut
+from epochlens.llm.common import crc_bucket, cut, unused
 from epochlens.llm.neardup import M1, Words, mixed, shingles
 
-TOKEN = re.compile(r"\w+")
-#: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id.
-EXAMPLES = 3000
-#: A term counts if it is in at least so many examples and its likelihood ratio between the labels is that of so many standard errors.
-LEAST_DF, LEAST_Z = 5, 4.0
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
-#: MinHashes by which near copies among the examples are told.
-COPY_KEYS = 3
+#: A term is a word cut off after four characters, a stem that needs no knowledge of the language.
+STEM = re.compile(r"(\w{1,4})\w*")
+#: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id. Twice as many
+#: are drawn, of which near copies count once.
+EXAMPLES = 1500
+#: Near copies are told by equal bands of so many MinHashes: of pairs at Jaccard 0.8, 0.88 share one, at 0.3, 0.03.
+COPY_BANDS, COPY_ROWS = 4, 4
+#: Texts and examples are compared by passages of at most so many words, so that length doesn't hide a passage.
+PASSAGE = 400
+#: The vocabulary are all terms of at least so many examples; a term of one example can't bring two texts together.
+LEAST_DF = 2
+#: A term of more than this share of the documents is a stop term, unless its shares among the examples of either
+#: label are so many standard errors apart.
+STOP_SHARE, STOP_Z = 0.1, 3.0
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 31, 64, 3
 #: Rows of the usual share of label 1 that texts without a term of the vocabulary are smoothed with.
 PRIOR_ROWS = 10
-#: Scores of vectors that a task keeps.
+#: Texts whose scores a task keeps, by digest.
 SCORES_KEPT = 100_000
 
+Sparse = tuple[np.ndarray, np.ndarray]
+
 
 def terms_of(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    return STEM.findall(text.lower()) if text else []
+
+
+def passages(terms: list[str]) -> list[Counter]:
+    """Term counts of passages of at most PASSAGE words and equal length."""
+    n = -(-len(terms) // PASSAGE)
+    size = -(-len(terms) // max(n, 1))
+    return [Counter(terms[i * size : (i + 1) * size]) for i in range(n)]
 
 
 class BlockMaxIndex:
-    """Weights of unit vectors by block of BLOCK examples and term, with the largest of each.
+    """Posting lists of unit vectors, cut into blocks of BLOCK rows, with the largest weight of each term in each block.
 
-    nearest() gives the exact k best by cosine: the sum of a block's largest weights bounds all its examples. Blocks
-    are scored by falling bound, FIRST_BLOCKS at a time, until the next bound is below the k-th score found.
+    nearest() gives the exact k best by cosine: a query's products with a block's largest weights bound its cosine with
+    each of the block's rows. The FIRST_BLOCKS of highest bound are scored first, of the others only those
+    whose bound reaches the k-th score found.
     """
 
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.n = len(rows)
-        self.n_blocks = -(-max(self.n, 1) // BLOCK)
-        pairs = sorted({(i // BLOCK, t) for i, row in enumerate(rows) for t in row})
-        #: Where a block's weights of a term are; 0 is a row of zeros, for terms that the block hasn't.
-        self.place = np.zeros((self.n_blocks, n_terms), np.int32)
-        for at, (b, t) in enumerate(pairs, 1):
-            self.place[b, t] = at
-        self.weights = np.zeros((len(pairs) + 1, BLOCK))
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                self.weights[self.place[i // BLOCK, t], i % BLOCK] = w
-        self.block_max = np.ascontiguousarray(self.weights.max(axis=1)[self.place].T)
-
-    @staticmethod
-    def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k highest scores, ties to the smaller id."""
-        if len(ids) > k:
-            keep = scores >= np.partition(scores, len(ids) - k)[len(ids) - k]
-            ids, scores = ids[keep], scores[keep]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
-
-    def nearest(self, query: dict[int, float], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        terms, by = np.array(list(query), np.int64), np.array(list(query.values()))
-        bounds = by @ self.block_max[terms]
+    def __init__(self, rows: list[Sparse], n_terms: int):
+        self.n, self.n_blocks = len(rows), max(1, -(-len(rows) // BLOCK))
+        row = np.repeat(np.arange(self.n), [len(t) for t, _ in rows])
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]])
+        order = np.lexsort((row, term))
+        self.rows, self.weights = row[order].astype(np.int32), np.concatenate([np.zeros(0), *[w for _, w in rows]])[order]
+        #: A cell is a term in a block; its postings lie from starts[cell] to starts[cell + 1].
+        cell = term[order] * self.n_blocks + self.rows // BLOCK
+        self.starts = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
+        top = np.zeros(n_terms * self.n_blocks)
+        np.maximum.at(top, cell, self.weights)
+        self.block_max = top.reshape(n_terms, self.n_blocks)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the rows of some blocks, summed by rising term, so that equal rows have equal ones."""
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        first = self.starts[cells]
+        size = self.starts[cells + 1] - first
+        ends = size.cumsum()
+        at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+        return np.bincount(self.rows[at], self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), size), self.n)
+
+    def _kth(self, scores: np.ndarray, k: int) -> float:
+        return float(np.partition(scores, self.n - k)[self.n - k]) if self.n > k else 0.0
+
+    def nearest(self, query: Sparse, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows that share a term with the query and their scores, ties to the smaller row; leave_out marks rows that don't count."""
+        terms, weights = query
+        if not len(terms) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bounds = weights @ self.block_max[terms] * (1 + 1e-9)
         order = np.argsort(-bounds, kind="stable")
-        ids, got = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), FIRST_BLOCKS):
-            blocks = order[at : at + FIRST_BLOCKS]
-            blocks = blocks[bounds[blocks] >= got[k - 1] - 1e-12] if len(got) == k else blocks[bounds[blocks] > 0]
-            if not len(blocks):
-                break
-            # summed term by term, so that equal examples have equal scores
-            scores = (by[:, None] * self.weights[self.place[blocks[:, None], terms]]).sum(axis=1).ravel()
-            of = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = (scores > 0) & (of != leave_out)
-            ids, got = self.best(np.r_[ids, of[found]], np.r_[got, scores[found]], k)
-        return ids, got
+        scores = self._scores(terms, weights, order[:FIRST_BLOCKS])
+        if leave_out is not None:
+            scores[leave_out] = 0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] >= self._kth(scores, k)]
+        if len(rest):
+            scores += self._scores(terms, weights, rest)
+            if leave_out is not None:
+                scores[leave_out] = 0
+        ids = np.flatnonzero((scores >= self._kth(scores, k)) & (scores > 0))
+        ids = ids[np.lexsort((ids, -scores[ids]))[:k]]
+        return ids, scores[ids]
 
 
 class ToxicityModel:
-    """Examples, their index, and the calibration from votes to probabilities."""
+    """Passages of examples, their index, and the calibration from votes to probabilities."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], weights: tuple[float, float]):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, list[Counter], int]], weights: tuple[float, float]):
+        """examples: id, term counts of its passages, label."""
         self.terms = {t: i for i, t in enumerate(vocabulary)}
-        self.kept: dict[frozenset, tuple[float, list[int]]] = {}
         self.idf = idf
-        vectors = [(self.unit(dict(zip(ts, ns, strict=True))), y, i) for i, ts, ns, y in examples]
-        some = sorted(((v, y, i) for v, y, i in vectors if v), key=lambda x: (max(x[0], key=lambda t: (x[0][t], t)), x[2] if x[2] is not None else -1))
-        self.labels = np.array([y for _, y, _ in some], np.int64)
-        self.names = [i for _, _, i in some]
-        self.row_weight = np.array(weights)[self.labels] if len(some) else np.zeros(0)
-        self.index = BlockMaxIndex([v for v, _, _ in some], len(vocabulary))
-        total = sum(weights[y] for _, y, _ in vectors)
-        self.prior = sum(weights[1] for _, y, _ in vectors if y) / total if total else 0.0
-        none = [weights[y] for v, y, _ in vectors if not v]
-        # no term speaks for either label: the share among the examples of that kind
-        self.empty = (sum(weights[1] for v, y, _ in vectors if not v and y) + PRIOR_ROWS * self.prior) / (sum(none) + PRIOR_ROWS) if total else 0.0
-        votes = np.array([self.votes(v, i)[0] for i, (v, _, _) in enumerate(some)])
-        self.steps, self.levels = self.isotonic(votes, self.labels, self.row_weight)
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm > 0 else {}
-
-    def votes(self, vector: dict[int, float], leave_out: int = -1) -> tuple[float, np.ndarray]:
-        ids, s = self.index.nearest(vector, NEIGHBOURS, leave_out)
-        w = s * s * self.row_weight[ids]
-        return float((w @ self.labels[ids] + self.prior) / (w.sum() + 1)), ids
+        self.kept: dict[int, tuple[float, list]] = {}
+        vectors = [self.vectors(parts) for _, parts, _ in examples]
+        rows = [(v, e) for e, vs in enumerate(vectors) for v in vs]
+        often = np.bincount(np.concatenate([np.zeros(0, np.int64), *[v[0] for v, _ in rows]]), minlength=len(vocabulary))
+        # alike texts meet in a block: by the commonest of their terms, which tells languages apart, then by length
+        rows.sort(key=lambda x: (int(x[0][0][often[x[0][0]].argmax()]), len(x[0][0])))
+        self.names = [i for i, _, _ in examples]
+        self.owner = np.array([e for _, e in rows], np.int64)
+        self.labels = np.array([y for _, _, y in examples], np.int64)[self.owner] if rows else np.zeros(0, np.int64)
+        self.row_weight = np.array(weights)[self.labels]
+        self.index = BlockMaxIndex([v for v, _ in rows], len(vocabulary))
+        total = sum(weights[y] for _, _, y in examples)
+        self.prior = sum(weights[1] for _, _, y in examples if y) / total if total else 0.0
+        none = [y for (_, _, y), v in zip(examples, vectors, strict=True) if not v]
+        # no term to compare: the share among the examples of that kind
+        self.empty = (sum(weights[1] for y in none if y) + PRIOR_ROWS * self.prior) / (sum(weights[y] for y in none) + PRIOR_ROWS) if total else 0.0
+        known = [(self.votes(vs, self.owner == e)[0], examples[e][2]) for e, vs in enumerate(vectors) if vs]
+        y = np.array([label for _, label in known], np.int64)
+        self.steps, self.levels = self.isotonic(np.array([v for v, _ in known]), y, np.array(weights)[y])
+
+    def vectors(self, parts: list[Counter]) -> list[Sparse]:
+        """Unit TF-IDF vectors of the passages that have a term of the vocabulary, their terms rising."""
+        out = []
+        for counts in parts:
+            found = sorted((self.terms[t], counts[t]) for t in counts.keys() & self.terms.keys())
+            terms = np.array([t for t, _ in found], np.int64)
+            v = np.array([n for _, n in found], np.float64) * self.idf[terms]
+            terms, v = terms[v > 0], v[v > 0]
+            if len(v):
+                out.append((terms, v / np.sqrt((v * v).sum())))
+        return out
+
+    def votes(self, vectors: list[Sparse], leave_out: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """The largest vote of a text's passages and its nearest rows: the share of label 1 among the nearest, weighted by
+        squared cosine, with the prior as one more."""
+        best, rows = -1.0, np.zeros(0, np.int64)
+        for v in vectors:
+            ids, s = self.index.nearest(v, NEIGHBOURS, leave_out)
+            w = s * s * self.row_weight[ids]
+            vote = float(((w * self.labels[ids]).sum() + self.prior) / (w.sum() + 1))
+            if len(ids) and vote > best:
+                best, rows = vote, ids
+        return (best, rows) if len(rows) else (self.prior, rows)
 
     @staticmethod
     def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,54 +167,34 @@ class ToxicityModel:
                 pools[-1][2] += b
         return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = Counter(t for t in map(self.terms.get, terms_of(text)) if t is not None)
-        key = frozenset(counts.items())
+    def score(self, text: str | None) -> tuple[float, list]:
+        key = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
         if key not in self.kept:
             if len(self.kept) >= SCORES_KEPT:
                 self.kept.clear()
-            self.kept[key] = self.score_vector(self.unit(counts))
+            self.kept[key] = self.score_vectors(self.vectors(passages(terms_of(text))))
         return self.kept[key]
 
-    def score_vector(self, vector: dict[int, float]) -> tuple[float, list[int]]:
-        if not vector or not len(self.labels):
-            return self.empty, []
-        vote, ids = self.votes(vector)
-        if not len(ids):
+    def score_vectors(self, vectors: list[Sparse]) -> tuple[float, list]:
+        vote, rows = self.votes(vectors) if len(self.levels) else (0.0, ())
+        if not len(rows):
             return self.empty, []
         at = max(0, int(np.searchsorted(self.steps, vote, side="right")) - 1)
-        return float(min(1.0, max(0.0, self.levels[at]))), [self.names[i] for i in ids[:5]]
-
-
-def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sorted(set(terms_of(x))) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "terms"])
+        near = list(dict.fromkeys(self.owner[rows].tolist()))[:5]
+        return float(min(1.0, max(0.0, self.levels[at]))), [self.names[e] for e in near]
 
 
-def _document_counts(vocabulary: list[str]):
-    """Term counts of each row, over the vocabulary."""
-    index = {t: i for i, t in enumerate(vocabulary)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [Counter(t for t in map(index.get, terms_of(x)) if t is not None) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["id", "toxic", "terms", "counts"])
-
-    return run
-
-
-def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """COPY_KEYS MinHashes of each row's 5-word shingles; near copies share most of them."""
+def _copy_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's bands of MinHashes of its 5-word shingles; a text without words has bands of the empty set."""
     words = Words()
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
             s = shingles(words.of(text))
             with np.errstate(over="ignore"):
-                rows.append([int(mixed(s + np.uint64(k) * M1).min().view(np.int64)) if len(s) else k for k in range(COPY_KEYS)])
-        keys = [pa.array([r[k] for r in rows], pa.int64()) for k in range(COPY_KEYS)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, *[f"copy{k}" for k in range(COPY_KEYS)]])
+                least = [int(mixed(s + np.uint64(k) * M1).min()) if len(s) else k for k in range(COPY_BANDS * COPY_ROWS)]
+            rows.append([xxhash.xxh3_64_intdigest(repr((b, least[b::COPY_BANDS]))) - (1 << 63) for b in range(COPY_BANDS)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))], [*batch.schema.names, "bands"])
 
 
 def _frequencies(vocabulary: list[str]):
@@ -184,58 +206,72 @@ def _frequencies(vocabulary: list[str]):
         for batch in batches:
             for x in batch.column("text").to_pylist():
                 seen[-1] += 1
-                seen.update(known[t] for t in known.keys() & set(terms_of(x)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen.update(known.keys() & set(terms_of(x)))
+        rows = seen.pop(-1, 0)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *[known[t] for t in seen]], pa.int32()), pa.array([rows, *seen.values()], pa.int64())], ["term", "n"])
 
     return run
 
 
+def examples_of(rows: DataFrame, known: DataFrame, examples: int) -> DataFrame:
+    """(id, toxic, text, rank) of at most `examples` rows of each label, near copies once, the same under any partitioning."""
+    rank = F.xxhash64("id", F.lit(3))
+    drawn = [known.where(F.col("toxic") == y).select(F.col("id").alias("l_id"), "toxic").orderBy(F.xxhash64("l_id", F.lit(3)), "l_id").limit(2 * examples) for y in (0, 1)]
+    kind = rows.schema["id"].dataType.simpleString()
+    sample = rows.join(F.broadcast(drawn[0].union(drawn[1])), F.col("id") == F.col("l_id")).select("id", "toxic", "text")
+    sample = cut(sample.groupBy("id", "toxic").agg(F.min("text").alias("text")).mapInArrow(_copy_bands, f"id {kind}, toxic int, text string, bands array<long>"), "labelled")
+    least = F.min(F.struct(rank.alias("h"), "id")).alias("x")
+    later = sample.select("id", "toxic", F.explode("bands").alias("band"))
+    first = later.groupBy("toxic", "band").agg(least).select("toxic", "band", F.col("x.id").alias("first_id"))
+    copies = later.join(first, ["toxic", "band"]).where("id <> first_id").select("id", "toxic").distinct()
+    sample = sample.join(copies, ["id", "toxic"], "left_anti").select("id", "toxic", "text", rank.alias("rank"))
+    kept = [sample.where(F.col("toxic") == y).orderBy("rank", "id").limit(examples) for y in (0, 1)]
+    return cut(kept[0].union(kept[1]), "examples")
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from at most `examples` labelled rows of each label whose crc32(id) modulo held_out[0] isn't held_out[1].
 
-    Near copies among them count once, else all words of a much copied text would speak for its label. The sample
-    is weighted back to the share of each label. Its terms are tested for independence of the
-    label; those that fail are the vocabulary. Their document frequencies cover all documents.
+    Near copies among them count once, else one much copied text could be all of a text's neighbours. The sample
+    is weighted back to the share of each label. Its vocabulary are all terms of at least LEAST_DF examples but stop
+    terms; document frequencies cover all documents. Rows that repeat an id count once, by their least text.
     """
     n, rest = held_out
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.round(F.avg("toxic")).cast("int").alias("toxic"))
     known = known.where(crc_bucket("id", n) != rest)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = known.withColumn("nth", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit(3)), "id"))).where(F.col("nth") <= examples).select(F.col("id").alias("l_id"), "toxic")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    sample = cut(rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "toxic", "text").mapInArrow(_least_shingles, "id long, toxic int, text string, " + ", ".join(f"copy{k} long" for k in range(COPY_KEYS))), "labelled")
-    for k in range(COPY_KEYS):
-        sample = sample.dropDuplicates(["toxic", f"copy{k}"])
-    sample = cut(sample.select("id", "toxic", "text"), "examples")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    sample = examples_of(rows, known, examples)
+    own = [(r["id"], passages(terms_of(r["text"])), r["toxic"]) for r in sorted(sample.collect(), key=lambda r: (r["rank"], str(r["id"]), r["toxic"]))]
+    pos = sum(y for _, _, y in own)
+    neg = len(own) - pos
     if not pos or not neg:
         return ToxicityModel([], np.zeros(0), [], (1.0, 1.0))
-    weights = (totals[0] / neg, totals[1] / pos)
-    terms = sample.select("toxic", "text").mapInArrow(_document_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
-    terms = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
-    # the likelihood ratio of label and term being independent, which holds for empty cells too
-    share = pos / (pos + neg)
-    with_term, without = F.col("a") + F.col("b"), F.lit(pos + neg) - F.col("a") - F.col("b")
-    cells = [(F.col("a"), with_term * share), (F.col("b"), with_term * (1 - share)), (F.lit(pos) - F.col("a"), without * share), (F.lit(neg) - F.col("b"), without * (1 - share))]
-    ratio = sum((F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-    vocabulary = sorted(r["term"] for r in terms.where(ratio >= LEAST_Z**2).select("term").collect())
+    held = ([set().union(*parts) for _, parts, y in own if y == 0], [set().union(*parts) for _, parts, y in own if y == 1])
+    counts = [Counter(t for found in some for t in found) for some in held]
+    vocabulary = sorted(t for t, c in (counts[0] + counts[1]).items() if c >= LEAST_DF)
     seen = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(len(vocabulary))]))) + 1
-    own = sample.mapInArrow(_document_counts(vocabulary), "id long, toxic int, terms array<int>, counts array<int>").collect()
-    return ToxicityModel(vocabulary, idf, sorted((r["id"], r["terms"], r["counts"], r["toxic"]) for r in own), weights)
+    total = seen.get(-1, 0)
+    share = np.array([seen.get(i, 0) for i in range(len(vocabulary))]) / max(total, 1)
+    a, b = (np.array([c[t] for t in vocabulary]) + 0.5 for c in (counts[1], counts[0]))
+    p, q = a / (pos + 1), b / (neg + 1)
+    apart = np.abs(p - q) / np.sqrt(p * (1 - p) / pos + q * (1 - q) / neg) >= STOP_Z
+    keep = (share <= STOP_SHARE) | apart
+    idf = np.log((1 + total) / (1 + share[keep] * total))
+    return ToxicityModel([t for t, k in zip(vocabulary, keep, strict=True) if k], idf, own, (totals[0] / neg, totals[1] / pos))
 
 
-def toxicity(text: Column, model: ToxicityModel) -> Column:
+def toxicity(text: Column, model: ToxicityModel, id_type: str = "long") -> Column:
     """A struct of score (0 to 1) and evidence (ids of the nearest examples) for a text.
 
     A null or empty text, or one without a term of the vocabulary, has the score of the examples like it.
     """
 
-    @F.pandas_udf("score double, evidence array<long>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        got = [model.score(x) for x in texts]
-        return pd.DataFrame({"score": [g[0] for g in got], "evidence": [g[1] for g in got]})
+    @F.pandas_udf(f"score double, evidence array<{id_type}>")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            got = [model.score(x) for x in part]
+            yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [g[1] for g in got]})
 
     return score(text)
 
@@ -243,10 +279,13 @@ def toxicity(text: Column, model: ToxicityModel) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with toxic_score, toxic_predicted and toxic_evidence; see fit() and toxicity().
 
-    Rows that repeat an id or a text are scored alike; columns with these names are replaced; without labelled
-    examples of both labels every score is 0; an empty table gives an empty result.
+    Rows that repeat an id or a text are scored alike; columns with these names are replaced, others keep theirs,
+    whatever they are called; without labelled examples of both labels every score is 0; an empty table gives an
+    empty result. Ids may be of any type that labels share.
     """
     model = fit(docs, labels, held_out, id_col=id_col, text_col=text_col)
     docs = docs.drop("toxic_score", "toxic_predicted", "toxic_evidence")
-    out = docs.withColumn("__t", toxicity(docs[text_col].cast("string"), model))
-    return out.select(*docs.columns, F.col("__t.score").alias("toxic_score"), (F.col("__t.score") >= threshold).cast("int").alias("toxic_predicted"), F.col("__t.evidence").alias("toxic_evidence"))
+    own = unused(docs, "scored")
+    out = docs.withColumn(own, toxicity(docs[text_col].cast("string"), model, docs.schema[id_col].dataType.simpleString()))
+    score = F.col(own)["score"]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias("toxic_score"), (score >= threshold).cast("int").alias("toxic_predicted"), F.col(own)["evidence"].alias("toxic_evidence"))

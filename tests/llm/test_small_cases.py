@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -225,6 +226,9 @@ def test_toxicity_small_cases(spark):
     got = {r["doc_id"]: r["toxic_predicted"] for r in out}
     assert sum(got[i] != y for i, _, y in clean + toxic) <= 2
     assert got[901] == 0 and got[902] == 0
+    named = d.withColumnRenamed("doc_id", "i d").select(F.col("i d").cast("string").alias("doc_id"), "text", F.lit(1).alias("scored"), F.lit(2).alias("__t"))
+    again = toxicity.score_documents(named, labels.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()
+    assert {int(r["doc_id"]): r["toxic_score"] for r in again} == {r["doc_id"]: r["toxic_score"] for r in out} and {(r["scored"], r["__t"]) for r in again} == {(1, 2)}
     assert toxicity.score_documents(empty(spark), labels).count() == 0
     assert {r["toxic_score"] for r in toxicity.score_documents(docs(spark), labels.limit(0)).collect()} == {0.0}
 
@@ -234,14 +238,56 @@ def test_block_max_index_is_exact():
     rows = []
     for _ in range(700):
         v = rng.random(int(rng.integers(1, 6)))
-        rows.append(dict(zip(rng.choice(40, len(v), replace=False).tolist(), (v / np.linalg.norm(v)).tolist())))
+        rows.append((np.sort(rng.choice(40, len(v), replace=False)), v / np.linalg.norm(v)))
+    rows += rows[:100]  # ties
+    dense = np.zeros((800, 40))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
     index = toxicity.BlockMaxIndex(rows, 40)
-    for _ in range(50):
-        q = dict(zip(rng.choice(40, 4, replace=False).tolist(), rng.random(4).tolist()))
-        scores = np.array([sum(q.get(t, 0) * w for t, w in r.items()) for r in rows])
-        ids, s = index.nearest(q, 10)
-        want = [i for i in np.lexsort((np.arange(700), -scores))[:10] if scores[i] > 0]
-        assert np.allclose(s, scores[want]) and set(np.round(s, 9)) == set(np.round(scores[want], 9))
+    for n in range(50):
+        t, w = np.sort(rng.choice(40, 4, replace=False)), rng.random(4)
+        out = np.zeros(800, bool)
+        out[n] = n % 2 == 0
+        scores = np.where(out, 0, np.round(dense[:, t] @ w, 12))
+        ids, s = index.nearest((t, w), 10, out if n % 2 == 0 else None)
+        want = [i for i in np.lexsort((np.arange(800), -scores))[:10] if scores[i] > 0]
+        assert ids.tolist() == want and np.allclose(s, scores[want])
+
+
+def test_toxicity_equals_brute_force_under_any_partitioning(spark):
+    sf = "/root/testdata/sf0.001"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: (r["toxic_score"], r["toxic_evidence"]) for r in toxicity.score_documents(d.repartition(7), y.repartition(3)).collect()}
+    assert got == {r["doc_id"]: (r["toxic_score"], r["toxic_evidence"]) for r in toxicity.score_documents(d.coalesce(1), y).collect()}
+    model = toxicity.fit(d, y)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    rows = np.zeros((model.index.n, len(model.terms)))
+    rows[model.index.rows, np.repeat(np.arange(len(model.terms)), np.diff(model.index.starts[:: model.index.n_blocks]))] = model.index.weights
+    names = sorted(model.terms, key=model.terms.get)
+    for i, text in texts.items():
+        best = -1
+        words = [w[:4] for w in re.findall(r"\w+", (text or "").lower())]
+        n = -(-len(words) // toxicity.PASSAGE)
+        size = -(-len(words) // max(n, 1))
+        for k in range(n):
+            c = Counter(words[k * size : (k + 1) * size])
+            v = np.array([c[t] * w for t, w in zip(names, model.idf)])
+            if not v.any():
+                continue
+            s = rows @ (v / np.linalg.norm(v))
+            near = [j for j in np.lexsort((np.arange(len(s)), -np.round(s, 12)))[: toxicity.NEIGHBOURS] if s[j] > 0]
+            w = s[near] ** 2 * model.row_weight[near]
+            best = max(best, ((w * model.labels[near]).sum() + model.prior) / (w.sum() + 1)) if near else best
+        at = max(0, np.searchsorted(model.steps, best + 1e-12, side="right") - 1)
+        assert got[i][0] == pytest.approx(model.empty if best < 0 else min(1, max(0, model.levels[at])))
+
+
+def test_near_copies_among_examples_count_once(spark):
+    base = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:299] + [f"edit{i}"])) for i in range(20)] + [(100 + i, " ".join(f"v{(i * 31 + j) % 997}" for j in range(50))) for i in range(6)]
+    known = spark.createDataFrame([(i, 1) for i, _ in rows], "id long, toxic int")
+    got = {r["id"] for r in toxicity.examples_of(spark.createDataFrame(rows, "id long, text string"), known, 50).collect()}
+    assert len([i for i in got if i < 100]) == 1 and len([i for i in got if i >= 100]) == 6
 
 
 def test_decontamination_small_cases(spark):
