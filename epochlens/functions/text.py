@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,66 +145,54 @@ def phrase_tokens(terms: DataFrame, stem: bool = True) -> DataFrame:
 def phrase_matches(tokenized_df: DataFrame, terms: DataFrame, field: str | None = None) -> DataFrame:
     """Distinct (query_id, id) where the phrase lies within one field.
 
-    Candidates share the phrase's first token (an equi-join on it), whatever the number of terms.
+    Rows meet the phrases whose first token they hold, whatever the number of terms: an equi-join on tokens, without
+    texts. Then each row that holds one is compared with its phrases, once.
     """
     docs = tokenized_df if field is None else tokenized_df.where(F.col("field") == field)
-    posts = docs.select("id", "field", "toks", F.explode(F.array_distinct(F.split(F.trim("toks"), " "))).alias("first_token"))
-    hit = posts.join(terms.select("query_id", "phrase", "first_token"), "first_token").where(F.col("toks").contains(F.col("phrase")))
+    wanted = terms.select("query_id", "phrase", "first_token").groupBy("first_token").agg(F.collect_list(F.struct("query_id", "phrase")).alias("phrases"))
+    posts = docs.select("id", "field", F.explode(F.array_distinct(F.split(F.trim("toks"), " "))).alias("first_token"))
+    held = posts.join(wanted, "first_token").select("id", "field", F.explode("phrases").alias("p")).groupBy("id", "field").agg(F.collect_list("p").alias("ps"))
+    hit = docs.join(held, ["id", "field"]).select("id", F.explode(F.filter("ps", lambda p: F.contains(F.col("toks"), p["phrase"]))["query_id"]).alias("query_id"))
     return hit.select("query_id", "id").distinct()
 
 
-def split_fields(text: str) -> list[str]:
-    """The fields of a query: commas outside double quotes part them, a doubled quote is a quote."""
-    fields, now, quoted, i = [], "", False, 0
-    while i < len(text):
-        ch = text[i]
-        if ch == '"' and quoted and text[i + 1 : i + 2] == '"':
-            now += '"'
-            i += 1
-        elif ch == '"':
-            quoted = not quoted
-        elif ch == "," and not quoted:
-            fields.append(now)
-            now = ""
-        else:
-            now += ch
-        i += 1
-    if quoted:
-        raise ValueError("unmatched quote")
-    return [*fields, now]
-
-
-def _terms(text: str, most: int | None, longest: int) -> list[tuple[str, str, str]]:
-    if len(text) > longest:
-        raise ValueError("query is too long")
-    out: dict[str, tuple[str, str, str]] = {}
-    for label in map(str.strip, split_fields(text)):
-        normal = normalized(label)
-        if not normal:
-            raise ValueError("empty term")
-        out.setdefault(normal, (f"q-{hashlib.sha256(normal.encode()).hexdigest()[:12]}", label, normal))
-    if most is not None and len(out) > most:
-        raise ValueError("too many terms")
-    return list(out.values())
+#: A part of a field: what is between two quotes, in which two quotes stand for one, or a run without quotes.
+FIELD_PART = r'"(?:[^"]|"")*"|[^"]+'
+#: A comma that an even number of quotes precedes, where their whole number is even.
+FIELD_END = r',(?=[^"]*(?:"[^"]*"[^"]*)*$)'
+
+
+def query_labels(query: Column) -> Column:
+    """The trimmed fields of a query text: commas outside double quotes end them, and a doubled quote inside is one quote."""
+    def plain(part: Column) -> Column:
+        return F.when(part.startswith('"'), F.replace(F.substring(part, F.lit(2), F.length(part) - 2), F.lit('""'), F.lit('"'))).otherwise(part)
+
+    parts = lambda field: F.regexp_extract_all(field, F.lit(FIELD_PART), F.lit(0))
+    label = lambda field: F.array_join(F.transform(parts(field), plain), "")
+    return F.transform(F.split(query, FIELD_END), lambda field: F.regexp_replace(label(field), r"(?U)^\s+|\s+$", ""))
 
 
 def split_query_terms(queries: DataFrame, query_col: str = "query", most: int | None = 5, longest: int = 500) -> DataFrame:
-    """(query, ord, query_id, label, normalized, error): the terms of each query text, first seen first.
+    """(query, ord, query_id, label, normalized, error): the terms of each query text, equal ones once, first seen first.
 
-    A text that can't be split gives one row with the reason in error.
+    A text that can't be split gives one row with the reason in error; a null one counts as empty. Fields and errors
+    are column expressions; Python only gives terms their compatibility form.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["query"]:
-                try:
-                    rows += [(text, k, *t, None) for k, t in enumerate(_terms(text or "", most, longest))]
-                except ValueError as e:
-                    rows.append((text, 0, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["query", "ord", "query_id", "label", "normalized", "error"])
-
-    return queries.select(F.col(query_col).alias("query")).mapInPandas(run, "query string, ord int, query_id string, label string, normalized string, error string")
+    @F.pandas_udf("array<string>")
+    def all_normalized(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: [normalized(x) for x in xs])
+
+    d = queries.select(F.col(query_col).alias("query")).withColumn("__q", F.coalesce("query", F.lit("")))
+    shape = F.when(F.length("__q") > longest, "query is too long").when(F.length(F.regexp_replace("__q", '[^"]', "")) % 2 == 1, "unmatched quote")
+    d = d.withColumn("__e", shape).withColumn("__l", F.when(F.col("__e").isNull(), query_labels(F.col("__q"))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("__n", all_normalized("__l"))
+    several = F.lit(False) if most is None else F.size(F.array_distinct("__n")) > most
+    error = F.coalesce("__e", F.when(F.array_contains("__n", ""), "empty term").when(several, "too many terms"))
+    found = F.filter(F.arrays_zip(F.col("__l").alias("label"), F.col("__n").alias("normalized")), lambda t, i: F.array_position("__n", t["normalized"]) == i + 1)
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("normalized")))
+    d = d.select("query", error.alias("error"), F.posexplode(F.when(error.isNull(), found).otherwise(nothing)).alias("ord", "t"))
+    named = F.concat(F.lit("q-"), F.substring(F.sha2("t.normalized", 256), 1, 12))
+    return d.select("query", "ord", named.alias("query_id"), "t.label", "t.normalized", "error")
 
 
 def series_key(parameters: dict[str, Column]) -> Column:

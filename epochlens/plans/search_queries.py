@@ -263,6 +263,9 @@ SQL = {
       s as (select page_id, (('0x' || x)::bigint % 64)::int as index, sum(case when ('0x' || substr(x, 1, 2))::int % 2 = 1 then -n else n end) s from p group by 1, 2),
       m as (select page_id, sqrt(sum(s * s)) norm from s group by 1)
       select page_id, index, round(s / norm, 6) as value from s join m using (page_id) where norm > 0 and s <> 0""",
+    "split_query_terms": """with q as (select distinct '"' || p_name || ', new", ' || upper(p_type) || ', ' || lower(p_type) query, p_name || ', new' a, upper(p_type) b from part),
+      t as (select query, 0 ord, a label from q union all select query, 1, b from q)
+      select query, ord, 'q-' || substr(sha256(lower(label)), 1, 12) query_id, label, lower(label) normalized, null::varchar error from t""",
     "series_key": """select distinct p_name, p_brand, sha256('{"metric":"share","query":"' || p_name || '","view":"' || p_brand || '"}') series_key from part""",
     "vector_topk": f"with {_VEC} select query_id, id, round(score, 6) score, rank, k from hits",
     "topk_filtered_first": f"with {T.VECTORS_SQL}, q as (select vec_id query_id, embedding from vectors where vec_id < 3), c as (select * from vectors where label in (1, 2, 3)), {_TOP('q', 'c', 'hits')} select query_id, id, round(score, 6) score, rank, k from hits",

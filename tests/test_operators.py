@@ -1,3 +1,4 @@
+import hashlib
 import sqlite3
 import tempfile
 
@@ -43,6 +44,14 @@ def test_split_query_terms(spark):
         got.setdefault(r["query"], []).append(r["normalized"] if r["error"] is None else r["error"])
     assert got[rows[0][0]] == ["still life, fruit", "horse"]
     assert got['"open'] == ["unmatched quote"] and got["a,,b"] == ["empty term"] and got["1,2,3,4,5,6"] == ["too many terms"]
+    assert got['a ""b"" c'] == ["a b c"] and got["x" * 501] == ["query is too long"]
+    more = ['"a ""b"" c, d" e,f', '""",""" , x', ' "" ', "", 'a"b,c"d,"e"', 'p,"P",ｐ', '\u3000é\u2003,\tz\n']
+    want = [[('a "b" c, d e', 'a "b" c, d e'), ("f", "f")], [('","', '","'), ("x", "x")], "empty term", "empty term", [("ab,cd", "ab,cd"), ("e", "e")], [("p", "p")], [("é", "é"), ("z", "z")]]
+    rows = text.split_query_terms(spark.createDataFrame([(q,) for q in more] + [(None,)], "query string")).orderBy("query", "ord").collect()
+    for q, w in zip([*more, None], [*want, "empty term"]):
+        mine = [r for r in rows if r["query"] == q]
+        assert [(r["label"], r["normalized"]) for r in mine] == w if isinstance(w, list) else [r["error"] for r in mine] == [w]
+        assert all(r["query_id"] == "q-" + hashlib.sha256(r["normalized"].encode()).hexdigest()[:12] and r["ord"] == i for i, r in enumerate(mine) if r["error"] is None)
     assert got["Straße, STRASSE"] == ["straße", "strasse"] and got["ＡＢ  c"] == ["ab c"]
 
 
