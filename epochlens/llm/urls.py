@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from epochlens.llm.common import cut
 
-#: Path segments that have a node of their own; what is deeper is one more segment.
-DEPTH = 6
-#: A node with more children than this is variable, and so is one whose children are mostly seen once. Its children
-#: are a wildcard but for those with evidence of their own: as many labels as a template's prior weighs, or as many
-#: pages as the root of the node's (and FEW_CHILDREN at least).
-MOST_CHILDREN, FEW_CHILDREN = 20, 5
-#: Siblings whose label shares and leaf shares differ by fewer standard errors are one branch.
+#: A child has evidence of its own with as many pages as the root of its node's, or as many labels as the root of the
+#: node's, and FEW at least. Where FEW children or more have none, the node is variable there: they are a wildcard.
+#: A node of fewer than FEW pages is not divided.
+FEW = 5
+#: A branch whose label share or leaf share is so many standard errors from that of the others stands apart.
 ALIKE_Z = 1.64
 #: Weight of the host's share in a template's, and of the overall share in the host's.
 PRIOR_WEIGHT = 5.0
+#: Names of so many merged branches are spelled out; of more, the first, their number and a digest.
+SPELLED = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,54 +48,87 @@ def typed_path(path: Column) -> Column:
     return F.regexp_replace(p, r"[0-9]+", "#")
 
 
-def z_test(a: Column, n: Column, b: Column, m: Column) -> Column:
-    """Standard errors between two shares a/n and b/m, each with half a case of either kind added."""
+def z_score(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """Standard errors between two shares a/n and b/m, each with half a case of either kind added; positive if the first is larger."""
     p, q = (a + 0.5) / (n + 1), (b + 0.5) / (m + 1)
-    return F.abs(p - q) / F.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
+    return (p - q) / F.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
+
+
+def side(a: str, n: str, of: WindowSpec) -> Column:
+    """1, -1 or 0: the share a/n of a row is significantly above, below or like that of the other rows of its window."""
+    z = z_score(F.col(a), F.col(n), F.sum(a).over(of) - F.col(a), F.sum(n).over(of) - F.col(n))
+    return F.when(z >= ALIKE_Z, 1).when(z <= -ALIKE_Z, -1).otherwise(0)
+
+
+def branch_names(children: DataFrame) -> DataFrame:
+    """(host, template, seg, name) for the children (host, template, seg, n, bad, labelled, ends) of nodes.
+
+    Children without evidence of their own are a wildcard where they are FEW or more; the others of such a node keep
+    their names. In other nodes children merge with those that stand on the same side: each is tested against all
+    its siblings together, by label share and by how often a path ends there, and then against all on its side; it
+    stands alone where it differs from these too.
+    """
+    node = ["host", "template"]
+    of = W.partitionBy(*node)
+    own = (F.col("n") >= F.greatest(F.sqrt("all"), F.lit(FEW))) | (F.col("labelled") >= F.greatest(F.sqrt("all_labelled"), F.lit(FEW)))
+    total = children.groupBy(*node).agg(F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"))
+    c = cut(children.join(total, node).withColumn("own", own), "url-children")
+    sparse = c.groupBy(*node).agg(F.count_if(~F.col("own")).alias("sparse"))
+    c = c.join(sparse, node)
+    wild = c.where(F.col("sparse") >= FEW).select(*node, "seg", F.when(F.col("own"), F.col("seg")).otherwise("*").alias("name"))
+    few = c.where(F.col("sparse") < FEW).withColumn("s1", side("bad", "labelled", of)).withColumn("s2", side("ends", "n", of))
+    same = W.partitionBy(*node, "s1", "s2")
+    alone = (side("bad", "labelled", same) != 0) | (side("ends", "n", same) != 0)
+    few = few.withColumn("alone", F.when((F.count("*").over(same) > 1) & alone, F.col("seg")).otherwise(""))
+    parts = few.groupBy(*node, "s1", "s2", "alone").agg(F.array_sort(F.collect_set("seg")).alias("segs"))
+    spelled = F.array_join("segs", "|")
+    short = F.concat(F.col("segs")[0], F.lit("|+"), F.size("segs") - 1, F.lit(":"), F.substring(F.md5(spelled), 1, 8))
+    parts = parts.select(*node, F.when(F.size("segs") <= SPELLED, spelled).otherwise(short).alias("name"), F.explode("segs").alias("seg"))
+    return wild.union(parts.select(*node, "seg", "name"))
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, typed, template) for distinct (host, typed) with counts n, bad and labelled.
 
-    Level by level below each prefix: where children are many or mostly single, each one with enough labels or pages
-    is a branch and the sparse rest becomes a wildcard. Elsewhere, among at most MOST_CHILDREN, those next to each
-    other by label share merge unless a test of their label shares or of how often the path ends there tells them
-    apart. Levels are written, so a lost executor repeats one at most.
+    Below each prefix, what all its paths begin with is taken at once; then the next segments become branches, see
+    branch_names(). A prefix with one path is done, and one of fewer than FEW pages ends in "**". So there are as
+    many rounds as paths divide below each other, however long they are. Rounds are written, so a lost
+    executor repeats one at most.
     """
-    segments = F.split(F.regexp_replace("typed", "^/", ""), "/")
-    deep = F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.array_join(F.slice(segments, DEPTH + 1, 1_000_000), "/")))).otherwise(segments)
-    rows = cut(paths.withColumn("segs", deep).withColumn("template", F.lit("")), "url-paths")
-    for level in range(1, DEPTH + 2):
-        live = rows.where(F.size("segs") >= level).withColumn("seg", F.col("segs")[level - 1])
-        if level > 1 and not live.limit(1).count():
-            break
-        ends = F.when(F.size("segs") == level, F.col("n")).otherwise(0)
-        child = live.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum(ends).alias("ends"))
-        child = cut(child, "url-children")
-        node = child.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("all")).withColumn("variable", (F.col("k") > MOST_CHILDREN) | (F.col("k") >= FEW_CHILDREN) & (F.col("k") * 2 > F.col("all")))
-        child = child.join(node.select("host", "template", "all", "variable"), ["host", "template"])
-        own = (F.col("labelled") >= PRIOR_WEIGHT) | (F.col("n") >= F.greatest(F.sqrt("all"), F.lit(FEW_CHILDREN)))
-        wild = child.where("variable").select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("name"))
-        share = (F.col("bad") + 0.5) / (F.col("labelled") + 1)
-        order = W.partitionBy("host", "template").orderBy(share, "seg")
-        before = lambda c: F.lag(c).over(order)
-        apart = (z_test(F.col("bad"), F.col("labelled"), before("bad"), before("labelled")) >= ALIKE_Z) | (z_test(F.col("ends"), F.col("n"), before("ends"), before("n")) >= ALIKE_Z)
-        few = child.where(~F.col("variable")).withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-        few = few.withColumn("branch", F.sum("new").over(order))
-        name = F.array_join(F.array_sort(F.collect_set("seg").over(W.partitionBy("host", "template", "branch"))), "|")
-        few = few.select("host", "template", "seg", name.alias("name"))
-        names = cut(wild.union(few), "url-names")
-        live = live.join(names, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "name")).select(rows.columns)
-        rows = cut(rows.where(F.size("segs") < level).union(live), "url-paths")
+    node = ["host", "template"]
+    rows = paths.withColumn("rest", F.split(F.regexp_replace("typed", "^/", ""), "/")).withColumn("template", F.lit("")).withColumn("done", F.lit(False))
+    rows = cut(rows, "url-paths")
+    while rows.where("not done").limit(1).count():
+        live = rows.where("not done")
+        nodes = live.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("n").alias("pages"))
+        # in order, the first and the last path share what all share
+        apart = F.array_position(F.transform(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), lambda x: x.cast("int")), 0)
+        shared = F.when(apart == 0, F.size("lo")).otherwise(apart - 1).cast("int")
+        nodes = nodes.select(*node, "pages", (F.col("lo") != F.col("hi")).alias("divides"), shared.alias("shared"))
+        live = live.join(nodes, node).withColumn("prefix", F.concat("template", F.concat_ws("", F.transform(F.slice("rest", F.lit(1), F.col("shared")), lambda x: F.concat(F.lit("/"), x)))))
+        live = live.withColumn("tail", F.slice("rest", F.col("shared") + 1, F.lit(1_000_000)))
+        ended = F.size("tail") == 0
+        few = F.col("divides") & (F.col("pages") < FEW) & ~ended
+        live = live.select("host", "typed", "n", "bad", "labelled", F.col("tail").alias("rest"), F.when(few, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix")).alias("template"), (ended | few).alias("done"))
+        live = cut(live, "url-nodes")
+        going = live.where("not done").withColumn("seg", F.col("rest")[0])
+        ends = F.when(F.size("rest") == 1, F.col("n")).otherwise(0)
+        children = going.groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum(ends).alias("ends"))
+        names = branch_names(children)
+        tail = F.slice("rest", F.lit(2), F.lit(1_000_000))
+        going = going.join(names, [*node, "seg"]).select("host", "typed", "n", "bad", "labelled", tail.alias("rest"), F.concat("template", F.lit("/"), "name").alias("template"), (F.size("rest") == 1).alias("done"))
+        columns = ["host", "typed", "n", "bad", "labelled", "rest", "template", "done"]
+        rows = cut(rows.where("done").select(*columns).union(live.where("done").select(*columns)).union(going.select(*columns)), "url-paths")
     return rows.select("host", "typed", "template", "n", "bad", "labelled")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], reject_at: float = 0.5, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], reject_z: float = 3.0, reject_lift: float = 2.0, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(id, host, path, rule, verdict, template, bad_share) of every row of pages.
 
     Rules come first; the longest that fits wins. Elsewhere the url's template decides: its share of labelled
-    pages with label 0, smoothed towards its host's share and that towards the overall share, blocks at
-    reject_at or more. A page's label is the one of the same id; ids with several labels count by their mean.
+    pages with label 0, smoothed towards its host's share and that towards the overall share, blocks where it is
+    reject_z standard errors above the overall share and reject_lift times as high. A page's label is the one of
+    the same id; ids with several labels count by their mean.
 
     Counts are taken a (host, typed path), so a host with a third of all pages is summed before any shuffle.
     Null urls and ones without "://" have an empty host and path and share a template. Rows that repeat an id
@@ -109,8 +143,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     overall = (total["b"] or 0.0) / total["n"] if total["n"] else 0.0
     hosts = tree.groupBy("host").agg(((F.sum("bad") + PRIOR_WEIGHT * overall) / (F.sum("labelled") + PRIOR_WEIGHT)).alias("host_share"))
     judged = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).join(hosts, "host")
-    judged = judged.select("host", "template", ((F.col("bad") + PRIOR_WEIGHT * F.col("host_share")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("bad_share"))
+    judged = judged.select("host", "template", "labelled", ((F.col("bad") + PRIOR_WEIGHT * F.col("host_share")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("bad_share"))
     by_path = cut(tree.select("host", "typed", "template").join(judged, ["host", "template"]), "url-verdicts")
     rule = rule_for(F.col("host"), F.col("path"), rules)
+    spread = F.sqrt(F.lit(overall * (1 - overall)) / (F.col("labelled") + PRIOR_WEIGHT))
+    impure = (F.col("bad_share") >= overall * reject_lift) & (F.col("bad_share") - overall >= spread * reject_z) & F.lit(overall > 0)
     out = p.join(by_path, ["host", "typed"]).withColumn("r", rule)
-    return out.select("id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(F.col("bad_share") >= reject_at, "block").otherwise("allow")).alias("verdict"), "template", "bad_share")
+    return out.select("id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(impure, "block").otherwise("allow")).alias("verdict"), "template", "bad_share")

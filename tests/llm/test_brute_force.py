@@ -50,40 +50,65 @@ def test_op6_base_equals_counting(spark, documents):
 
 def z(a, n, b, m):
     p, q = (a + 0.5) / (n + 1), (b + 0.5) / (m + 1)
-    return abs(p - q) / math.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
+    return (p - q) / math.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
+
+
+def sides(some, c):
+    """By child of some: where its label share and its leaf share stand against the others'."""
+    out = {}
+    for s in some:
+        a = [sum(c[x][i] for x in some if x != s) for i in range(4)]
+        zs = z(c[s][1], c[s][2], a[1], a[2]), z(c[s][3], c[s][0], a[3], a[0])
+        out[s] = tuple((v >= urls.ALIKE_Z) - (v <= -urls.ALIKE_Z) for v in zs)
+    return out
+
+
+def child_names(c):
+    """Branch names of one node's children {segment: (n, bad, labelled, ends)}."""
+    n, y = sum(x[0] for x in c.values()), sum(x[2] for x in c.values())
+    own = {s for s, x in c.items() if x[0] >= max(n**0.5, urls.FEW) or x[2] >= max(y**0.5, urls.FEW)}
+    if len(c) - len(own) >= urls.FEW:
+        return {s: s if s in own else "*" for s in c}
+    groups, out = defaultdict(list), {}
+    for s, side in sides(c, c).items():
+        groups[side].append(s)
+    for some in groups.values():
+        inner = sides(some, c) if len(some) > 1 else {some[0]: (0, 0)}
+        merged = [s for s in some if inner[s] == (0, 0)]
+        out |= {s: "|".join(sorted(merged)) if s in merged else s for s in some}
+    return out
 
 
 def brute_templates(paths):
     """(host, typed): template, for {(host, typed): (n, bad, labelled)}."""
-    rows = {}
-    for (host, typed), counts in paths.items():
-        segs = typed.removeprefix("/").split("/")
-        segs = segs[: urls.DEPTH] + ["/".join(segs[urls.DEPTH :])] if len(segs) > urls.DEPTH else segs
-        rows[host, typed] = [segs, "", counts]
-    for level in range(urls.DEPTH + 1):
-        nodes = defaultdict(lambda: defaultdict(lambda: [0, 0.0, 0, 0]))
-        for (host, _), (segs, prefix, (n, bad, labelled)) in rows.items():
-            if len(segs) > level:
-                x = nodes[host, prefix][segs[level]]
-                for i, v in enumerate((n, bad, labelled, n if len(segs) == level + 1 else 0)):
-                    x[i] += v
-        names = {}
-        for node, children in nodes.items():
-            k, total = len(children), sum(x[0] for x in children.values())
-            if k > urls.MOST_CHILDREN or k >= urls.FEW_CHILDREN and 2 * k > total:
-                names |= {(node, s): "*" for s in children}
-                continue
-            branches, last = [], None
-            for s, x in sorted(children.items(), key=lambda c: ((c[1][1] + 0.5) / (c[1][2] + 1), c[0])):
-                if last is None or z(x[1], x[2], last[1], last[2]) >= urls.ALIKE_Z or z(x[3], x[0], last[3], last[0]) >= urls.ALIKE_Z:
-                    branches.append([])
-                branches[-1].append(s)
-                last = x
-            names |= {(node, s): "|".join(sorted(b)) for b in branches for s in b}
-        for (host, _), row in rows.items():
-            if len(row[0]) > level:
-                row[1] += "/" + names[(host, row[1]), row[0][level]]
-    return {k: v[1] for k, v in rows.items()}
+    out = {}
+
+    def go(prefix, some):
+        if all(not rest for _, rest in some):
+            out.update({k: prefix for k, _ in some})
+            return
+        if len({rest for _, rest in some}) > 1 and not any(rest[:1] == () for _, rest in some) and len({rest[0] for _, rest in some}) == 1 or len({rest for _, rest in some}) == 1:
+            return go(prefix + "/" + some[0][1][0], [(k, rest[1:]) for k, rest in some])
+        out.update({k: prefix for k, rest in some if not rest})
+        going = [(k, rest) for k, rest in some if rest]
+        if sum(paths[k][0] for k, _ in some) < urls.FEW:
+            out.update({k: prefix + "/**" for k, _ in going})
+            return
+        c = defaultdict(lambda: [0, 0.0, 0, 0])
+        for k, rest in going:
+            n, bad, labelled = paths[k]
+            for i, v in enumerate((n, bad, labelled, n if len(rest) == 1 else 0)):
+                c[rest[0]][i] += v
+        names = child_names(c)
+        for name in set(names.values()):
+            branch = [(k, rest[1:]) for k, rest in going if names[rest[0]] == name]
+            out.update({k: f"{prefix}/{name}" for k, rest in branch if not rest})
+            if any(rest for _, rest in branch):
+                go(f"{prefix}/{name}", [(k, rest) for k, rest in branch if rest])
+
+    for host in {h for h, _ in paths}:
+        go("", [((h, t), tuple(t.removeprefix("/").split("/"))) for h, t in paths if h == host])
+    return out
 
 
 def test_op1_equals_a_plain_tree(spark):
@@ -112,7 +137,8 @@ def test_op1_equals_a_plain_tree(spark):
         share = (by_host[host][0] + 5 * overall) / (by_host[host][1] + 5)
         share = (by_template[host, tree[host, typed]][0] + 5 * share) / (by_template[host, tree[host, typed]][1] + 5)
         assert (r["host"], r["path"], r["rule"], r["template"]) == (host, path, rule and rule[0], tree[host, typed])
-        assert r["bad_share"] == pytest.approx(share) and r["verdict"] == (rule[1] if rule else "block" if share >= 0.5 else "allow")
+        impure = share >= 2 * overall and share - overall >= 3 * math.sqrt(overall * (1 - overall) / (by_template[host, tree[host, typed]][1] + 5))
+        assert r["bad_share"] == pytest.approx(share) and r["verdict"] == (rule[1] if rule else "block" if impure else "allow")
 
 
 def test_op10_leaves_no_entity_and_all_else(spark, documents):

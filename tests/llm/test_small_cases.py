@@ -377,3 +377,13 @@ def test_templates_generalise_merge_and_reject(spark):
         labels.append((i, 0 if part == "spam" else 1, 0))
     got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, LABELS), []).collect()
     assert {(r["template"], r["verdict"]) for r in got} == {("/spam/*/<n>", "block"), ("/blog|news/*/<n>", "allow")}
+
+
+def test_templates_of_long_paths_and_small_nodes(spark):
+    deep = "x/" * 2000
+    rows = [f"https://h.org/{deep}{i % 2}/p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["https://few.org/a/b", "https://few.org/a/c", "https://few.org/a"]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), spark.createDataFrame([], LABELS), []).collect()
+    # digits are written #, the segments behind are a wildcard
+    assert {r["template"] for r in got if r["host"] == "h.org"} == {f"/{deep}<n>/*"}
+    assert {(r["path"], r["template"]) for r in got if r["host"] == "few.org"} == {("/a/b", "/a/**"), ("/a/c", "/a/**"), ("/a", "/a")}
+    assert {r["verdict"] for r in got} == {"allow"}
