@@ -203,16 +203,71 @@ def test_suffix_tree_base_and_learning(spark):
 
 
 def test_suffix_tree_probabilities_sum_to_one():
-    words = [b"a", b"b", b"c", b"\n"]
     base = np.log10(np.array([0.4, 0.3, 0.2, 0.1]))
-    tree = suffixtree.SuffixTree(words, base)
-    tree.add_level(np.array([0, 0]), np.array([0, 0]), np.array([100, 100]), np.array([1, 2]), np.array([70, 20]))
-    pairs = np.array([0 * tree.width + 1])
-    tree.add_level(np.array([0]), np.array([1]), np.array([70]), np.array([0]), np.array([65]))
-    for context in ([0], [0, 1], [2, 0], [2, 1]):
-        before = tree.gain(np.array([tree.start, *context]), pairs)
-        logs = [tree.gain(np.array([tree.start, *context, w]), pairs) - before + base[w] for w in range(4)]
-        assert sum(10**x for x in logs) == pytest.approx(1)
+    tree = suffixtree.SuffixTree(base)
+    tree.add_level(np.array([0, 1]), np.zeros(2, int), np.array([100, 90]), np.array([0, 0, 1]), np.array([1, 2, 0]), np.array([70, 20, 85]))
+    tree.add_level(np.array([0 * tree.width + 1]), np.array([1]), np.array([70]), np.array([0, 0]), np.array([0, 2]), np.array([10, 58]))
+    assert all(not np.isnan(x).any() for x in tree.left)
+    for context in ([0], [0, 1], [2, 0], [2, 1], [3, 3]):
+        x = lambda w: np.array([tree.start, *context, w])
+        assert sum(10 ** (tree.gain(x(w))[-1] + base[w]) for w in range(4)) == pytest.approx(1)
+
+
+def brute_tree_scores(texts, train):
+    """log10 P of the texts by a plain suffix tree of dictionaries, learned from some of them."""
+    split = lambda t: [*t.encode().lower().split(), b"\n"]
+    toks = [split(t) for t in texts]
+    c = Counter(w for t, k in zip(toks, train) if k for w in t)
+    n = sum(c.values())
+    base = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
+    least_context, least_next = (max(suffixtree.LEAST, r * n**0.5) for r in (suffixtree.CONTEXT_ROOT, suffixtree.NEXT_ROOT))
+    grams = Counter()
+    for t, k in zip(toks, train):
+        for i in range(len(t) if k else 0):
+            whole = ["<s>", *t[: i + 1]]
+            grams.update(tuple(whole[-j - 1 :]) for j in range(1, min(9, len(whole))))
+    total = Counter()
+    for g, m in grams.items():
+        total[g[:-1]] += m
+    states = {}
+
+    def p(context, w):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return base(w)
+        kept, left = states[context]
+        return kept[w] if w in kept else left * p(context[1:], w)
+
+    some = [(w,) for w, m in [*c.items(), ("<s>", sum(train))] if m >= least_context and w != b"\n"]
+    follow = {}
+    for g, m in grams.items():
+        follow.setdefault(g[:-1], {})[g[-1]] = m
+    size = {x: c[x[0]] if x[0] != "<s>" else sum(train) for x in some}
+    while some:
+        new = {}
+        for x in some:
+            nxt = {w: m for w, m in follow.get(x, {}).items() if m >= least_next}
+            q = {w: p(x[1:], w) for w in nxt}
+            mine = {w: (m + suffixtree.SMOOTHING * q[w]) / (size[x] + suffixtree.SMOOTHING) for w, m in nxt.items()}
+            rest, before = max(1 - sum(mine.values()), 1e-9), max(1 - sum(q.values()), 1e-9)
+            apart = size[x] * (sum(mine[w] * math.log(mine[w] / q[w]) for w in nxt) + rest * math.log(rest / before))
+            if nxt and apart >= suffixtree.DIVERGENCE * math.log(max(size[x], 2)) * (len(nxt) + 1):
+                new[x] = mine, rest / before
+        states |= new
+        size = {(*x, w): m for x in some for w, m in follow.get(x, {}).items() if m >= max(least_context, least_next) and w != b"\n" and (*x[1:], w) in new}
+        some = list(size)
+    return [sum(math.log10(p(("<s>", *t[:i]), w)) for i, w in enumerate(t)) for t in toks], max(map(len, states), default=0)
+
+
+def test_suffix_tree_equals_a_plain_one(spark):
+    rng = random.Random(9)
+    phrase = lambda: rng.choice(["a b c d", "x b c e", "a b c d e f g", "p q r s", "z q r t"])
+    texts = [" ".join(phrase() if rng.random() < 0.6 else rng.choice("abcdefgpqrstxyz") for _ in range(30)) for _ in range(250)]
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(250)]
+    want, depth = brute_tree_scores(texts, train)
+    got = {int(r["id"]): r["score"] for r in suffixtree.score_documents(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")).collect()}
+    assert depth >= 3 and [got[i] for i in range(250)] == pytest.approx(want)
 
 
 def test_toxicity_small_cases(spark):
