@@ -17,22 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def cut_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are, in the shared folder."""
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation before it."""
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation before it.
+
+    The table stays, as what is made of it is evaluated later; see release()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{cut_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once results that are made of them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cut_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have."""
     while name in df.columns:

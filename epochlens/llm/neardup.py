@@ -259,8 +259,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     an id have the class of their own text. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    signed = cut(src.mapInArrow(_sign(bands, rows), "id long, mark long, node long, keys array<long>, sig binary"), "signatures")
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = cut(src.mapInArrow(_sign(bands, rows), f"id {src.schema['id'].dataType.simpleString()}, mark long, node long, keys array<long>, sig binary"), "signatures")
     nodes = cut(signed.where("sig is not null").select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
@@ -311,12 +311,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay when each class keeps the text of its smallest id.
 
-    Documents without words all stay. Rows that repeat both id and text are one document and stay once.
+    Documents without words all stay, null and empty texts included. Rows that repeat both id and text are one
+    document and stay once: of rows that differ elsewhere the one of the smallest digest. Columns keep their names,
+    whatever they are; an empty table gives an empty result.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("x")).select("x.id", "x.mark")
-    stays = first.union(found.where("component is null").select("id", "mark")).distinct()
-    stays = cut(stays.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), "stays")
-    marked = docs.withColumn("__m", F.xxhash64(docs[text_col].cast("string")))
-    kept = marked.join(stays.hint("shuffle_hash"), marked[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left_semi")
-    return kept.dropDuplicates([id_col, "__m"]).select(*docs.columns)
+    stays = cut(first.union(found.where("component is null").select("id", "mark")).distinct(), "stays")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    s = stays.select(F.col("id").alias("s_id"), F.col("mark").alias("s_mark")).hint("shuffle_hash")
+    kept = rows.join(s, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left_semi")
+    return kept.groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import bound
 from epochlens.llm.common import cut
-from epochlens.llm.decontaminate import bound
 
 #: Given names by gender, as the detector knows them; more can be passed in.
 GIVEN = {
@@ -146,7 +146,11 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         user, host = F.substring_index(name, "@", 1), F.substring_index(name, "@", -1)
         tld = F.substring_index(host, ".", -1)
         zone = F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1)
-        mail = F.concat(shaped(user, s), F.lit("@"), bound(stream(key, F.lit("zone"), zone, F.lit(0), F.length(zone)), lambda z: shaped(zone, z)), F.lit("."), tld)
+        # where a short form's replacements are used up, later attempts are longer
+        more = F.floor(attempt / 8).cast("int")
+        digits, letters = (F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.substring(F.translate(s, "abcdef", "012345") if x else F.translate(s, "0123456789", "ghijklmnop"), i + 8, F.lit(1))), "") for x in (True, False))
+        grown = lambda text, tail: F.when(more > 0, F.concat(text, tail)).otherwise(text)
+        mail = F.concat(grown(shaped(user, s), letters), F.lit("@"), bound(stream(key, F.lit("zone"), zone, F.lit(0), F.length(zone)), lambda z: shaped(zone, z)), F.lit("."), tld)
         ip = F.concat_ws(".", byte(s, F.lit(1)) % 223 + 1, byte(s, F.lit(2)), byte(s, F.lit(3)), byte(s, F.lit(4)))
         number = bound(shaped(name, s), lambda x: F.concat((byte(s, F.lit(32)) % 9 + 1).cast("string"), F.substring(x, F.lit(2), F.length(x))))
         open_card = lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.lit("0"))
@@ -154,7 +158,7 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         zero = bound(shaped(F.substring(name, F.lit(5), F.length(name)), s), lambda x: F.concat(F.substring(name, 1, 2), F.lit("00"), x))
         iban = bound(zero, lambda x: F.concat(F.substring(name, 1, 2), F.lpad((98 - iban_rest(x)).cast("string"), 2, "0"), F.substring(x, F.lit(5), F.length(x))))
         secret = F.when(name.rlike("^[0-9a-f]+$"), shaped(name, s, "abcdef")).otherwise(shaped(name, s))
-        return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "iban", iban).when(kind == "secret", secret).otherwise(invented_name(kind, name, s, attempt))
+        return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), grown(number, digits)).when(kind == "iban", iban).when(kind == "secret", grown(secret, digits)).otherwise(invented_name(kind, name, s, attempt))
 
     return bound(stream(key, kind, name, attempt, F.greatest(F.length(name), F.lit(32))), of)
 
@@ -167,7 +171,8 @@ def laid_out(surface: Column, kind: Column, made: Column) -> Column:
         filled = c.rlike("[A-Za-z0-9]") | kind.isin("email")
         return F.struct(F.concat(acc["o"], F.when(filled, x).otherwise(c)).alias("o"), (acc["i"] + F.when(filled, 1).otherwise(0)).alias("i"))
 
-    by_character = F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")), one)["o"]
+    # what a longer replacement has beyond the mention follows it
+    by_character = bound(F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")), one), lambda x: F.concat(x["o"], F.substring(made, x["i"], F.length(made))))
     name = F.when((F.upper(surface) == surface) & (F.length(surface) > 1), F.upper(made)).when(F.lower(surface) == surface, made).otherwise(F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made))))
     return F.when(kind.isin("given_f", "given_m", "surname"), name).when(kind == "ip", made).otherwise(by_character)
 
@@ -216,6 +221,5 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     filled = filled.groupBy("id", "mark").agg(F.array_sort(F.collect_set("x")).alias("xs")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "xs")
     whole = hit.join(filled, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")))
     text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.when(i < F.size("xs"), F.element_at("xs", F.least(i + 1, F.size("xs")))["new"]).otherwise(""))), "")
-    whole = whole.select("row.*", text.alias("__new_text"), F.size("found").alias("pii_entities"))
-    whole = whole.withColumn(text_col, F.col("__new_text")).select(*cols, "pii_entities")
-    return clean.select(*cols, "pii_entities").unionByName(whole)
+    whole = whole.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.size("found").alias("pii_entities"))
+    return clean.unionByName(whole)

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlens.llm import decontaminate, itq, langid, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
-from epochlens.llm.common import components, shared_dir
+import corpus_pipeline
+from epochlens.llm.common import components, cut, cut_dir, release, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, node long, size string, score int"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -356,6 +357,65 @@ def test_decontamination_small_cases(spark):
     assert decontaminate.contaminated(empty(spark), items).count() == 0 == decontaminate.contaminated(docs(spark), items.limit(0)).count()
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([("a", "Forty Two"), ("b", "yes"), ("c", "one two three four"), ("d", "forty-two"), ("e", "...")], "item_id string, text string")
+    rows = [("x", LONG + " it is forty, two. " + LONG), ("y", "forty and two"), ("z", "one two three four five"), ("n", None), ("w", "oh YES")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id string, text string"), items).collect()
+    assert sorted((r["id"], r["item"], r["item_copies"], r["containment"]) for r in got) == [("w", "b", 1, 1.0), ("x", "a", 2, 1.0), ("z", "c", 1, 1.0)]
+
+
+NAMES = ["__id", "__mark", "__m", "__t", "__new_text", "row", "mark", "found", "gaps", "found_id", "s_id", "xs", "scored", "i d"]
+
+
+def test_any_names_and_text_ids(spark):
+    d = docs(spark).drop("id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", *[F.lit(k).alias(c) for k, c in enumerate(NAMES)])
+    d = d.union(d.where("doc_id = '5'").withColumn("row", F.lit(77)))  # equal in id and text alone
+    items = spark.createDataFrame([("q", "one two three four five six")], "item_id string, text string")
+    want = sorted(("None" if i is None else str(i), (t or "")[:3]) for i, t in ROWS)
+    key = lambda rows: sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in rows)
+    one = neardup.one_of_each(d)
+    assert one.columns == d.columns and key(one.collect()) == key([r for r in d.dropDuplicates(["doc_id", "text"]).collect() if r["doc_id"] != "6"])
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in neardup.one_of_each(d.repartition(5)).collect()}
+    left = decontaminate.without_contaminated(d, items)
+    assert left.columns == d.columns and key(left.collect()) == sorted([x for x in want if x[1] != "one"] + [("5", LONG[:3])])
+    changed = pii.replace_entities(d.withColumn("text", F.concat("text", F.lit(" a.b@x.com"))), "k")
+    assert changed.columns == [*d.columns, "pii_entities"] and changed.count() == len(ROWS) + 1 and changed.where("text like '%a.b@x.com%'").count() == 0
+    assert {tuple(r[c] for c in NAMES) for r in changed.where("row <> 77").collect()} == {tuple(range(len(NAMES)))}
+
+
+def test_surrogates_of_a_full_space_get_longer(spark):
+    rows = [(i, f"{chr(97 + i)}@x.com +1234{i % 10}") for i in range(26)]
+    out = [r["text"].split()[0] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(out)) == 26 and not set(out) & {t.split()[0] for _, t in rows} and len({x.split("@")[1] for x in out}) == 1
+
+
+def test_pipeline_small_cases(spark, tmp_path):
+    sf = str(tmp_path)
+    d = docs(spark, [*ROWS, (8, "write to a.b@x.com today please, it is about the plan")]).drop("id").select("*", *[F.lit(k).alias(c) for k, c in enumerate(NAMES)])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (None, 0, 1), (7, 0, None)], LABELS)
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, "")], "item_id long, text string")
+    for name, df in {"documents": d, "labels": labels, "benchmark": items}.items():
+        df.write.parquet(f"{sf}/a/{name}.parquet")
+        df.limit(0).write.parquet(f"{sf}/b/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{sf}/a")
+    rows = out.collect()
+    assert out.columns == d.columns and all(tuple(r[c] for c in NAMES) == tuple(range(len(NAMES))) for r in rows)
+    assert {r["doc_id"] for r in rows} <= {None, 1, 2, 3, 4, 5, 7, 8}
+    assert not any("a.b@x.com" in (r["text"] or "") or (r["text"] or "").startswith("one two") for r in rows) and "5" in {str(r["doc_id"]) for r in rows} and 6 not in {r["doc_id"] for r in rows}
+    none = corpus_pipeline.run(spark, f"{sf}/b")
+    assert none.columns == d.columns and none.count() == 0
+
+
+def test_release_deletes_the_tables(spark):
+    import os
+
+    kept = cut(spark.range(3), "test")
+    path = cut_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and os.listdir(path)
+    release(spark)
+    assert not os.path.exists(path)
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     rows = []
