@@ -55,6 +55,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A side of a join is broadcast up to this many rows and bytes, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small by count and by size. df has been written, so the count costs little."""
+    text = [c for c, t in df.dtypes if t not in ("int", "bigint", "boolean", "double")]
+    size = sum((F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) for c in text), F.lit(8 * len(df.columns)))
+    got = df.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= BROADCAST_ROWS and (got["b"] or 0) <= BROADCAST_BYTES else df
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for steps that are heavy on CPU, which Spark would otherwise coalesce by bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,13 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.functions.base import bound
-from epochlens.llm.common import cut, unused
+from epochlens.llm.common import cut, if_small, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Minima kept of an item; items with fewer shingles keep them all.
 SKETCH = 16
-#: A side of a join is broadcast up to this many rows (about 64 MB as a hash table), and shuffled beyond.
-BROADCAST_ROWS = 500_000
 #: Of contained items, at most this share is missed by the sketch.
 MISSED = 1e-6
 
@@ -50,11 +48,6 @@ def least_hits(k: int, threshold: float, missed: float = MISSED) -> int:
     return max(1, m)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are few. df has been written, so the count costs little."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, mark, item, item_copies, item_shingles, shared_shingles, containment): items whose 5-word shingles lie in a document to at least threshold. mark is the xxhash64 of the text.
 

@@ -8,20 +8,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from epochlens.llm.common import components, cut, whole_groups, width
+from epochlens.llm.common import components, cut, if_small, whole_groups, width
 
 #: Vectors that the rotation is learned from, chosen by a hash of the id; every vector is indexed.
 SAMPLE, ITERATIONS = 4000, 30
-#: Tables of so many code bits each. At cosine 0.93 a bit differs with probability 0.12, so a pair shares
-#: all 8 bits of a table with 0.36 and one of 16 tables with 0.999.
-TABLES, BITS = 16, 8
+#: Tables that codes are looked up in. At cosine 0.93 a bit differs with probability 0.12, so two codes share all 8 bits
+#: of a table with 0.36 and one of 16 tables with 0.999.
+TABLES = 16
+#: Key bits of a table: so many that a bucket of evenly spread codes has ROWS_A_BUCKET rows, within these bounds.
+LEAST_BITS, MOST_BITS, ROWS_A_BUCKET = 8, 20, 64
+#: Keys of up to so many bits are looked up as they are, which finds 0.98 of pairs at 0.93; longer ones also with one bit
+#: changed, which finds 0.99 with 20 bits.
+EXACT_BITS = 10
+#: Codes that differ in more than this share of their bits aren't compared: 4.5 deviations above the mean of 64 bits at 0.93.
+MOST_APART = 0.3
 #: Rows of a bucket that are compared with each other at once.
 TILE = 2048
 
 
 def unit_rows(vectors: list[list[float] | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows have one: null, zero and non-finite ones don't."""
+    """Unit vectors in double precision, of the largest length there is, and which rows have one: null, zero, shorter and non-finite ones don't."""
     dim = max((len(v) for v in vectors if v), default=0)
     ok = np.array([v is not None and len(v) == dim and dim > 0 and None not in v for v in vectors], bool)
     x = np.zeros((len(vectors), dim))
@@ -48,63 +56,132 @@ def learn_rotation(x: np.ndarray, iterations: int = ITERATIONS, seed: int = 5) -
     return mean, axes @ r
 
 
-def table_bits(dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 6) -> np.ndarray:
-    """Which code bits each table takes: the code cut into tables, then cut again after shuffles of its bits."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < tables:
-        order = np.arange(dim) if not out else rng.permutation(dim)
-        out += [order[i : i + bits] for i in range(0, dim - min(bits, dim) + 1, min(bits, dim))]
-    return np.array(out[:tables])
+def table_bits(dim: int, bits: int, tables: int = TABLES, seed: int = 6) -> np.ndarray:
+    """Which code bits each table takes, table by table: shuffles of all bits, one after another, cut into pieces."""
+    rng = np.random.default_rng(seed)
+    bits, order = min(bits, dim), np.arange(dim)
+    while len(order) < tables * bits:
+        order = np.r_[order, rng.permutation(dim)]
+    return order[: tables * bits].reshape(tables, bits)
 
 
-def _keys(mean: np.ndarray, projection: np.ndarray, picks: np.ndarray):
+def table_keys(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of codes (rows by code bits) in every table."""
+    picks = table_bits(codes.shape[1], bits)
+    return (codes[:, picks] * (1 << np.arange(picks.shape[1]))).sum(2).astype(np.int32)
+
+
+def unpacked(codes: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+    return np.unpackbits(packed, axis=1, count=dim)
+
+
+#: What a tile of a bucket is told by.
+BUCKET = ["of", "place", "key", "tile"]
+
+
+def _codes(rotations: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Unit vectors and their codes. A length that the sample hasn't is projected onto random axes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(rotations)
         for batch in batches:
-            x, ok = unit_rows([v if v is not None and len(v) == len(mean) else None for v in batch.column("embedding").to_pylist()])
-            x = x if x.shape[1] else np.zeros((len(ok), len(mean)))
-            code = (x - mean) @ projection >= 0
-            keys = (code[:, picks] * (1 << np.arange(picks.shape[1]))).sum(2).astype(np.int32)
-            unit = [v.tobytes() if k else None for v, k in zip(x, ok, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(list(keys), pa.list_(pa.int32())), pa.array(unit, pa.binary())], ["id", "label", "keys", "unit"])
+            vectors = batch.column("embedding").to_pylist()
+            unit, code, size = [None] * len(vectors), [None] * len(vectors), [len(v) if v else 0 for v in vectors]
+            for dim in set(size) - {0}:
+                if dim not in known:
+                    known[dim] = np.zeros(dim), np.linalg.qr(np.random.default_rng(5).normal(size=(dim, dim)))[0]
+                rows = [i for i, d in enumerate(size) if d == dim]
+                x, ok = unit_rows([vectors[i] for i in rows])
+                mean, projection = known[dim]
+                packed = np.packbits((x - mean) @ projection >= 0, axis=1)
+                for i, v, c, fine in zip(rows, x, packed, ok, strict=True):
+                    if fine:
+                        unit[i], code[i] = v.tobytes(), c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(size, pa.int32()), pa.array(code, pa.binary()), pa.array(unit, pa.binary())], ["id", "label", "dim", "code", "unit"])
 
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node in every table under its key, and with long keys as a probe under those with a one turned to zero; of two
+    codes that differ in one bit of a table so exactly one meets the other."""
+    for batch in batches:
+        node, of, dim, bits, code = (batch.column(c) for c in ("node", "of", "dim", "bits", "code"))
+        dim, bits = dim.to_numpy(), bits.to_numpy()
+        for d, b in {*zip(dim.tolist(), bits.tolist(), strict=True)}:
+            rows = np.flatnonzero((dim == d) & (bits == b))
+            keys = table_keys(unpacked(code.take(pa.array(rows)), d), b)
+            at, place = (x.ravel() for x in np.indices(keys.shape))
+            key, probe = keys.ravel(), np.zeros(keys.size, bool)
+            if b > EXACT_BITS:
+                one = (key[:, None] >> np.arange(min(b, d))) & 1
+                i, bit = np.nonzero(one)
+                at, place, key, probe = np.r_[at, at[i]], np.r_[place, place[i]], np.r_[key, key[i] - (1 << bit)], np.r_[probe, np.ones(len(i), bool)]
+            take = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([node.take(take), of.take(take), pa.array(place, pa.int32()), pa.array(key, pa.int32()), pa.array(probe), pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), b), pa.int32()), code.take(take)], ["node", "of", "place", "key", "probe", "dim", "bits", "code"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for t in whole_groups(batches, BUCKET):
+        of, place, key, tile = (t.column(c).to_numpy() for c in BUCKET)
+        starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+        for i, j in zip(starts, np.r_[starts[1:], len(of)], strict=True):
+            if j - i > 1:
+                yield t.slice(i, j - i)
+
+
+def _meeting(t: pa.Table) -> np.ndarray:
+    """Which rows of a tile are compared: not two probes, across the sides of a tile of two blocks, and in the first table
+    in which the two meet. Their codes tell all that, and must not be too far apart."""
+    probe, side = t.column("probe").to_numpy(), t.column("side").to_numpy()
+    dim, bits, place = (int(t.column(c)[0].as_py()) for c in ("dim", "bits", "place"))
+    code = unpacked(t.column("code"), dim)
+    ok = ~(probe[:, None] & probe[None, :])
+    np.fill_diagonal(ok, False)
+    if t.column("tile")[0].as_py() < 0:
+        ok &= side[:, None] != side[None, :]
+    plain = code.astype(np.float32)
+    ones = plain.sum(1)
+    ok &= ones[:, None] + ones[None, :] - 2 * (plain @ plain.T) <= max(MOST_APART * dim, 2)
+    if place and ok.any():
+        keys = table_keys(code, bits)
+        reach = 1 if bits > EXACT_BITS else 0
+        a, b = np.nonzero(np.triu(ok))
+        early = np.zeros(len(a), bool)
+        for k in range(place):
+            early |= np.bitwise_count(keys[a, k] ^ keys[b, k]) <= reach
+        ok[a[early], b[early]] = ok[b[early], a[early]] = False
+    return ok
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that have another to be compared with, without codes' neighbours: vectors are fetched for these alone."""
+    for t in _tiles(batches):
+        hit = _meeting(t).any(1)
+        if hit.any():
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+
+
 def _compared(threshold: float):
-    """For each node of a tile that links with another in this table first: how many vectors those are, and the
-    smallest node that the tile's links reach."""
+    """For each node of a tile that links with another there: how many vectors those are, and the smallest node that
+    the tile's links reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["label", "place", "key", "tile"]):
-            label, place, key, tile, side, node, copies = (t.column(c).to_numpy() for c in ("label", "place", "key", "tile", "side", "node", "copies"))
-            head = np.r_[True, (label[1:] != label[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
-            starts = np.flatnonzero(head)
-            keys = np.array(t.column("keys").to_pylist())
+        for t in _tiles(batches):
             unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(t.num_rows, -1)
-            a, n, to = [], [], []
-            for i, j in zip(starts, np.r_[starts[1:], t.num_rows], strict=True):
-                if j - i < 2:
-                    continue
-                near = unit[i:j] @ unit[i:j].T >= threshold
-                np.fill_diagonal(near, False)
-                if tile[i] < 0:
-                    near &= side[i:j, None] != side[None, i:j]
-                p, q = np.nonzero(near)
-                if not len(p):
-                    continue
-                late = (keys[p + i] == keys[q + i]).argmax(1) != place[i]
-                near[p[late], q[late]] = False
-                hit = np.flatnonzero(near.any(1))
-                near = near[np.ix_(hit, hit)]
-                reach, was = np.arange(len(hit)), None
-                while was is None or (reach != was).any():
-                    was = reach
-                    reach = np.minimum(reach, np.where(near, reach[None, :], len(hit)).min(1, initial=len(hit)))
-                    reach = reach[reach]
-                a += node[hit + i].tolist()
-                n += (near @ copies[hit + i]).tolist()
-                to += node[hit[reach] + i].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(to, pa.int64())], ["node", "n", "to"])
+            near = (unit @ unit.T >= threshold) & _meeting(t)
+            hit = np.flatnonzero(near.any(1))
+            if not len(hit):
+                continue
+            node, copies = t.column("node").to_numpy()[hit], t.column("copies").to_numpy()[hit]
+            near = near[np.ix_(hit, hit)]
+            reach, was = np.arange(len(hit)), None
+            while was is None or (reach != was).any():
+                was = reach
+                reach = np.minimum(reach, np.where(near, reach[None, :], len(hit)).min(1, initial=len(hit)))
+                reach = reach[reach]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(near @ copies), pa.array(node[reach])], ["node", "n", "to"])
 
     return run
 
@@ -112,37 +189,47 @@ def _compared(threshold: float):
 def embedding_links(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of every row of vectors, which link within a label at cosine >= threshold.
 
-    The rotation is fitted to a bounded sample; all vectors are coded and put into every table by their bits
-    there. Vectors with equal label and direction are one node that counts as often as it occurs. Nodes of a
-    bucket are compared in double precision, a pair in the first table that it shares, in tiles of bounded
-    size; a tile puts out counts and a reach for each node, never pairs.
+    Rotations are fitted to a bounded sample, one for each length of vectors in it; all vectors are coded and put into
+    every table under a key of bits of their code. Keys get longer with the number of vectors of a label, and long
+    ones are also looked up with one bit changed, so buckets don't grow with the table. Vectors with equal label and
+    direction are one node that counts as often as it occurs. Buckets hold codes alone, in tiles of bounded
+    size; vectors are fetched for nodes with a code nearby and compared in double precision, each pair in the first table
+    in which it meets. A tile puts out counts and a reach for each node, never pairs.
 
-    Null labels, and vectors that are null, zero, of another length than most or hold null or non-finite
-    components, link with nothing and are their own component. Rows that repeat an id are vectors of their own.
-    An empty table gives an empty result.
+    Null labels, and vectors that are null, zero or hold null or non-finite components, link with nothing and are their
+    own component; so are vectors of different lengths to each other. Labels and ids may be of any type that sorts.
+    Rows that repeat an id are vectors of their own. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("long").alias("label"), vectors[vector_col].cast("array<double>").alias("embedding"))
+    label = vectors[label_col]
+    if isinstance(vectors.schema[label_col].dataType, (T.FloatType, T.DoubleType)):
+        label = label + F.lit(0.0)  # minus zero is zero
+    rows = vectors.select(vectors[id_col].alias("id"), label.cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("embedding"))
     learned = rows.where("embedding is not null").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("embedding").collect()
-    sizes = [len(r[0]) for r in learned]
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d), default=1) or 1
-    x, ok = unit_rows([r[0] if len(r[0]) == dim else None for r in learned])
-    mean, projection = learn_rotation(x[ok]) if ok.sum() > 1 else (np.zeros(dim), np.eye(dim))
-    picks = table_bits(dim)
-    coded = rows.mapInArrow(_keys(mean, projection, picks), "id long, label long, keys array<int>, unit binary")
-    coded = cut(coded.withColumn("node", F.when(F.col("label").isNotNull() & F.col("unit").isNotNull(), F.xxhash64("label", "unit"))), "codes")
-    nodes = coded.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first(F.struct("label", "keys", "unit")).alias("x")).select("node", "copies", "x.*")
+    rotations = {}
+    for dim in {len(r[0]) for r in learned} - {0}:
+        x, ok = unit_rows([r[0] for r in learned if len(r[0]) == dim])
+        if ok.sum() > 1:
+            rotations[dim] = learn_rotation(x[ok])
+    coded = rows.mapInArrow(_codes(rotations), f"id {rows.schema['id'].dataType.simpleString()}, label string, dim int, code binary, unit binary")
+    of = F.when(F.col("label").isNotNull() & F.col("unit").isNotNull(), F.xxhash64("label", "dim"))
+    coded = cut(coded.withColumn("of", of).withColumn("node", F.when(of.isNotNull(), F.xxhash64("of", "unit"))), "codes")
+    nodes = coded.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first(F.struct("of", "dim", "code", "unit")).alias("x")).select("node", "copies", "x.*")
     nodes = cut(nodes, "vectors")
-    placed = nodes.select("node", "label", F.posexplode("keys").alias("place", "key"))
-    shared = placed.groupBy("label", "place", "key").agg(F.count("*").alias("n")).where("n > 1")
-    placed = placed.join(shared, ["label", "place", "key"]).withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
+    sizes = cut(nodes.groupBy("of").agg(F.count("*").alias("n")), "label-sizes")
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("n") / ROWS_A_BUCKET)).cast("int"), F.lit(LEAST_BITS)), F.lit(MOST_BITS))
+    wide = nodes.join(if_small(sizes.select("of", bits.alias("bits"))), "of").select("node", "of", "dim", "bits", "code")
+    placed = cut(wide.mapInArrow(_placed, "node long, of long, place int, key int, probe boolean, dim int, bits int, code binary"), "places")
+    shared = placed.groupBy("of", "place", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("own")).where("n > 1 and own > 0")
+    placed = placed.join(shared.select("of", "place", "key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), ["of", "place", "key"])
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
     tile = F.when(F.col("mine") == F.col("other"), tile).otherwise(-1 - tile)
-    placed = placed.select("node", "label", "place", "key", tile.alias("tile"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    full = placed.join(nodes.drop("label"), "node")
-    found = full.repartition(width(spark), "label", "place", "key", "tile").sortWithinPartitions("label", "place", "key", "tile").mapInArrow(_compared(threshold), "node long, n long, to long")
-    found = cut(found, "vector-links")
+    placed = placed.select("node", "of", "place", "key", tile.alias("tile"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "probe", "dim", "bits", "code")
+    in_tiles = lambda df: df.repartition(width(spark), *BUCKET).sortWithinPartitions(*BUCKET)
+    flagged = cut(in_tiles(placed).mapInArrow(_flagged, placed.schema), "flagged")
+    full = flagged.join(nodes.select("node", "copies", "unit"), "node")
+    found = cut(in_tiles(full).mapInArrow(_compared(threshold), "node long, n long, to long"), "vector-links")
     reached = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     first = coded.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"))

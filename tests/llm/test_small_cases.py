@@ -439,6 +439,51 @@ def test_embedding_links_equal_brute_force(spark):
     assert itq.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def links_by_brute_force(rows, threshold=0.93):
+    """{id: (links, component)} of (id, vector, label) rows by all pairs."""
+    near, reach = {}, {}
+    for i, v, y in rows:
+        near[i] = []
+        if v is None or y is None or None in v or not np.isfinite(v).all() or not np.any(v):
+            continue
+        x = np.array(v) / np.linalg.norm(v)
+        near[i] = [j for j, w, z in rows if j != i and z == y and w is not None and len(w) == len(v) and None not in w and np.isfinite(w).all() and np.any(w) and x @ (np.array(w) / np.linalg.norm(w)) >= threshold]
+    for i in sorted(near):
+        todo = [i] if i not in reach else []
+        while todo:
+            j = todo.pop()
+            if j not in reach:
+                reach[j] = i
+                todo += near[j]
+    return {i: (len(near[i]), reach[i]) for i in near}
+
+
+@pytest.mark.parametrize("tile, a_bucket", [(2048, 64), (7, 64), (2048, 0.001), (7, 0.001)])
+def test_embedding_links_of_the_given_table(spark, monkeypatch, tile, a_bucket):
+    monkeypatch.setattr(itq, "TILE", tile)
+    monkeypatch.setattr(itq, "ROWS_A_BUCKET", a_bucket)  # with the small one keys are of 19 bits, and probed
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rng = np.random.default_rng(2)
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]], r["label"]) for r in table.collect()]
+    # near copies around a common vector, and around others
+    rows += [(10_000 + i, (np.array(rows[i % 40 if i % 2 else 3][1]) + rng.normal(size=64) * 0.03).tolist(), rows[i % 40 if i % 2 else 3][2]) for i in range(160)]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in itq.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = links_by_brute_force(rows)
+    found, all_links = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
+    assert all_links > 3000 and 0.97 * all_links <= found <= all_links and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
+def test_embedding_links_of_any_labels_lengths_and_ids(spark):
+    a, b = [1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 0.0]
+    rows = [("p", a, 1.2), ("q", [2 * x for x in a], 1.2), ("r", a, 1.7), ("s", b, 1.2), ("t", b, 1.2), ("u", [], 1.2), ("v", [], 1.2), ("w", a, 0.0), ("x", a, -0.0), ("y", [1e200] * 3, 1.2), ("z", [2e200] * 3, 1.2)]
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in itq.embedding_links(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label double")).collect()}
+    pair = {"p": "q", "s": "t", "w": "x", "y": "z"}
+    assert got == {i: (1, x, i == x) for x, y in pair.items() for i in (x, y)} | {i: (0, i, True) for i in "ruv"}
+    texts = spark.createDataFrame([(1, a, "m"), (2, a, "m"), (3, a, "n")], "vec_id int, embedding array<float>, label string")
+    assert {r["id"]: r["n_links"] for r in itq.embedding_links(texts).collect()} == {1: 1, 2: 1, 3: 0}
+
+
 def test_surrogates(spark):
     rows = [*ROWS, (30, "Mr. John Smith met ANNA Kovacs. Dr. Smith, Frau Anna Müller; г-н Иван Петров."), (31, "+1 (555) 123-4567 or +1 555 123 4567; DE89 3704 0044 0532 0130 00 and DE89370400440532013000; 4111-1111-1111-1111, 4111111111111111; 123-45-6789"), (32, 'a.b@x.com A.B@X.COM ab@x.com c@x.com 10.0.0.1. token = "abcDEF0123456789xyz"')]
     out = pii.replace_entities(docs(spark, rows).withColumn("pii_entities", F.lit("clash")), "k").collect()
