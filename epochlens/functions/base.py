@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +16,28 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, read back: for what is used several times. It stays as long as
+    that folder; in local mode without the setting a temporary one is taken."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ranged_ranks(df: DataFrame, order: list, within: list[str], name: str) -> DataFrame:
     """df with the 1-based rank of each row in an order, or in the order of its group within.
 
-    Rows are dealt into ranges and kept, ranges are counted, and a row's rank is its place in its range plus the
-    counts before; so no task ranks more than its range. Kept rows are read twice, with the same ranges.
+    Rows are dealt into ranges and written with the number of their range, ranges are counted, and a row's rank is its
+    place in its range plus the counts before; so no task ranks more than its range, and a lost executor changes nothing.
     """
-    parts = df.repartitionByRange(*within, *order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    parts = written(df.repartitionByRange(*within, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("__p", *within).agg(F.count("*").alias("__c"))
     earlier = W.partitionBy(*within).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select("__p", *within, F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))

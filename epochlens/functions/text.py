@@ -118,14 +118,15 @@ def normalize_term(c: Column) -> Column:
 def tokenized(df: DataFrame, id_col: str, fields: list[str], stem: bool = True) -> DataFrame:
     """(id, field, toks): the tokens of each field as one text with a blank around each.
 
-    Stems are found for the distinct vocabulary alone and joined back, so Python sees each word once.
+    Stems are found for the distinct vocabulary alone and joined back, so Python sees each word once. Rows that repeat
+    an id stay apart.
     """
     cols = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-    long = df.select(F.col(id_col).alias("id"), F.explode(cols).alias("x")).select("id", "x.field", "x.toks")
+    long = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(cols).alias("x")).select("id", "row", "x.field", "x.toks")
     if stem:
-        words = long.select("id", "field", F.posexplode("toks").alias("pos", "word"))
+        words = long.select("id", "row", "field", F.posexplode("toks").alias("pos", "word"))
         stems = words.select("word").distinct().withColumn("stem", stem_word(F.col("word")))
-        words = words.join(stems, "word").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))
+        words = words.join(stems, "word").groupBy("id", "row", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))
         long = words.select("id", "field", F.col("x.stem").alias("toks"))
     return long.where(F.size("toks") > 0).select("id", "field", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("toks"))
 

@@ -48,14 +48,17 @@ def denominators(weights: DataFrame, bins: DataFrame, physical: str = "physical_
     """Per bin, zero-filled: the sum of weights, objects and distinct clusters.
 
     Objects are distinct physical ids, or rows with count_rows, as for filtered corpora; a missing cluster is
-    then one of its own. Distinct counts come from (bin, id) pairs that are aggregated before the shuffle.
+    then one of its own. Distinct ids are counted from sums a (bin, id), which are taken before the shuffle.
     """
+    zero = F.lit(0)
     if count_rows:
-        objects, clusters = F.count("*"), F.count_distinct(F.coalesce(F.col(cluster), F.concat(F.lit("row-"), F.col(id_col))))
+        c = F.coalesce(F.col(cluster), F.concat(F.lit("row-"), F.col(id_col)))
+        per = weights.groupBy("bin_start", c.alias("__c")).agg(F.sum("weight").alias("w"), F.count("*").alias("o"))
+        per_bin = per.groupBy("bin_start").agg(F.sum("w").alias("w"), F.sum("o").alias("o"), F.count("__c").alias("c"))
     else:
-        objects, clusters = F.count_distinct(physical), F.count_distinct(cluster)
-    per_bin = weights.groupBy("bin_start").agg(F.sum("weight").alias("w"), objects.alias("o"), clusters.alias("c"))
-    zero = F.lit(0)
+        per = weights.groupBy("bin_start", F.col(physical).alias("__o")).agg(F.sum("weight").alias("w"))
+        own = weights.groupBy("bin_start", F.col(cluster).alias("__c")).agg(F.lit(1)).groupBy("bin_start").agg(F.count("__c").alias("c"))
+        per_bin = per.groupBy("bin_start").agg(F.sum("w").alias("w"), F.count("__o").alias("o")).join(own, "bin_start", "left")
     return bins.join(per_bin, "bin_start", "left").select(*bins.columns, F.coalesce("w", F.lit(0.0)).alias("eligible_weight"), F.coalesce("o", zero).alias("object_count"), F.coalesce("c", zero).alias("cluster_count"))
 
 

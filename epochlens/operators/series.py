@@ -15,9 +15,17 @@ def series_points(hits: DataFrame, weights: DataFrame, denominators: DataFrame,
     hits: distinct (query_id, id). share: the retrieved share p, whose lift is share / p and the value; without
     it, for phrase matches, the share is the value. A missing cluster is one of its own.
     """
-    h = hits.select("query_id", F.col("id").alias(id_col))
-    mass = h.join(weights, id_col).groupBy("query_id", "bin_start").agg(
-        F.sum("weight").alias("m"), F.count("*").alias("o"), F.count_distinct(F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("row-"), F.col(id_col).cast("string")))).alias("c"))
+    hit_weights = hits.select("query_id", F.col("id").alias(id_col)).join(weights, id_col).withColumn("__c", F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("row-"), F.col(id_col).cast("string"))))
+    return series_of_weights(hit_weights, denominators, queries, share, "__c")
+
+
+def series_of_weights(hit_weights: DataFrame, denominators: DataFrame, queries: DataFrame, share: float | None = None, cluster: str = "visual_cluster_id") -> DataFrame:
+    """series_points() from the weights of the hits themselves: (query_id, bin_start, weight, cluster), a row for each hit and bin.
+
+    Clusters are counted from sums a (query, bin, cluster), which are taken before the shuffle.
+    """
+    per = hit_weights.groupBy("query_id", "bin_start", F.col(cluster).alias("__c")).agg(F.sum("weight").alias("m"), F.count("*").alias("o"))
+    mass = per.groupBy("query_id", "bin_start").agg(F.sum("m").alias("m"), F.sum("o").alias("o"), F.count("__c").alias("c"))
     grid = denominators.join(queries.select("query_id").distinct())
     d = grid.join(mass, ["query_id", "bin_start"], "left")
     part = F.when(F.col("eligible_weight") > 0, F.coalesce("m", F.lit(0.0)) / F.col("eligible_weight")).otherwise(0.0)

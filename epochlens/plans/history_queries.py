@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlens.functions import dates as D
+from epochlens.functions.base import written
 from epochlens.operators import bins as B
 from epochlens.operators import canonical as C
 from epochlens.operators import quality as Q
@@ -25,12 +26,12 @@ def interval_bin_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.objects(spark, sf_dir)
+    o = written(T.objects(spark, sf_dir), "objects")
     return B.denominators(_weights(o), B.extent_bins(o)).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
 
 
 def filtered_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.objects(spark, sf_dir)
+    o = written(T.objects(spark, sf_dir), "objects")
     kept = Q.facet_filter(o, FACETS, ["department", "facet"])
     return B.denominators(_weights(kept), B.extent_bins(o), count_rows=True).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epochlens.functions import text as X
 from epochlens.functions import vectors as V
+from epochlens.functions.base import written
 from epochlens.operators import bins as B
 from epochlens.operators import evidence as E
 from epochlens.operators import series as S
@@ -22,14 +23,17 @@ def _terms(spark: SparkSession, stem: bool = False) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str, field: str | None = None, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points, matches, objects): names and types are few, so phrases are matched on the distinct ones and joined back."""
-    o = T.objects(spark, sf_dir)
+    """(points, matches, objects): objects are written once; names and types are few, so phrases are matched on the distinct
+    ones and joined back, and the weights of matches come from the matches themselves."""
+    o = written(T.objects(spark, sf_dir), "objects")
     parts = o.select("title", "tags").distinct().withColumn("part", F.xxhash64("title", "tags"))
     hits = X.phrase_matches(X.tokenized(parts, "part", ["title", "tags"], stem), _terms(spark, stem), field)
     found = parts.join(hits, F.col("part") == F.col("id")).select("title", "tags", "query_id")
-    matches = o.join(found, ["title", "tags"]).select("query_id", F.col("artwork_id").alias("id"))
-    w = B.bin_weights(o, keep=("physical_object_id", "visual_cluster_id"))
-    return S.series_points(matches, w, B.denominators(w, B.extent_bins(o)), _terms(spark)), matches, o
+    matched = o.join(found, ["title", "tags"])
+    keep = ("physical_object_id", "visual_cluster_id")
+    d = B.denominators(B.bin_weights(o, keep=keep), B.extent_bins(o))
+    points = S.series_of_weights(B.bin_weights(matched, keep=("query_id", "visual_cluster_id")), d, _terms(spark))
+    return points, matched.select("query_id", F.col("artwork_id").alias("id")), o
 
 
 def _shown(points: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def peak_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.objects(spark, sf_dir)
+    o = written(T.objects(spark, sf_dir), "objects")
     d = B.denominators(B.bin_weights(o, keep=("physical_object_id", "visual_cluster_id")), B.extent_bins(o))
     return S.trimmed_timeline(d, 2000.0).select("bin_index", "bin_key", F.round("eligible_weight", 5).alias("eligible_weight"))
 
@@ -84,7 +88,7 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.tokenized(T.table(spark, sf_dir, "documents").where("text is not null").dropDuplicates(["doc_id"]), "doc_id", ["text"])
+    d = X.tokenized(T.table(spark, sf_dir, "documents"), "doc_id", ["text"])
     return d.select("id", F.length("toks").alias("n_chars"), F.md5("toks").alias("digest"))
 
 
@@ -103,13 +107,15 @@ def series_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_name", "p_brand", X.series_key({"query": F.col("p_name"), "view": F.col("p_brand"), "metric": F.lit("share")}).alias("series_key"))
 
 
-def _queries(vectors: DataFrame, n: int = 3) -> DataFrame:
-    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def _queries(vectors: DataFrame) -> DataFrame:
+    """The stated query set: rows whose id is divisible by 50."""
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = T.vectors(spark, sf_dir)
-    return v, V.exact_topk(_queries(v), v, SHARE), V.scored_pairs(_queries(v), v)
+    scores = written(V.scored_pairs(_queries(v), v), "scores")
+    return v, written(V.exact_topk(_queries(v), v, SHARE, scores=scores), "hits"), scores
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,18 +145,17 @@ def concentration_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompts(v: DataFrame) -> DataFrame:
-    return v.where("vec_id < 9").select(F.floor(F.col("vec_id") / 3).cast("bigint").alias("query_id"), F.col("vec_id").alias("prompt_id"), "embedding")
+    return v.where("vec_id % 50 between 1 and 3").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), F.col("vec_id").alias("prompt_id"), "embedding")
 
 
-def _prompt_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, hits, _ = _hits(spark, sf_dir)
+def _prompt_jaccard(v: DataFrame, hits: DataFrame) -> DataFrame:
     prompts = _prompts(v)
     found = V.exact_topk(prompts.select(F.col("prompt_id").alias("query_id"), "embedding"), v, SHARE).select(F.col("query_id").alias("prompt_id"), "id")
     return S.prompt_jaccard(hits, found.join(prompts.select("query_id", "prompt_id"), "prompt_id"))
 
 
 def prompt_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompt_jaccard(spark, sf_dir).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
+    return _prompt_jaccard(*_hits(spark, sf_dir)[:2]).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
 
 
 def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,15 +164,15 @@ def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, hits, scores = _hits(spark, sf_dir)
-    d = S.signal_diagnostics(S.control_statistics(hits, scores), _prompt_jaccard(spark, sf_dir))
+    v, hits, scores = _hits(spark, sf_dir)
+    d = S.signal_diagnostics(S.control_statistics(hits, scores), _prompt_jaccard(v, hits))
     rounded = [F.round(c, 5).alias(c) for c in ("hit_mean", "control_mean", "control_std", "separation", "prompt_jaccard")]
     return d.select("query_id", *rounded, F.array_join("reasons", "; ").alias("reasons"), "low_signal")
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, hits, scores, w = _lift(spark, sf_dir)
-    period = E.period_scores(scores, hits, w, S.peak_bins(points), "vec_id")
+    period = written(E.period_scores(scores, hits, w, S.peak_bins(points), "vec_id"), "period")
     return E.evidence_slices(period, V.score_thresholds(hits))
 
 
@@ -219,14 +224,14 @@ _POINTS = "select query_id, bin_index, bin_key, round(hit_mass, 5) hit_mass, rou
 _TOP = lambda queries, corpus, name: f"""{name}_k as (select greatest(1, ceil({SHARE} * count(*)))::int k from {corpus}),
       {name}_s as (select q.query_id, c.vec_id id, list_dot_product(q.embedding, c.embedding) score from {queries} q, {corpus} c),
       {name} as (select query_id, id, score, rank::int rank, k from (select *, row_number() over (partition by query_id order by score desc, id) rank from {name}_s), {name}_k where rank <= k)"""
-_VEC = f"{T.VECTORS_SQL}, q as (select vec_id query_id, embedding from vectors where vec_id < 3), {_TOP('q', 'vectors', 'hits')}"
+_VEC = f"{T.VECTORS_SQL}, q as (select vec_id query_id, embedding from vectors where vec_id % 50 = 0), {_TOP('q', 'vectors', 'hits')}"
 _LIFT = f"""{_VEC}, cv as (select *, vec_id % 50 as cluster from vectors), {T.weights_sql('cv', 'vec_id', 'cluster')}, {T.bins_sql('vectors')},
       d as (select bin_start, sum(weight) denominator from weights group by 1),
       s as (select query_id, bin_start, sum(weight) mass, count(*) o, count(distinct cluster) c from hits join weights on id = vec_id group by 1, 2),
       points as (select query_id, bin_index, bin_key, bin_start, coalesce(mass, 0) hit_mass, case when denominator > 0 then coalesce(mass, 0) / denominator else 0 end share, coalesce(o, 0) object_count, coalesce(c, 0) cluster_count, coalesce(denominator, 0) denominator
         from bins cross join q left join d using (bin_start) left join s using (query_id, bin_start))"""
-_PROMPT = f"""{_VEC}, pq as (select vec_id query_id, embedding from vectors where vec_id < 9), {_TOP('pq', 'vectors', 'phits')},
-      pj as (select p.query_id prompt_id, p.query_id // 3 query_id, count(h.id) ab, count(*) b from phits p left join hits h on h.query_id = p.query_id // 3 and h.id = p.id group by 1, 2),
+_PROMPT = f"""{_VEC}, pq as (select vec_id query_id, embedding from vectors where vec_id % 50 between 1 and 3), {_TOP('pq', 'vectors', 'phits')},
+      pj as (select p.query_id prompt_id, p.query_id - p.query_id % 50 query_id, count(h.id) ab, count(*) b from phits p left join hits h on h.query_id = p.query_id - p.query_id % 50 and h.id = p.id group by 1, 2),
       j as (select query_id, avg(ab::double / ((select k from hits_k) + b - ab)) prompt_jaccard from pj group by 1)"""
 _EVIDENCE = f"""{_LIFT}, pk as (select query_id, bin_key, bin_start from (select *, row_number() over (partition by query_id order by denominator >= 20 desc, share desc, bin_index) r from points) where r = 1),
       th as (select query_id, min(score) threshold from hits group by 1),
@@ -268,11 +273,11 @@ SQL = {
       select query, ord, 'q-' || substr(sha256(lower(label)), 1, 12) query_id, label, lower(label) normalized, null::varchar error from t""",
     "series_key": """select distinct p_name, p_brand, sha256('{"metric":"share","query":"' || p_name || '","view":"' || p_brand || '"}') series_key from part""",
     "vector_topk": f"with {_VEC} select query_id, id, round(score, 6) score, rank, k from hits",
-    "topk_filtered_first": f"with {T.VECTORS_SQL}, q as (select vec_id query_id, embedding from vectors where vec_id < 3), c as (select * from vectors where label in (1, 2, 3)), {_TOP('q', 'c', 'hits')} select query_id, id, round(score, 6) score, rank, k from hits",
+    "topk_filtered_first": f"with {T.VECTORS_SQL}, q as (select vec_id query_id, embedding from vectors where vec_id % 50 = 0), c as (select * from vectors where label in (1, 2, 3)), {_TOP('q', 'c', 'hits')} select query_id, id, round(score, 6) score, rank, k from hits",
     "score_threshold": f"with {_VEC} select query_id, round(min(score), 6) threshold, max(k) k from hits group by 1",
     "concentration_lift": f"with {_LIFT} select query_id, bin_index, bin_key, round(hit_mass, 6) hit_mass, round(share, 7) share, round(share / {SHARE}, 6) lift, object_count, cluster_count from points",
     "prompt_jaccard": f"with {_PROMPT} select query_id, round(prompt_jaccard, 6) prompt_jaccard from j",
-    "prompt_mean_vector": f"""with {T.VECTORS_SQL}, n as (select vec_id // 3 query_id, embedding, sqrt(list_dot_product(embedding, embedding)) l from vectors where vec_id < 9),
+    "prompt_mean_vector": f"""with {T.VECTORS_SQL}, n as (select vec_id - vec_id % 50 query_id, embedding, sqrt(list_dot_product(embedding, embedding)) l from vectors where vec_id % 50 between 1 and 3),
       e as (select query_id, unnest(embedding) / l x, generate_subscripts(embedding, 1) - 1 pos from n), a as (select query_id, pos, avg(x) x from e group by 1, 2), b as (select *, sqrt(sum(x * x) over (partition by query_id)) l from a)
       select query_id, pos::int pos, round(x / l, 6) x from b""",
     "signal_diagnostics": f"""with {_PROMPT}, rest as (select s.*, row_number() over (partition by s.query_id order by sha256('controls:v1:' || s.query_id || ':' || s.id), s.id) r from hits_s s left join hits h on h.query_id = s.query_id and h.id = s.id where h.id is null),
