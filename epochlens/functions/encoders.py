@@ -28,6 +28,14 @@ def encode(df: DataFrame, encoder: Callable[[Sequence[str]], np.ndarray], input_
     return out.withColumns({"model": F.lit(model), "version": F.lit(version)})
 
 
+def require_model(vectors: DataFrame, model: str, version: str) -> DataFrame:
+    """vectors, if all are of the given model and version; scores against others mean nothing."""
+    other = vectors.where(~(F.col("model").eqNullSafe(model) & F.col("version").eqNullSafe(version))).select("model", "version").limit(1).collect()
+    if other:
+        raise ValueError(f"vectors of {other[0]['model']} {other[0]['version']} don't go with {model} {version}")
+    return vectors
+
+
 def expand_prompts(terms: DataFrame, templates: Sequence[str] = DEFAULT_PROMPTS) -> DataFrame:
     """terms with prompt_id and prompt: the normalized term in each template."""
     if not templates or any("{query}" not in t for t in templates):

@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from epochlens.functions.base import bound
 from epochlens.functions.dates import DateConfig, normalize_dates, parse_bool, trimmed
+from epochlens.operators.quality import dense_offsets
 
 # Institutions by id prefix, and the addresses of their records.
 INSTITUTIONS = {"MET": "met", "AIC": "aic", "RIJKS": "rijksmuseum"}
 RECORD_URLS = {"met": "https://www.metmuseum.org/art/collection/search/", "aic": "https://www.artic.edu/artworks/"}
 CC0 = "https://creativecommons.org/publicdomain/zero/1.0/"
 NULL_WORDS = ("null", "none", "nan")
-#: Canonical columns that are the first non-empty of some source columns.
+# The canonical columns in their order.
+CANONICAL_FIELDS = (
+    "artwork_id", "physical_object_id", "visual_cluster_id", "institution", "source_id", "source_record_url", "source_dataset_version", "title", "artist", "object_type", "medium", "culture", "department", "classification",
+    "period", "dynasty", "geography", "tags", "object_wikidata_url", "date_display", "date_start", "date_end", "date_qualifier", "date_parse_method", "metadata_license", "image_rights_uri", "credit_line", "public_domain",
+    "image_available", "image_url", "image_sha256", "image_width", "image_height", "embedding_offset",
+)
+# Canonical columns that are the first non-empty of some source columns.
 PLAIN = {
     "title": ("title",), "artist": ("artist", "artist_name"), "object_type": ("object_type", "object_name"), "culture": ("culture",), "department": ("department",), "classification": ("classification",),
     "period": ("period",), "dynasty": ("dynasty",), "geography": ("geography",), "tags": ("tags",), "object_wikidata_url": ("object_wikidata_url",), "image_rights_uri": ("image_rights_uri", "rights_uri"),
     "credit_line": ("credit_line",), "image_url": ("image_url",), "image_width": ("image_width",), "image_height": ("image_height",),
 }
+# Columns of the museum export, and where they go.
 MUSEUM_REQUIRED = ("Object ID", "Is Public Domain", "Object Date", "Object Begin Date", "Object End Date")
 MUSEUM_FIELDS = {"title": "Title", "artist": "Artist Display Name", "object_type": "Object Name", "medium": "Medium", "culture": "Culture", "department": "Department", "classification": "Classification", "period": "Period", "dynasty": "Dynasty", "tags": "Tags", "object_wikidata_url": "Object Wikidata URL", "date_display": "Object Date", "credit_line": "Credit Line"}
 GEOGRAPHY = ("City", "State", "Country", "Region", "Subregion", "Locale", "Locus")
@@ -107,6 +115,11 @@ def canonical_records(df: DataFrame, config: DateConfig = DateConfig(), revision
     )
 
 
+def canonical_corpus(records: DataFrame) -> DataFrame:
+    """CANONICAL_FIELDS of the records that weren't rejected, with the offset of each in the order of ids."""
+    return dense_offsets(records.where("reject_reason is null")).select(*CANONICAL_FIELDS)
+
+
 def zero_year_blank(c: Column) -> Column:
     """Year texts with 0 blanked; text that is no integer passes."""
     return bound(trimmed(c), lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), F.when(t.try_cast("bigint") == 0, "").otherwise(t.try_cast("bigint").cast("string"))).otherwise(t))

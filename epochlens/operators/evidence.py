@@ -98,18 +98,43 @@ def salted_sample(rows: DataFrame, seed: str, n: int, id_col: str, usable: Colum
     return d.withColumn("sample_rank", F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(id_col).cast("string")), 256)).orderBy("sample_rank", id_col).limit(n)
 
 
-def evidence_cards(rows: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """rows with catalogue columns completed: details (by id) come first, then the catalogue, then a default.
+#: The fields of an evidence card in their order, with what stands for a missing text.
+CARD_FIELDS = ("artwork_id", "physical_object_id", "visual_cluster_id", "title", "artist", "institution", "source_record_url", "image_url", "date_display", "date_start", "date_end", "date_qualifier", "raw_score", "contribution_weight", "contributor", "metadata_license", "image_rights_uri", "credit_line", "public_domain")
+CARD_DEFAULTS = {"title": "Untitled", "artist": "Unknown artist", "institution": "Unknown institution", "date_display": "Unknown date", "date_qualifier": "exact"}
 
-    A record is public only if neither the catalogue nor its detail denies it; only then it shows an image.
+
+def evidence_cards(rows: DataFrame, details: DataFrame | None = None, local_images: DataFrame | None = None) -> DataFrame:
+    """(id, *CARD_FIELDS) of evidence rows that carry catalogue columns, score, weight and contributor as far as they have them.
+
+    Texts of details (by id) come first, then the catalogue's, then a default; a missing object or cluster is the
+    artwork itself. A record is public only if neither the catalogue nor its detail denies it, and only then shows an
+    image address; an image in local_images (by id) is shown by its path, with the id percent-encoded.
     """
     d = rows
-    if details is not None:
-        d = d.join(details.select(*[F.col(c).alias(c if c == "id" else f"detail_{c}") for c in details.columns]), "id", "left")
+    for other, mark in ((details, "detail_"), (local_images, "local_")):
+        if other is not None:
+            d = d.join(other.select(*[F.col(c).alias(c if c == "id" else mark + c) for c in other.columns]), "id", "left")
+    if local_images is not None:
+        d = d.join(local_images.select("id", F.lit(True).alias("is_local")).distinct(), "id", "left")
     have = set(d.columns)
-    filled = lambda name, default: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (f"detail_{name}", name) if c in have], F.lit(default))
-    public = F.coalesce("public_domain", F.lit(False))
+    text = lambda name, default: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in (f"detail_{name}", name) if c in have], default)
+    plain = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+    own = text("artwork_id", F.col("id").cast("string"))
+    public = F.coalesce(plain("public_domain", "boolean"), F.lit(False))
     if "detail_public_domain" in have:
         public = public & F.coalesce("detail_public_domain", F.lit(True))
-    out = d.withColumns({"title": filled("title", "Untitled"), "artist": filled("artist", "Unknown artist"), "institution": filled("institution", "Unknown institution"), "date_display": filled("date_display", "Unknown date"), "public_domain": public, "image_url": F.when(public, filled("image_url", "")).otherwise("")})
-    return out.drop(*[c for c in out.columns if c.startswith("detail_")])
+    image = F.when(public, text("image_url", F.lit(""))).otherwise("")
+    if local_images is not None:
+        image = F.when(F.col("is_local"), F.concat(F.lit("/v1/images/"), F.replace(F.url_encode(own), F.lit("+"), F.lit("%20")))).otherwise(image)
+    fields = {"artwork_id": own, "physical_object_id": text("physical_object_id", own), "visual_cluster_id": text("visual_cluster_id", own), "image_url": image, "date_start": plain("date_start", "int"), "date_end": plain("date_end", "int"), "raw_score": plain("score", "double"), "contribution_weight": plain("weight", "double"), "contributor": F.coalesce(plain("contributor", "boolean"), F.lit(True)), "public_domain": public}
+    return d.select("id", *[fields.get(name, text(name, F.lit(CARD_DEFAULTS.get(name, "")))).alias(name) for name in CARD_FIELDS])
+
+
+def selection_summary(rows: DataFrame, chosen: DataFrame, seed: str, requested: int, id_col: str) -> DataFrame:
+    """One row about a salted_sample(): candidates, how many were looked at until the last one chosen, those among them that
+    were not usable, and how many were wanted and got."""
+    ranked = rows.select(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(id_col).cast("string")), 256).alias("r"))
+    got = chosen.agg(F.count("*").alias("prepared_rows"), F.max("sample_rank").alias("last"))
+    # without as many as wanted, all were looked at
+    d = ranked.join(F.broadcast(got)).groupBy("prepared_rows", "last").agg(F.count("*").alias("eligible_candidates"), F.count_if((F.col("prepared_rows") < requested) | (F.col("r") <= F.col("last"))).alias("examined_candidates"))
+    return d.select(F.lit(requested).alias("requested_rows"), "prepared_rows", "eligible_candidates", "examined_candidates", (F.col("examined_candidates") - F.col("prepared_rows")).alias("sample_failures"))

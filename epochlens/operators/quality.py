@@ -20,8 +20,15 @@ def coverage(df: DataFrame, dimensions: list[str], dated: str = "date_start", pu
     return d.groupBy("x.dimension", "x.value").agg(F.count("*").alias("row_count"), F.count_if("d").alias("dated_count"), F.count_if("p").alias("public_domain_count"), F.count_if("i").alias("image_count"))
 
 
-def build_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("canonical_rows"), F.count_if(F.col("date_start").isNotNull()).alias("dated_rows"), F.count_if(F.col("date_start").isNull()).alias("unknown_rows"), F.count_if(~F.coalesce("public_domain", F.lit(False))).alias("unreviewed_rows"))
+def build_counts(source: DataFrame, records: DataFrame, bins: DataFrame) -> DataFrame:
+    """One row: rows read, canonical, dated and undated ones, bins, and records whose images nobody has reviewed."""
+    of_records = records.agg(F.count("*").alias("canonical_rows"), F.count("date_start").alias("dated_rows"), F.count_if(F.col("date_start").isNull()).alias("unknown_date_rows"), F.count_if(F.col("permission_status") == "unreviewed").alias("unreviewed_images"))
+    return source.agg(F.count("*").alias("input_rows")).join(of_records).join(bins.agg(F.count("*").alias("bins")))
+
+
+def year_range(df: DataFrame, low: int, high: int, year: str = "date_start") -> DataFrame:
+    """Rows whose year lies from low to high; undated ones go."""
+    return df.where(F.col(year).between(low, high))
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 MINIMUM_DENOMINATOR = 20.0
 
 
-def series_points(hits: DataFrame, weights: DataFrame, denominators: DataFrame, queries: DataFrame, share: float | None = None, id_col: str = "artwork_id", cluster: str = "visual_cluster_id") -> DataFrame:
+def series_points(hits: DataFrame, weights: DataFrame, denominators: DataFrame, queries: DataFrame, share: float | None = None, id_col: str = "artwork_id", cluster: str | None = "visual_cluster_id") -> DataFrame:
     """One row for each query and bin, zero-filled: hit_mass, share of the denominator, lift, value and counts.
 
     hits: distinct (query_id, id). share: the retrieved share p, whose lift is share / p and the value; without
-    it, for phrase matches, the share is the value. A missing cluster is one of its own.
+    it, for phrase matches, the share is the value. A missing cluster is one of its own, and without a cluster
+    column each object is.
     """
+    if cluster is None:
+        cluster = id_col
     hit_weights = hits.select("query_id", F.col("id").alias(id_col)).join(weights, id_col).withColumn("__c", F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("row-"), F.col(id_col).cast("string"))))
     return series_of_weights(hit_weights, denominators, queries, share, "__c")
 
@@ -40,12 +43,17 @@ def relative_density(counts: DataFrame, bins: DataFrame, queries: DataFrame) ->
     return d.withColumn("value", F.when(top > 0, F.col("hit_count") / top).otherwise(0.0)).select("query_id", "key", "hit_count", "value")
 
 
-def peak_bins(points: DataFrame, minimum: float | None = MINIMUM_DENOMINATOR, fallback: str = "all") -> DataFrame:
-    """The bin of the largest value of each query, the earliest of equals.
+def peak_bins(points: DataFrame, minimum: float | None = MINIMUM_DENOMINATOR, fallback: str = "all", bin_key: str | None = None) -> DataFrame:
+    """The bin of the largest value of each query, the earliest of equals; with bin_key that bin, which must exist.
 
     Bins below the minimum denominator don't count; where all are below, the fallback is "all" bins or the
     "first" bin. minimum None ignores denominators.
     """
+    if bin_key is not None:
+        named = points.where(F.col("bin_key") == bin_key)
+        if not named.limit(1).count():
+            raise ValueError(f"no bin of the timeline is called {bin_key}")
+        return named
     ok = F.lit(True) if minimum is None else F.col("denominator") >= minimum
     value = F.col("value") if fallback == "all" else F.when(ok, F.col("value"))
     order = W.partitionBy("query_id").orderBy(F.desc(ok), F.desc_nulls_last(value), "bin_index")

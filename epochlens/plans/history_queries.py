@@ -49,8 +49,9 @@ def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.normalize_dates(T.date_strings(spark, sf_dir)).select(F.col("norm_start").alias("date_start"), (F.col("doc_id") % 3 == 0).alias("public_domain"))
-    return Q.build_counts(d)
+    d = T.date_strings(spark, sf_dir).join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
+    r = D.normalize_dates(d).select(F.col("norm_start").alias("date_start"), F.col("norm_end").alias("date_end"), C.permission_status(F.col("quality") == 1, F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("permission_status"))
+    return Q.build_counts(T.table(spark, sf_dir, "documents"), r, B.extent_bins(r))
 
 
 def _museum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +211,9 @@ SQL = {
       u as (select 'department' dimension, department as value, * exclude (department) from x union all by name select 'tags' dimension, tags as value, * exclude (tags) from x union all by name select 'facet' dimension, facet as value, * exclude (facet) from x
             union all by name select 'public_domain' dimension, case when public_domain then 'True' else 'unknown' end as value, * from x)
       select dimension, value, count(*) row_count, count(*) dated_count, count(*) filter (public_domain) public_domain_count, count(*) filter (img) image_count from u group by 1, 2""",
-    "build_counts": "select count(*) canonical_rows, count(*) filter (doc_id % 8 <> 6) dated_rows, count(*) filter (doc_id % 8 = 6) unknown_rows, count(*) filter (doc_id % 3 <> 0) unreviewed_rows from documents",
+    "build_counts": f"""with r as (select doc_id, y, {_LO} lo, {_HI} hi, case when quality = 1 then 'p' when toxic = 1 then 'e' else 'u' end s from (select doc_id, {_Y} y from documents) left join labels using (doc_id))
+      select (select count(*) from documents) input_rows, count(*) canonical_rows, count(lo) dated_rows, count(*) filter (lo is null) unknown_date_rows, count(*) filter (s = 'u') unreviewed_images,
+             (floor(max(hi) / 10.0) - floor(min(lo) / 10.0) + 1)::bigint bins from r""",
     "eligibility_rejects": f"with {_MUSEUM_SQL} select count(*) as input, count(*) filter (reason is null) kept, count(*) filter (reason = 'bad_id') bad_id, count(*) filter (reason = 'no_date') no_date, count(*) filter (reason = 'out_of_bounds') out_of_bounds, count(*) filter (doc_id % 17 <> 0 and not pub) not_public_domain, count(*) filter (doc_id % 17 <> 0 and not img) no_image from r",
     "museum_corpus": f"""with {_MUSEUM_SQL}, k as (select *, greatest(lo, 150)::int date_start, least(hi, 1700)::int date_end from r where reason is null)
       select 'MET_' || doc_id artwork_id, 'title ' || doc_id title, case when doc_id % 5 = 0 then 'Paris; France' else 'France' end geography, date_start, date_end, case when date_start = date_end then 'exact' else 'range' end date_qualifier,

@@ -42,7 +42,7 @@ def write_corpus(df: DataFrame, path: str, fields: list[str] | None = None, kind
     """Write once: an existing path is an error. Parquet is zstd; CSV has a header and empty texts for nulls."""
     out = df.select(*fields) if fields else df
     if kind == "csv":
-        out.write.mode("errorifexists").csv(path, header=True, emptyValue="", nullValue="")
+        out.write.mode("errorifexists").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         out.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
@@ -89,12 +89,26 @@ def utc_timestamp(c):
     return F.coalesce(F.date_format(F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("not-recorded"))
 
 
-def build_manifest(counts: DataFrame, bins: DataFrame, files: DataFrame, rules: dict) -> DataFrame:
-    """One row, manifest: JSON of counts, rules, bins and files, in a fixed order."""
+def table_entry(spark: SparkSession, root: str, name: str, rows: DataFrame) -> DataFrame:
+    """(path, bytes, sha256, rows) of a table that was written to root/name: its files' sizes summed, the digest of their
+    digests in order of path, and its number of rows."""
+    files = inventory(spark, f"{root.rstrip('/')}/{name}").where(~F.col("path").rlike("(^|/)[._]"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"])
+    of_files = files.agg(F.lit(name).alias("path"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(parts, ""), 256).alias("sha256"))
+    return of_files.join(rows.agg(F.count("*").alias("rows")))
+
+
+def build_manifest(counts: DataFrame, bins: DataFrame, files: DataFrame, rules: dict, rules_version: str = "", retrieved_at: str | None = None) -> DataFrame:
+    """One row, manifest: JSON of counts, rules, bins and artefacts, in a fixed order.
+
+    files has a row an artefact (path, bytes, sha256, and rows where known), such as table_entry() gives, so what meets
+    in one row is as long as the lists of artefacts and bins; retrieved_at is given in UTC or as not recorded.
+    """
     b = bins.agg(F.array_sort(F.collect_list(F.struct("bin_index", "bin_key", "bin_start", "bin_end"))).alias("bins"))
-    f = files.agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("files"))
+    f = files.agg(F.array_sort(F.collect_list(F.struct("path", *[c for c in files.columns if c != "path"]))).alias("files"))
     c = counts.select(F.struct(*counts.columns).alias("counts"))
-    return c.join(b).join(f).select(F.to_json(F.struct("counts", F.lit(json.dumps(rules, sort_keys=True)).alias("rules"), "bins", "files")).alias("manifest"))
+    version = F.struct(F.lit(rules_version).alias("version"), F.lit(json.dumps(rules, sort_keys=True)).alias("rules"))
+    return c.join(b).join(f).select(F.to_json(F.struct(utc_timestamp(F.lit(retrieved_at)).alias("retrieved_at"), "counts", version.alias("date_rules"), "bins", "files")).alias("manifest"))
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
