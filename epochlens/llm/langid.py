@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from epochlens.llm.common import crc_bucket
 
-#: Sequences are runs of letters, lower-cased, as UTF-8; longer ones are cut into pieces of so many bytes.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs that are alphanumeric but neither letters nor digits: fractions, superscripts, Roman numerals and such.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Sequences are runs of letters, lower-cased, as UTF-8; longer ones are cut between letters into pieces of at most so many bytes.
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 PIECE = 48
 #: Documents of each language, and words of theirs, that training uses, chosen by hashes.
 DOCUMENTS, WORDS = 300, 8000
@@ -130,7 +132,13 @@ def pieces(text: str | None) -> list[bytes]:
     out = []
     for w in LETTERS.findall(text.lower()) if text else []:
         b = w.encode()
-        out += [b] if len(b) <= PIECE else [b[i : i + PIECE] for i in range(0, len(b), PIECE)]
+        while len(b) > PIECE:
+            end = PIECE
+            while b[end] & 0xC0 == 0x80:  # inside a letter
+                end -= 1
+            out.append(b[:end])
+            b = b[end:]
+        out.append(b)
     return out
 
 

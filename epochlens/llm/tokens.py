@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -26,14 +27,24 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def parts_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer, by its file, never joins tokens over BOUNDARY: a byte-level BPE that splits with its regular
+    expression, without normalizer, and whose added tokens hold no white space and take none from their sides."""
+    pre, added = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("added_tokens") or []
+    plain = all(not re.search(r"\s", t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in added)
+    return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not tokenizer.get("normalizer") and plain
+
+
 class PartCounter:
-    """Token counts of texts as sums over parts between BOUNDARY spaces; counts of parts seen are kept, up to a bound."""
+    """Token counts of texts as sums over parts between BOUNDARY spaces, or, with a tokenizer that may join over these, of whole
+    texts; counts of parts seen are kept, up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.in_parts = parts_at_spaces(json.loads(Path(path).read_text(encoding="utf-8")))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
@@ -41,7 +52,7 @@ class PartCounter:
     def counts(self, texts: Iterable[str]) -> list[int]:
         parts = []
         for text in texts:
-            first, *rest = BOUNDARY.split(text)
+            first, *rest = BOUNDARY.split(text) if self.in_parts else [text]
             parts.append([first, *[" " + x for x in rest]])
         if len(self.known) > PARTS_KEPT:
             self.known = {}

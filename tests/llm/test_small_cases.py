@@ -76,6 +76,29 @@ def test_part_counter_equals_library():
     assert tokens.PartCounter(path).counts(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_part_counter_of_a_tokenizer_that_joins_over_spaces(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    base = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert tokens.parts_at_spaces(base)
+    spaced = {"id": len(base["model"]["vocab"]) + 7, "content": "new york", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for k, change in enumerate([{"normalizer": {"type": "Replace", "pattern": {"String": " a"}, "content": "a"}}, {"added_tokens": [*base["added_tokens"], spaced]}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}]):
+        path = str(tmp_path / f"{k}.json")
+        json.dump(base | change, open(path, "w", encoding="utf-8"))
+        lib, texts = Tokenizer.from_file(path), ["in new york a b", "a new  york", "x a a a", ""]
+        assert not tokens.parts_at_spaces(base | change)
+        assert tokens.PartCounter(path).counts(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_letters_and_pieces():
+    assert langid.pieces("12 ² ½ Ⅷ _ ३") == [] and langid.pieces("Abc² éß一") == ["abc".encode(), "éß一".encode()]
+    long = "é" * 100 + "中" * 40
+    assert b"".join(langid.pieces(long)).decode() == long and all(p.decode() and len(p) <= langid.PIECE for p in langid.pieces(long))
+
+
 def test_near_duplicates_small_cases(spark):
     got = [(r["id"], r["class_id"]) for r in neardup.near_duplicates(docs(spark)).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (4, 4), (None, None), (5, 5), (6, 5), (7, 7)], key=str)
