@@ -202,7 +202,8 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     or a known given name with what follows) are found by one pattern. An entity has the same replacement in every
     mention and document, as the key says; another key gives others. A replacement keeps the type, length,
     separators, case, script, the gender of given names, the country of an IBAN and valid check digits; mail
-    addresses of one domain keep one domain. Distinct entities stay distinct.
+    addresses of one domain keep one domain. Distinct entities stay distinct. A number in the form of a card that
+    fails the card's check digit is no entity.
 
     Only rows with a match are shuffled, by id and text; the others pass through. Null texts stay null and empty
     ones empty, with no entity; rows that repeat an id or a text get a row each; a column pii_entities is replaced.
@@ -216,10 +217,11 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     hit = docs.where(found).select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("t"))
     hit = cut(hit.select("row", "id", "mark", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("found"), F.split("t", pattern, -1).alias("gaps")), "pii-rows")
     mentions = hit.select("id", "mark", F.posexplode("found").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"), given)).withColumn("name", canonical(F.col("surface"), F.col("kind")))
+    mentions = mentions.where(F.when(F.col("kind") == "card", luhn(F.col("name")) == 0).otherwise(True))
     made = distinct_surrogates(mentions.select("kind", "name").distinct(), key)
-    filled = mentions.join(made, ["kind", "name"]).select("id", "mark", F.struct("pos", laid_out(F.col("surface"), F.col("kind"), F.col("made")).alias("new")).alias("x"))
-    filled = filled.groupBy("id", "mark").agg(F.array_sort(F.collect_set("x")).alias("xs")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "xs")
-    whole = hit.join(filled, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")))
-    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.when(i < F.size("xs"), F.element_at("xs", F.least(i + 1, F.size("xs")))["new"]).otherwise(""))), "")
-    whole = whole.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.size("found").alias("pii_entities"))
+    filled = mentions.join(made, ["kind", "name"]).select("id", "mark", F.struct("pos", laid_out(F.col("surface"), F.col("kind"), F.col("made")).alias("new")).alias("x")).distinct()
+    filled = filled.groupBy("id", "mark").agg(F.map_from_entries(F.collect_list("x")).alias("new")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "new")
+    whole = hit.join(filled, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")), "left")
+    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at("new", i), F.get("found", i), F.lit("")))), "")
+    whole = whole.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.coalesce(F.size("new"), F.lit(0)).alias("pii_entities"))
     return clean.unionByName(whole)

@@ -147,6 +147,10 @@ def test_op10_leaves_no_entity_and_all_else(spark, documents):
     forward, back = {}, {}
     for doc_id, text, *_ in documents:
         old, new = planted.findall(text), planted.findall(got[doc_id][0])
+        # sixteen digits that fail the check digit of cards are some other number and stay
+        others = [k for k, a in enumerate(old) if re.fullmatch(r"\d{16}", a) and sum(sum(divmod(int(ch) * (1 + i % 2), 10)) for i, ch in enumerate(reversed(a))) % 10]
+        assert all(old[k] == new[k] for k in others) and got[doc_id][1] <= len(old) - len(others)
+        old, new = ([x for k, x in enumerate(xs) if k not in others] for xs in (old, new))
         assert len(old) == len(new) and planted.sub("#", text) == planted.sub("#", got[doc_id][0]) and got[doc_id][1] >= len(old)
         for a, b in zip(old, new):
             assert a != b and forward.setdefault(a.lower(), b.lower()) == b.lower() and back.setdefault(b.lower(), a.lower()) == a.lower()
