@@ -14,29 +14,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts as toxic go."""
+    """Documents that the toxicity operator predicts as toxic go.
+
+    Null and empty texts are predicted by the share of toxic ones among such examples; rows that repeat an id or a
+    text go or stay together; columns keep their names; without labels of both kinds, and of an empty table, all stay.
+    """
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
     return scored.where("toxic_predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, the one of the smallest id.
+
+    Texts without words, null and empty ones included, all stay; rows equal in id and text are one document. See
+    neardup.one_of_each() for ties.
+    """
     return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; rows that repeat an id are judged by their own text; an empty benchmark keeps all.
+    """
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced; n_chars follows the new text."""
+    """Personal data is replaced; n_chars follows the new text.
+
+    Null texts stay null; equal entities have equal surrogates in all documents; other columns stay as they are, but
+    for a column pii_entities of the input, which goes.
+    """
     done = pii.replace_entities(docs, key="surrogates-1")
-    return done.withColumn("n_chars", F.when(F.col("pii_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n = F.when(F.col("pii_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n).drop("pii_entities")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document once for each copy that it gets."""
+    """The mix itself: each document once for each copy that it gets.
+
+    A null source is one of its own; a source without words takes none, so its null and empty texts go with it; elsewhere
+    an empty text takes its source's rate. Columns named mix_* by the operator are dropped.
+    """
     return mixing.emit_copies(mixing.systematic_mix(docs))
 
 
@@ -53,6 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over the documents of sf_dir, each on the whole of what the one before kept.
+
+    A stage's rows are written to the shared folder before the next reads them, so a lost executor costs no stage
+    again. Empty tables give an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
