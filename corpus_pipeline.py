@@ -44,11 +44,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Personal data is replaced; n_chars follows the new text.
 
     Null texts stay null; equal entities have equal surrogates in all documents; other columns stay as they are, but
-    for a column pii_entities of the input, which goes.
+    a column pii_entities gets the number of replacements.
     """
     done = pii.replace_entities(docs, key="surrogates-1")
     n = F.when(F.col("pii_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", n).drop("pii_entities")
+    return done.withColumn("n_chars", n).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
