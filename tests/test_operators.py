@@ -217,3 +217,30 @@ def test_encoder_hooks(spark):
     assert found.count() == 1 and missing.first()["normalized"] == "ship"
     with pytest.raises(ValueError):
         encoders.expand_prompts(t, ["no place"])
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id int, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(tuple(r) for r in vectors.scored_pairs(q, v).collect())
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
+    assert sorted(tuple(r) for r in vectors.scored_pairs(q, v).collect()) == whole and len(whole) == 81
+
+
+def test_chosen_bins_and_models_must_exist(spark):
+    points = spark.createDataFrame([("q", "0:9", 0, 1.0, 30.0)], "query_id string, bin_key string, bin_index int, value double, denominator double")
+    assert series.peak_bins(points, bin_key="0:9").count() == 1
+    with pytest.raises(ValueError, match="10:19"):
+        series.peak_bins(points, bin_key="10:19")
+    made = encoders.encode(spark.createDataFrame([("a",)], "t string"), lambda xs: np.ones((len(xs), 2)), "t", "t", 2, "m", "1")
+    assert encoders.require_model(made, "m", "1").count() == 1
+    with pytest.raises(ValueError, match="don't go"):
+        encoders.require_model(made, "m", "2")
+
+
+def test_cards_have_all_fields(spark):
+    rows = spark.createDataFrame([("a b/ü", True, "u", 0.5, 0.25, False), ("c", False, "u", None, 1.0, True)], "id string, public_domain boolean, image_url string, score double, weight double, contributor boolean")
+    got = {r["id"]: r for r in evidence.evidence_cards(rows, local_images=spark.createDataFrame([("a b/ü",)], "id string")).collect()}
+    assert tuple(got["c"].asDict())[1:] == evidence.CARD_FIELDS and len(evidence.CARD_FIELDS) == 19
+    assert got["a b/ü"]["image_url"] == "/v1/images/a%20b%2F%C3%BC" and got["c"]["image_url"] == "" and got["c"]["date_qualifier"] == "exact"
+    assert (got["a b/ü"]["raw_score"], got["a b/ü"]["contribution_weight"], got["a b/ü"]["contributor"]) == (0.5, 0.25, False)
