@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import decontaminate, itq, langid, mixing, neardup, pii, suffixtree, tokens, toxicity, urls
+from epochlens.llm import decontaminate, filteraudit, itq, langid, linededup, mixing, neardup, pii, productcodes, suffixtree, tokens, toxicity, urls
 from epochlens.llm.common import crc_bucket, shared_dir, table
 
 
@@ -70,9 +70,23 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs, key="surrogates-1")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filteraudit.filter_audit(docs, table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return productcodes.compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op5_language, op6_suffix_tree, op7_toxicity, op8_contaminated, op9_embedding_links, op10_surrogates)}
+    return {f.__name__: f for f in (op1_url_templates, op2_token_counts, op3_near_duplicates, op4_systematic_mix, op5_language, op6_suffix_tree, op7_toxicity, op8_contaminated, op9_embedding_links, op10_surrogates, op11_filter_audit, op12_line_dedup, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": mixing.MIX_SQL, "op8_contaminated": decontaminate.DECONTAMINATE_SQL}
+    return {"op4_systematic_mix": mixing.MIX_SQL, "op8_contaminated": decontaminate.DECONTAMINATE_SQL, "op11_filter_audit": filteraudit.AUDIT_SQL, "op12_line_dedup": linededup.LINES_SQL, "op13_vector_codes": productcodes.CODES_SQL}
