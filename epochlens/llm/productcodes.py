@@ -15,7 +15,7 @@ from epochlens.llm.common import cut, if_small
 #: A component x becomes the integer floor(SCALE * x).
 SCALE = 4096
 #: Cells of the grid are 2 ** CELL_BITS wide in each component; a task remembers at most CELLS of them at once.
-CELL_BITS, CELLS = 10, 100_000
+CELL_BITS, CELLS = 8, 20_000
 
 #: One array of entries (entry, component) for each part.
 Books = list[np.ndarray]
