@@ -17,9 +17,10 @@ GIVEN = {
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "г-н"], "n": ["Dr", "Prof"]}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L}))+"
+# groups are repeated possessively or a bounded number of times: others recurse in Java, once a character
+_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L}))++"
 #: What is found of each type; earlier ones win where two begin at the same place.
-EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,24}"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9+/_-]{16,}|(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])"
@@ -66,10 +67,10 @@ def entity_type(surface: Column, given: dict[str, list[str]]) -> Column:
     return (
         F.when(surface.contains("@"), "email")
         .when(surface.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
-        .when(surface.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{9,}$") & (digits >= 6), "iban")
+        .when(surface.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{9,39}$") & (digits >= 6), "iban")
         .when(surface.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when((letters == 0) & surface.rlike(r"^[0-9][0-9 -]+$") & (digits >= 13) & (digits <= 19), "card")
-        .when((letters == 0) & (digits <= 19), "phone")
+        .when((letters == 0) & (digits <= 19) & (F.length(surface) <= 64), "phone")
         .when(surface.rlike(r"^[\p{L}'’-]+$") & lower.isin([x.lower() for x in given["f"]]), "given_f")
         .when(surface.rlike(r"^[\p{L}'’-]+$") & lower.isin([x.lower() for x in given["m"]]), "given_m")
         .when(surface.rlike(rf"^{_NAME}$") & ~surface.rlike("^[0-9A-F]{32,}$"), "surname")
@@ -77,15 +78,21 @@ def entity_type(surface: Column, given: dict[str, list[str]]) -> Column:
     )
 
 
+def hexadecimal(text: Column) -> Column:
+    return text.rlike("^[0-9a-fA-F]{1,128}$")
+
+
 def canonical(surface: Column, kind: Column) -> Column:
-    """What mentions of one entity share: lower case, and for numbers and keys no separators."""
-    return F.when(kind.isin("email", "given_f", "given_m", "surname", "ip"), F.lower(surface)).otherwise(F.lower(F.regexp_replace(surface, "[^A-Za-z0-9]", "")))
+    """What mentions of one entity share: lower case, and for numbers no separators. Of secrets only short hexadecimal
+    keys may be written in either case; others are themselves, to the letter."""
+    whole = kind.isin("email", "given_f", "given_m", "surname", "ip") | hexadecimal(surface)
+    return F.when(whole, F.lower(surface)).when(kind == "secret", surface).otherwise(F.lower(F.regexp_replace(surface, "[^A-Za-z0-9]", "")))
 
 
-def stream(key: str, kind: Column, name: Column, attempt: Column, n: Column) -> Column:
+def stream(key: str, kind: Column, name: Column, attempt: Column, n: Column | int) -> Column:
     """Hex digits keyed by the entity, at least two for each of n characters."""
-    block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"), i.cast("string")), 256)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), block), "")
+    blocks = lambda mark: F.transform(F.sequence(F.lit(0), F.floor(F.lit(n) / 32).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, mark, attempt.cast("string"), i.cast("string")), 256))
+    return F.array_join(bound(F.sha2(name, 256), blocks), "")
 
 
 def byte(s: Column, i: Column) -> Column:
@@ -93,25 +100,30 @@ def byte(s: Column, i: Column) -> Column:
 
 
 def shaped(text: Column, s: Column, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
-    """text with each digit replaced by a digit and each ASCII letter by one of letters, taken from the stream."""
-    n = F.length(text)
+    """text with each digit replaced by a digit and each ASCII letter by one of letters, in its case.
+
+    Each 32 characters are one piece with bytes of their own, the digest of the stream and the piece's number, so a run of
+    a million characters takes time in proportion.
+    """
+    pick = lambda v, of: F.substring(F.lit(of), v % len(of) + 1, F.lit(1))
+    one = lambda c, v: F.when(c.rlike("[0-9]"), (v % 10).cast("string")).when(c.rlike("[a-z]"), pick(v, letters)).when(c.rlike("[A-Z]"), pick(v, letters.upper())).otherwise(c)
 
-    def one(i: Column) -> Column:
-        c, v = F.substring(text, i, F.lit(1)), byte(s, i)
-        return F.when(c.rlike("[0-9]"), (v % 10).cast("string")).when(c.rlike("[a-z]"), F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))).otherwise(c)
+    def piece(chars: Column, k: Column) -> Column:
+        return bound(F.sha2(F.concat_ws("\x1f", s, k.cast("string")), 256), lambda b: F.array_join(F.transform(F.split(chars, ""), lambda c, i: one(c, byte(b, i + 1))), ""))
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,32}"), F.lit(0)), piece), "")
 
 
-def luhn(digits: Column) -> Column:
+def luhn(number: Column) -> Column:
     """The Luhn sum of a number modulo 10; 0 for a valid one."""
-    n = F.length(digits)
+    def total(digits: Column) -> Column:
+        def one(acc: Column, i: Column) -> Column:
+            d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") * (1 + i % 2)
+            return acc + d - F.when(d > 9, 9).otherwise(0)
 
-    def one(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int") * (1 + i % 2)
-        return acc + d - F.when(d > 9, 9).otherwise(0)
+        return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), one) % 10
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), one) % 10
+    return bound(number, total)
 
 
 def iban_rest(text: Column) -> Column:
@@ -150,7 +162,7 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         more = F.floor(attempt / 8).cast("int")
         digits, letters = (F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.substring(F.translate(s, "abcdef", "012345") if x else F.translate(s, "0123456789", "ghijklmnop"), i + 8, F.lit(1))), "") for x in (True, False))
         grown = lambda text, tail: F.when(more > 0, F.concat(text, tail)).otherwise(text)
-        mail = F.concat(grown(shaped(user, s), letters), F.lit("@"), bound(stream(key, F.lit("zone"), zone, F.lit(0), F.length(zone)), lambda z: shaped(zone, z)), F.lit("."), tld)
+        mail = F.concat(grown(shaped(user, s), letters), F.lit("@"), bound(stream(key, F.lit("zone"), zone, F.lit(0), 32), lambda z: shaped(zone, z)), F.lit("."), tld)
         ip = F.concat_ws(".", byte(s, F.lit(1)) % 223 + 1, byte(s, F.lit(2)), byte(s, F.lit(3)), byte(s, F.lit(4)))
         number = bound(shaped(name, s), lambda x: F.concat((byte(s, F.lit(32)) % 9 + 1).cast("string"), F.substring(x, F.lit(2), F.length(x))))
         open_card = lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.lit("0"))
@@ -160,7 +172,7 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         secret = F.when(name.rlike("^[0-9a-f]+$"), shaped(name, s, "abcdef")).otherwise(shaped(name, s))
         return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), grown(number, digits)).when(kind == "iban", iban).when(kind == "secret", grown(secret, digits)).otherwise(invented_name(kind, name, s, attempt))
 
-    return bound(stream(key, kind, name, attempt, F.greatest(F.length(name), F.lit(32))), of)
+    return bound(stream(key, kind, name, attempt, 32), of)
 
 
 def laid_out(surface: Column, kind: Column, made: Column) -> Column:
@@ -174,7 +186,8 @@ def laid_out(surface: Column, kind: Column, made: Column) -> Column:
     # what a longer replacement has beyond the mention follows it
     by_character = bound(F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")), one), lambda x: F.concat(x["o"], F.substring(made, x["i"], F.length(made))))
     name = F.when((F.upper(surface) == surface) & (F.length(surface) > 1), F.upper(made)).when(F.lower(surface) == surface, made).otherwise(F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made))))
-    return F.when(kind.isin("given_f", "given_m", "surname"), name).when(kind == "ip", made).otherwise(by_character)
+    as_made = (kind == "ip") | ((kind == "secret") & ~hexadecimal(surface))
+    return F.when(kind.isin("given_f", "given_m", "surname"), name).when(as_made, made).otherwise(by_character)
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -206,7 +219,8 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     fails the card's check digit is no entity.
 
     Only rows with a match are shuffled, by id and text; the others pass through. Null texts stay null and empty
-    ones empty, with no entity; rows that repeat an id or a text get a row each; a column pii_entities is replaced.
+    ones empty, with no entity; rows that repeat an id or a text get a row each; a column pii_entities is replaced. Very long
+    texts and runs are matched whole, in time and stack that don't grow with the square of the run.
     """
     given = given or GIVEN
     pattern = entity_pattern(given)
@@ -216,12 +230,15 @@ def replace_entities(docs: DataFrame, key: str, given: dict[str, list[str]] | No
     clean = docs.where(F.coalesce(~found, F.lit(True))).withColumn("pii_entities", F.lit(0))
     hit = docs.where(found).select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("t"))
     hit = cut(hit.select("row", "id", "mark", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("found"), F.split("t", pattern, -1).alias("gaps")), "pii-rows")
-    mentions = hit.select("id", "mark", F.posexplode("found").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"), given)).withColumn("name", canonical(F.col("surface"), F.col("kind")))
-    mentions = mentions.where(F.when(F.col("kind") == "card", luhn(F.col("name")) == 0).otherwise(True))
-    made = distinct_surrogates(mentions.select("kind", "name").distinct(), key)
-    filled = mentions.join(made, ["kind", "name"]).select("id", "mark", F.struct("pos", laid_out(F.col("surface"), F.col("kind"), F.col("made")).alias("new")).alias("x")).distinct()
-    filled = filled.groupBy("id", "mark").agg(F.map_from_entries(F.collect_list("x")).alias("new")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "new")
+    named = lambda s: bound(entity_type(s, given), lambda kind: F.struct(kind.alias("kind"), canonical(s, kind).alias("name")))
+    mentions = hit.select("id", "mark", F.posexplode("found").alias("pos", "surface")).select("id", "mark", "pos", "surface", bound(F.col("surface"), named).alias("x"))
+    mentions = mentions.select("id", "mark", "pos", "surface", F.col("x.kind").alias("kind"), F.col("x.name").alias("name"))
+    entity = F.when(F.col("kind") == "card", luhn(F.col("name")) == 0).otherwise(True)
+    made = distinct_surrogates(mentions.where(entity).select("kind", "name").distinct(), key)
+    # one place for each match, null where it is no entity, so that places are looked up by their number
+    filled = mentions.join(made, ["kind", "name"], "left").select("id", "mark", F.struct("pos", laid_out(F.col("surface"), F.col("kind"), F.col("made")).alias("new")).alias("x")).distinct()
+    filled = filled.groupBy("id", "mark").agg(F.array_sort(F.collect_list("x"))["new"].alias("new")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "new")
     whole = hit.join(filled, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")), "left")
-    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at("new", i), F.get("found", i), F.lit("")))), "")
-    whole = whole.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.coalesce(F.size("new"), F.lit(0)).alias("pii_entities"))
+    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.get("found", i), F.lit("")))), "")
+    whole = whole.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.coalesce(F.size(F.array_compact("new")), F.lit(0)).alias("pii_entities"))
     return clean.unionByName(whole)

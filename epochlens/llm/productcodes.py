@@ -78,7 +78,7 @@ class Cells:
 def parted(batch: pa.RecordBatch, parts: int, books: Books) -> list[np.ndarray]:
     """The batch's vectors, one matrix a part: parts differ by one component at most, longer ones first."""
     whole = np.array(batch.column("ints").to_pylist(), dtype=object if books[0].dtype == object else np.int64)
-    return np.array_split(whole.reshape(batch.num_rows, -1), parts, axis=1)
+    return np.array_split(whole.reshape(batch.num_rows, sum(b.shape[1] for b in books)), parts, axis=1)
 
 
 def learned(ints: DataFrame, books: Books, rounds: int) -> Books:
@@ -122,7 +122,7 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     moved in rounds, see learned(). The code has two hex digits a part, the index of its nearest entry; error is the sum
     of squared distances, label_error that of all vectors of the label, nulls together. All of it is in integers, so that
     no order of rows or tasks changes a result; components beyond what 64 bits can square are worked with in Python's
-    integers, and an error that is too large for a long is null.
+    integers, those beyond 64 bits count as the nearest long, and an error that is too large for a long is null.
 
     Rows with a null vector, or a null or non-finite component, are dropped. Rows that repeat an id are vectors of their
     own; equal ids start in the order of their components, null ids last; fewer vectors than entries give fewer
@@ -130,15 +130,16 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     nothing. Where parts don't divide the length, the first ones are longer by one. Other columns take no part. An empty
     table gives no rows.
     """
-    d = usable(vectors, id_col, vec_col).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE).cast("decimal(38,0)")).alias("ints"))
-    bounds = d.select(F.max(F.array_max(F.transform("ints", F.abs))).alias("most"), F.max(F.size("ints")).alias("length")).first()
+    d = usable(vectors, id_col, vec_col).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("ints"))
+    bounds = d.select(F.max(F.array_max(F.transform("ints", lambda x: F.abs(x.cast("decimal(20,0)"))))).alias("most"), F.max(F.size("ints")).alias("length")).first()
     if bounds["length"] is None:
         return d.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "string"), ("error", "long"), ("label_error", "long"), ("codebooks_sha256", "string"))])
     wide = 4 * int(bounds["most"] or 0) ** 2 * max(1, bounds["length"]) >= 1 << 62
-    ints = cut(d.withColumn("ints", F.col("ints") if wide else F.col("ints").cast("array<long>")), "codes-ints")
+    ints = cut(d, "codes-ints")
     first = ints.orderBy(F.asc_nulls_last("id"), "ints").limit(entries).collect()
     length = len(first[0]["ints"])
-    start = np.array([[int(x) for x in r["ints"]] for r in first if len(r["ints"]) == length], dtype=object if wide else np.int64).reshape(-1, length)
+    start = [r["ints"] for r in first if len(r["ints"]) == length]
+    start = np.array(start, dtype=object if wide else np.int64).reshape(len(start), length)
     same = ints.where(F.size("ints") == length)
     books = learned(same, np.array_split(start, parts, axis=1), rounds)
 
@@ -154,8 +155,8 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     kind = dict(ints.dtypes)
     coded = same.mapInArrow(codes, f"id {kind['id']}, label {kind['label']}, code string, error string")
     rest = ints.where(F.size("ints") != length).select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("error"))
-    coded = cut(coded.unionByName(rest).withColumn("error", F.col("error").cast("decimal(38,0)")), "codes")
-    by_label = cut(coded.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error")), "codes-labels")
+    coded = cut(coded.unionByName(rest).withColumn("error", F.col("error").try_cast("decimal(38,0)")), "codes")
+    by_label = cut(coded.groupBy(F.col("label").alias("l")).agg(F.try_sum("error").alias("label_error")), "codes-labels")
     joined = coded.join(if_small(by_label), F.col("label").eqNullSafe(F.col("l")), "left")
     long = lambda c: F.col(c).try_cast("long").alias(c)
     return joined.select("id", "code", long("error"), long("label_error"), F.lit(digest(books)).alias("codebooks_sha256"))
