@@ -31,6 +31,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast up to this many rows and bytes, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def size_checked(df: DataFrame) -> DataFrame:
+    """df as a written table, marked for broadcast if it is small by count and by size."""
+    df = written(df, "side")
+    size = F.length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    got = df.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= BROADCAST_ROWS and (got["b"] or 0) <= BROADCAST_BYTES else df
+
+
 def ranged_ranks(df: DataFrame, order: list, within: list[str], name: str) -> DataFrame:
     """df with the 1-based rank of each row in an order, or in the order of its group within.
 

@@ -1,18 +1,10 @@
-"""Vectors as arrays of doubles: norms, products, hashed features, exact top-k."""
+"""Vectors as arrays of doubles: norms, products, hashed features."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epochlens.functions.base import ranged_ranks
-
-#: A query set of this size is a few tens of MB at most.
-MOST_QUERIES = 4000
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -64,42 +56,3 @@ def mean_vectors(vectors: DataFrame, key: str, vector_col: str = "embedding") ->
     d = vectors.select(key, F.posexplode(l2_normalize(F.col(vector_col))).alias("at", "x"))
     d = d.groupBy(key, "at").agg(F.avg("x").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
     return d.select(key, l2_normalize(F.col("xs.x")).alias("embedding"))
-
-
-def scored_pairs(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """(query_id, id, score) of every query with every row: a stated query set against the corpus.
-
-    queries has (query_id, embedding) and is counted. Up to MOST_QUERIES they are broadcast; more are dealt into blocks
-    of that size, and each row of the corpus meets each block by an equi-join on its number.
-    """
-    blocks = -(-queries.count() // MOST_QUERIES)
-    q, c = queries.select("query_id", F.col("embedding").alias("__q")), corpus.select(F.col(id_col).alias("id"), F.col("embedding").alias("__v"))
-    if blocks <= 1:
-        both = c.crossJoin(F.broadcast(q))
-    else:
-        both = c.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "__b")
-    return both.select("query_id", "id", dot(F.col("__q"), F.col("__v")).alias("score"))
-
-
-def retrieval_size(n: int, share: float) -> int:
-    return max(1, math.ceil(share * n))
-
-
-def exact_topk(queries: DataFrame, corpus: DataFrame, share: float = 0.01, id_col: str = "vec_id", group_limit: int = 1000, scores: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank, k): the best ceil(share * rows of corpus) of each query, ties by id.
-
-    Filter corpus before: the size follows the rows that are eligible. Up to group_limit ranks, Spark cuts each
-    task's rows before the shuffle; beyond, rows are ranked by ranges, so no task holds a query's rows. scores: those of
-    scored_pairs(), where they have been written.
-    """
-    k = retrieval_size(corpus.count(), share)
-    scores = scored_pairs(queries, corpus, id_col) if scores is None else scores
-    if k <= group_limit:
-        ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    else:
-        ranked = ranged_ranks(scores, [F.desc("score"), F.col("id")], ["query_id"], "rank").select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
-    return ranked.where(F.col("rank") <= k).withColumn("k", F.lit(k))
-
-
-def score_thresholds(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id").agg(F.min("score").alias("threshold"), F.max("k").alias("k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.functions.dates import DateConfig, bin_end, bin_key, bin_label, bin_start
+from epochlens.functions.dates import DateRules, bin_end, bin_key, bin_label, bin_start
 
 
 def years_between(start: Column, end: Column) -> Column:
@@ -30,12 +30,21 @@ def bin_weights(objects: DataFrame, size: int = 10, id_col: str = "artwork_id",
     return d.select(id_col, *keep, "bin_start", "bin_end", (F.col("__n") / years_between(F.col("__s"), F.col("__e"))).alias("weight"))
 
 
-def extent_bins(objects: DataFrame, config: DateConfig = DateConfig(), start: str = "date_start", end: str = "date_end") -> DataFrame:
-    """The gap-free bins from the earliest start to the latest end, widened (never narrowed) by the configuration."""
-    lo, hi = F.min(start), F.max(end)
-    lo = lo if config.min_year is None else F.least(lo, F.lit(config.min_year))
-    hi = hi if config.max_year is None else F.greatest(hi, F.lit(config.max_year))
-    n = config.bin_size
+def bin_number(year: str, size: int = 10) -> Column:
+    """Which bin a year is in, counted from the one that starts at zero; a year zero, which doesn't exist, is the year 1."""
+    return F.floor(F.when(F.col(year) == 0, 1).otherwise(F.col(year)) / size).cast("int")
+
+
+def weight_in(bin_start: Column, size: int = 10, start: str = "date_start", end: str = "date_end") -> Column:
+    """The weight of a dated object in one bin; zero or less where it doesn't reach into it."""
+    over = years_between(F.greatest(F.col(start), bin_start), F.least(F.col(end), bin_end(bin_start, size)))
+    return over / years_between(F.col(start), F.col(end))
+
+
+def extent_bins(objects: DataFrame, rules: DateRules = DateRules(), start: str = "date_start", end: str = "date_end") -> DataFrame:
+    """The gap-free bins from the earliest start to the latest end, widened (never narrowed) by the rules."""
+    lo, hi = rules.reach(F.min(start), F.max(end))
+    n = rules.bin_size
     d = objects.where(F.col(start).isNotNull() & F.col(end).isNotNull()).agg(lo.alias("lo"), hi.alias("hi")).where("lo is not null and hi is not null")
     d = d.select("lo", "hi", F.posexplode(F.sequence(bin_start(F.col("lo"), n), bin_start(F.col("hi"), n), F.lit(n))).alias("bin_index", "bin_start"))
     if n == 1:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.functions.base import bound
-from epochlens.functions.dates import DateConfig, normalize_dates, parse_bool, trimmed
+from epochlens.functions.dates import DateRules, normalize_dates, parse_bool, trimmed
 from epochlens.operators.quality import dense_offsets
 
 # Institutions by id prefix, and the addresses of their records.
@@ -85,9 +85,9 @@ def permission_status(public_domain: Column, permitted: Column) -> Column:
     return F.when(F.coalesce(public_domain, F.lit(False)), "public-domain").when(permitted, "explicitly-permitted").otherwise("unreviewed")
 
 
-def canonical_records(df: DataFrame, config: DateConfig = DateConfig(), revision: str = "", metadata_license: str = CC0, on_error: str = "reject") -> DataFrame:
+def canonical_records(df: DataFrame, rules: DateRules = DateRules(), revision: str = "", metadata_license: str = CC0, on_error: str = "reject") -> DataFrame:
     """The canonical columns of each row, and reject_reason: "no id" or the reason of an invalid year, else null."""
-    d = normalize_dates(df, config, on_error)
+    d = normalize_dates(df, rules, on_error)
     one = lambda *names: first_of(d, *names)
     oid = one("artwork_id", "object_ID", "object_id", "id")
     inst, src = institution_of(oid, one("institution")), source_id_of(oid)
@@ -151,25 +151,19 @@ def museum_rows(df: DataFrame, image_ids: DataFrame | None = None) -> DataFrame:
     )
 
 
-def museum_corpus(rows: DataFrame, config: DateConfig, renormalize: bool = True) -> tuple[DataFrame, DataFrame]:
+def museum_corpus(rows: DataFrame, rules: DateRules, renormalize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept, counts): museum_rows() with dates normalized and clipped, and how many rows each reason rejects.
 
     Reasons in order: bad id, no usable date, out of bounds. Rows with an id that are
     not public, or without an image, are counted even if a later reason rejects them. renormalize treats the clipped years as plain source years.
     """
-    d = normalize_dates(rows, config, "reject")
-    outside = F.lit(False)
-    if config.min_year is not None:
-        outside = outside | (F.col("norm_end") < config.min_year)
-    if config.max_year is not None:
-        outside = outside | (F.col("norm_start") > config.max_year)
+    d = normalize_dates(rows, rules, "reject")
+    outside = rules.outside(F.col("norm_start"), F.col("norm_end"))
     reason = F.when(F.col("object_number").isNull(), "bad_id").when(F.col("norm_start").isNull(), "no_date").when(outside, "out_of_bounds")
     d = d.withColumn("reject_reason", reason)
     counts = d.agg(F.count("*").alias("input"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), *[F.count_if(F.col("reject_reason") == r).alias(r) for r in ("bad_id", "no_date", "out_of_bounds")], F.count_if(F.col("object_number").isNotNull() & ~F.col("public_domain")).alias("not_public_domain"), F.count_if(F.col("object_number").isNotNull() & ~F.col("image_available")).alias("no_image"))
     kept = d.where("reject_reason is null")
-    low, high = F.col("norm_start"), F.col("norm_end")
-    low = low if config.min_year is None else F.greatest(low, F.lit(config.min_year))
-    high = high if config.max_year is None else F.least(high, F.lit(config.max_year))
+    low, high = rules.cut(F.col("norm_start"), F.col("norm_end"))
     shown = F.when(F.col("date_display") != "", F.col("date_display")).otherwise(F.col("norm_display"))
     kept = kept.withColumns({"date_start": low, "date_end": high, "date_display": shown})
     if renormalize:

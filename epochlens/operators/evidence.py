@@ -6,42 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import ranged_ranks, written
+from epochlens.operators.bins import bin_number, weight_in
+from epochlens.operators.retrieval import best_rows, largest_score, pair_scores, score_thresholds
 from epochlens.operators.series import stable_order
 
 SLICES = ("strongest", "representative", "borderline", "random_contributors", "best_non_contributors", "random_denominator")
 
 
-def period_scores(scores: DataFrame, hits: DataFrame, weights: DataFrame, peaks: DataFrame, id_col: str) -> DataFrame:
-    """(query_id, bin_key, id, score, weight, contributor): rows with weight in the query's chosen bin, flagged by one join."""
-    rows = weights.select(F.col(id_col).alias("id"), "bin_start", "weight").join(peaks.select("query_id", "bin_key", "bin_start"), "bin_start")
-    flagged = hits.select("query_id", "id", F.lit(True).alias("hit"))
-    d = rows.join(scores, ["query_id", "id"]).join(flagged, ["query_id", "id"], "left")
-    return d.select("query_id", "bin_key", "id", "score", "weight", F.coalesce("hit", F.lit(False)).alias("contributor"))
-
-
 def _first(df: DataFrame, n: int, name: str, *order: Column) -> DataFrame:
     w = W.partitionBy("query_id", "bin_key").orderBy(*order, "id")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("slice", F.lit(name))
 
 
-def evidence_slices(period: DataFrame, thresholds: DataFrame, n: int = 3) -> DataFrame:
-    """(query_id, bin_key, slice, rank, id, score, weight, contributor) for the six slices of up to n rows.
+def _middle(hit: DataFrame, n: int) -> DataFrame:
+    """Rows at most n places from the middle of their query's contributors in the order of scores, ranked by ranges."""
+    of = ["query_id", "bin_key"]
+    ranked = ranged_ranks(hit, [F.col("score"), F.col("id")], of, "__i").join(hit.groupBy(*of).agg(F.count("*").alias("__c")), of)
+    apart = F.abs(F.col("__i") - 1 - (F.col("__c") - 1) / 2)
+    return ranked.withColumn("__apart", apart).where(F.col("__apart") <= n).drop("__i", "__c")
+
 
-    Strongest and middle-ranked contributors, rows nearest the threshold, the best others, and stable random
-    samples of contributors and of all rows.
+def evidence_slices(hits: DataFrame, queries: DataFrame, corpus: DataFrame, peaks: DataFrame, id_col: str, n: int = 3, size: int = 10) -> DataFrame:
+    """(query_id, bin_key, slice, rank, id, score, weight, contributor) for six slices of up to n rows of each query's chosen bin.
+
+    Strongest and middle-ranked contributors, rows nearest the threshold, the best others, and stable random samples of
+    contributors and of all rows. Contributors are the hits with weight in the bin. Of the others only the best n are
+    retrieved, which are the nearest below the threshold too, and only sampled rows are scored beside them.
     """
-    period = period.join(F.broadcast(thresholds.select("query_id", "threshold")), "query_id")
-    hit, other = period.where("contributor"), period.where(~F.col("contributor"))
-    of = W.partitionBy("query_id", "bin_key")
-    ranked = hit.withColumn("__i", F.row_number().over(of.orderBy("score", "id")) - 1).withColumn("__m", (F.count("*").over(of) - 1) / 2)
+    c = corpus.where("date_start <= date_end").select(F.col(id_col).alias("id"), "embedding", "date_start", "date_end", bin_number("date_start", size).alias("first"), bin_number("date_end", size).alias("last"))
+    peaks = peaks.select("query_id", "bin_key", "bin_start")
+    dated = c.drop("embedding", "first", "last")
+    in_bin = lambda rows: rows.join(peaks, "query_id").join(dated, "id").withColumn("weight", weight_in(F.col("bin_start"), size)).where("weight > 0").drop("bin_start", "date_start", "date_end")
+    hit = written(in_bin(hits.select("query_id", "id", "score")), "contributors")
+    thresholds = score_thresholds(hits).drop("k")
+    limited = queries.join(peaks, "query_id").join(thresholds, "query_id").select("query_id", "embedding", (F.col("bin_start") / size).cast("long").alias("bin"), F.col("threshold").alias("below"), F.col("last_id").alias("below_id"))
+    _, bound = largest_score(queries, c)
+    other = written(in_bin(best_rows(limited, c.select("id", "embedding", "first", "last"), n, bound)), "others")
     salt = lambda what: stable_order(F.concat_ws(":", F.lit(what), F.col("query_id").cast("string"), "bin_key"), F.col("id"))
+    members = c.select("id", F.explode(F.sequence("first", "last")).alias("__b")).join(peaks.withColumn("__b", (F.col("bin_start") / size).cast("int")), "__b").select("query_id", "bin_key", "id")
+    sample = in_bin(pair_scores(_first(members, n, SLICES[5], salt("denominator")).select("query_id", "id"), queries, c, "id"))
+    sample = sample.join(hits.select("query_id", "id", F.lit(True).alias("hit")), ["query_id", "id"], "left").withColumn("contributor", F.coalesce("hit", F.lit(False)))
+    hit, other = hit.withColumn("contributor", F.lit(True)), other.withColumn("contributor", F.lit(False))
+    near = hit.unionByName(other).join(thresholds, "query_id")
     parts = [
         _first(hit, n, SLICES[0], F.desc("score")),
-        _first(ranked, n, SLICES[1], F.abs(F.col("__i") - F.col("__m"))),
-        _first(period, n, SLICES[2], F.abs(F.col("score") - F.col("threshold"))),
+        _first(_middle(hit, n), n, SLICES[1], F.col("__apart")),
+        _first(near, n, SLICES[2], F.abs(F.col("score") - F.col("threshold"))),
         _first(hit, n, SLICES[3], salt("contributor")),
         _first(other, n, SLICES[4], F.desc("score")),
-        _first(period, n, SLICES[5], salt("denominator")),
+        _first(sample, n, SLICES[5], salt("denominator")),
     ]
     cols = ["query_id", "bin_key", "slice", "rank", "id", "score", "weight", "contributor"]
     out = parts[0].select(cols)

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MINIMUM_DENOMINATOR = 20.0
+#: Rows in a query's control sample.
+CONTROLS = 128
 
 
 def series_points(hits: DataFrame, weights: DataFrame, denominators: DataFrame, queries: DataFrame, share: float | None = None, id_col: str = "artwork_id", cluster: str | None = "visual_cluster_id") -> DataFrame:
@@ -29,6 +31,11 @@ def series_of_weights(hit_weights: DataFrame, denominators: DataFrame, queries:
     """
     per = hit_weights.groupBy("query_id", "bin_start", F.col(cluster).alias("__c")).agg(F.sum("weight").alias("m"), F.count("*").alias("o"))
     mass = per.groupBy("query_id", "bin_start").agg(F.sum("m").alias("m"), F.sum("o").alias("o"), F.count("__c").alias("c"))
+    return points_of_mass(mass, denominators, queries, share)
+
+
+def points_of_mass(mass: DataFrame, denominators: DataFrame, queries: DataFrame, share: float | None = None) -> DataFrame:
+    """series_points() from (query_id, bin_start, m, o, c): the hits' mass, objects and clusters where there are any."""
     grid = denominators.join(queries.select("query_id").distinct())
     d = grid.join(mass, ["query_id", "bin_start"], "left")
     part = F.when(F.col("eligible_weight") > 0, F.coalesce("m", F.lit(0.0)) / F.col("eligible_weight")).otherwise(0.0)
@@ -91,12 +98,14 @@ def stable_order(salt: Column, id_col: Column) -> Column:
     return F.sha2(F.concat_ws(":", salt, id_col.cast("string")), 256)
 
 
-def control_statistics(hits: DataFrame, scores: DataFrame, controls: int = 128, version: str = "v1") -> DataFrame:
-    """Per query: the hits' mean score, mean and population deviation of a stable sample of other rows, separation."""
-    rest = scores.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    order = W.partitionBy("query_id").orderBy(stable_order(F.concat_ws(":", F.lit("controls"), F.lit(version), F.col("query_id").cast("string")), F.col("id")), "id")
-    chosen = rest.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= controls)
-    c = chosen.groupBy("query_id").agg(F.avg("score").alias("cm"), F.stddev_pop("score").alias("cs"))
+def control_order(version: str = "v1") -> Column:
+    """The stable random order of a query's control rows."""
+    return stable_order(F.concat_ws(":", F.lit("controls"), F.lit(version), F.col("query_id").cast("string")), F.col("id"))
+
+
+def control_statistics(hits: DataFrame, controls: DataFrame) -> DataFrame:
+    """Per query: the hits' mean score, mean and population deviation of the control rows' scores, separation."""
+    c = controls.groupBy("query_id").agg(F.avg("score").alias("cm"), F.stddev_pop("score").alias("cs"))
     d = hits.groupBy("query_id").agg(F.avg("score").alias("hit_mean")).join(c, "query_id", "left")
     gap = F.col("hit_mean") - F.col("cm")
     separation = F.when(F.col("cm").isNull(), 0.0).when(F.col("cs") > 1e-8, gap / F.col("cs")).when(gap > 0, 999.0).otherwise(0.0)

@@ -10,6 +10,7 @@ from epochlens.functions.base import written
 from epochlens.operators import bins as B
 from epochlens.operators import canonical as C
 from epochlens.operators import quality as Q
+from epochlens.operators import sweep as SW
 from epochlens.plans import testbed as T
 from epochlens.sources import files as S
 
@@ -17,23 +18,19 @@ W_OBJECTS = T.weights_sql("objects", "artwork_id", "physical_object_id, visual_c
 FACETS = {"department": ["brand#1", "Brand#2", "BRAND#3"], "facet": ["1-URGENT", "2-HIGH"]}
 
 
-def _weights(objects: DataFrame) -> DataFrame:
-    return B.bin_weights(objects, keep=("physical_object_id", "visual_cluster_id"))
-
-
 def interval_bin_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bin_weights(T.objects(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
 def bin_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = written(T.objects(spark, sf_dir), "objects")
-    return B.denominators(_weights(o), B.extent_bins(o)).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
+    return SW.interval_denominators(o, B.extent_bins(o)).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
 
 
 def filtered_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = written(T.objects(spark, sf_dir), "objects")
     kept = Q.facet_filter(o, FACETS, ["department", "facet"])
-    return B.denominators(_weights(kept), B.extent_bins(o), count_rows=True).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
+    return SW.interval_denominators(kept, B.extent_bins(o), count_rows=True).withColumn("eligible_weight", F.round("eligible_weight", 5)).drop("bin_label")
 
 
 def row_sum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +64,12 @@ def _museum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eligibility_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = C.museum_corpus(_museum(spark, sf_dir), D.DateConfig(min_year=150, max_year=1700))
+    _, counts = C.museum_corpus(_museum(spark, sf_dir), D.DateRules(earliest=150, latest=1700))
     return counts
 
 
 def museum_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = C.museum_corpus(_museum(spark, sf_dir), D.DateConfig(min_year=150, max_year=1700))
+    kept, _ = C.museum_corpus(_museum(spark, sf_dir), D.DateRules(earliest=150, latest=1700))
     return kept.select("artwork_id", "title", "geography", "date_start", "date_end", "date_qualifier", "image_rights_uri")
 
 
@@ -102,7 +99,7 @@ def shift_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.extent_bins(T.objects(spark, sf_dir), D.DateConfig(min_year=-120, max_year=30))
+    return B.extent_bins(T.objects(spark, sf_dir), D.DateRules(earliest=-120, latest=30))
 
 
 def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +164,7 @@ def _split_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _split_events(spark, sf_dir)
-    return S.new_rows(new, old, ["event_id"])
+    return S.new_rows(new, old, "event_id")
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

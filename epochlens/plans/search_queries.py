@@ -10,7 +10,9 @@ from epochlens.functions import vectors as V
 from epochlens.functions.base import written
 from epochlens.operators import bins as B
 from epochlens.operators import evidence as E
+from epochlens.operators import retrieval as R
 from epochlens.operators import series as S
+from epochlens.operators import sweep as SW
 from epochlens.plans import testbed as T
 
 #: Terms of the keyword queries: id and normalized text.
@@ -24,15 +26,13 @@ def _terms(spark: SparkSession, stem: bool = False) -> DataFrame:
 
 def _keyword(spark: SparkSession, sf_dir: str, field: str | None = None, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, matches, objects): objects are written once; names and types are few, so phrases are matched on the distinct
-    ones and joined back, and the weights of matches come from the matches themselves."""
+    ones and joined back; sums over bins come from the intervals of the objects and of the matches."""
     o = written(T.objects(spark, sf_dir), "objects")
     parts = o.select("title", "tags").distinct().withColumn("part", F.xxhash64("title", "tags"))
     hits = X.phrase_matches(X.tokenized(parts, "part", ["title", "tags"], stem), _terms(spark, stem), field)
     found = parts.join(hits, F.col("part") == F.col("id")).select("title", "tags", "query_id")
     matched = o.join(found, ["title", "tags"])
-    keep = ("physical_object_id", "visual_cluster_id")
-    d = B.denominators(B.bin_weights(o, keep=keep), B.extent_bins(o))
-    points = S.series_of_weights(B.bin_weights(matched, keep=("query_id", "visual_cluster_id")), d, _terms(spark))
+    points = SW.interval_series(matched, SW.interval_denominators(o, B.extent_bins(o)), _terms(spark))
     return points, matched.select("query_id", F.col("artwork_id").alias("id")), o
 
 
@@ -64,7 +64,7 @@ def peak_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = written(T.objects(spark, sf_dir), "objects")
-    d = B.denominators(B.bin_weights(o, keep=("physical_object_id", "visual_cluster_id")), B.extent_bins(o))
+    d = SW.interval_denominators(o, B.extent_bins(o))
     return S.trimmed_timeline(d, 2000.0).select("bin_index", "bin_key", F.round("eligible_weight", 5).alias("eligible_weight"))
 
 
@@ -112,10 +112,9 @@ def _queries(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = T.vectors(spark, sf_dir)
-    scores = written(V.scored_pairs(_queries(v), v), "scores")
-    return v, written(V.exact_topk(_queries(v), v, SHARE, scores=scores), "hits"), scores
+    return v, written(R.exact_topk(_queries(v), v, SHARE), "hits")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,19 +123,19 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_filtered_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = T.vectors(spark, sf_dir)
-    return V.exact_topk(_queries(v), v.where("label in (1, 2, 3)"), SHARE).withColumn("score", F.round("score", 6))
+    return R.exact_topk(_queries(v), v.where("label in (1, 2, 3)"), SHARE).withColumn("score", F.round("score", 6))
 
 
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.score_thresholds(_hits(spark, sf_dir)[1]).withColumn("threshold", F.round("threshold", 6))
+    return R.score_thresholds(_hits(spark, sf_dir)[1]).select("query_id", F.round("threshold", 6).alias("threshold"), "k")
 
 
-def _lift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    v, hits, scores = _hits(spark, sf_dir)
+def _lift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v, hits = _hits(spark, sf_dir)
     v = v.withColumn("cluster", F.col("vec_id") % 50)
-    w = B.bin_weights(v, id_col="vec_id", keep=("cluster",))
-    d = B.denominators(w, B.extent_bins(v), "vec_id", "cluster")
-    return S.series_points(hits, w, d, hits, SHARE, "vec_id", "cluster"), hits, scores, w
+    d = SW.interval_denominators(v, B.extent_bins(v), physical="vec_id", cluster="cluster", id_col="vec_id")
+    matched = hits.select("query_id", F.col("id").alias("vec_id")).join(v.drop("embedding"), "vec_id")
+    return SW.interval_series(matched, d, hits, SHARE, cluster="cluster", id_col="vec_id"), hits, v
 
 
 def concentration_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +149,12 @@ def _prompts(v: DataFrame) -> DataFrame:
 
 def _prompt_jaccard(v: DataFrame, hits: DataFrame) -> DataFrame:
     prompts = _prompts(v)
-    found = V.exact_topk(prompts.select(F.col("prompt_id").alias("query_id"), "embedding"), v, SHARE).select(F.col("query_id").alias("prompt_id"), "id")
+    found = R.exact_topk(prompts.select(F.col("prompt_id").alias("query_id"), "embedding"), v, SHARE).select(F.col("query_id").alias("prompt_id"), "id")
     return S.prompt_jaccard(hits, found.join(prompts.select("query_id", "prompt_id"), "prompt_id"))
 
 
 def prompt_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompt_jaccard(*_hits(spark, sf_dir)[:2]).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
+    return _prompt_jaccard(*_hits(spark, sf_dir)).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
 
 
 def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,17 +162,20 @@ def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("query_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, hits = _hits(spark, sf_dir)
+    controls = R.pair_scores(R.sampled_others(hits, _queries(v), v, S.CONTROLS, S.control_order()), _queries(v), v)
+    return S.signal_diagnostics(S.control_statistics(hits, controls), _prompt_jaccard(v, hits))
+
+
 def signal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, hits, scores = _hits(spark, sf_dir)
-    d = S.signal_diagnostics(S.control_statistics(hits, scores), _prompt_jaccard(v, hits))
     rounded = [F.round(c, 5).alias(c) for c in ("hit_mean", "control_mean", "control_std", "separation", "prompt_jaccard")]
-    return d.select("query_id", *rounded, F.array_join("reasons", "; ").alias("reasons"), "low_signal")
+    return _diagnostics(spark, sf_dir).select("query_id", *rounded, F.array_join("reasons", "; ").alias("reasons"), "low_signal")
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, hits, scores, w = _lift(spark, sf_dir)
-    period = written(E.period_scores(scores, hits, w, S.peak_bins(points), "vec_id"), "period")
-    return E.evidence_slices(period, V.score_thresholds(hits))
+    points, hits, v = _lift(spark, sf_dir)
+    return E.evidence_slices(hits, _queries(v), v, S.peak_bins(points), "vec_id")
 
 
 def evidence_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

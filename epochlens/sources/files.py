@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import ranged_ranks, written
+
 ERROR_COLUMNS = ("error_type", "error_subtype")
 
 
@@ -111,14 +113,45 @@ def build_manifest(counts: DataFrame, bins: DataFrame, files: DataFrame, rules:
     return c.join(b).join(f).select(F.to_json(F.struct(utc_timestamp(F.lit(retrieved_at)).alias("retrieved_at"), "counts", version.alias("date_rules"), "bins", "files")).alias("manifest"))
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows that conflict with no existing row in any unique key, and with no earlier incoming row."""
-    out = incoming
-    for k in keys:
-        out = out.join(existing.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
-        rest = [c for c in keys if c != k] or [k]
-        out = out.withColumn("__r", F.row_number().over(W.partitionBy(k).orderBy(*rest))).where(F.col(k).isNull() | (F.col("__r") == 1)).drop("__r")
-    return out.select(incoming.columns)
+def ordered_insert(incoming: DataFrame, existing: DataFrame, keys: list[str], order: str, after=None, limit: int | None = None) -> tuple[DataFrame, object]:
+    """(rows, cursor): what inserting incoming rows one by one, in order, into existing leaves new, and how far it came.
+
+    A row is passed over if an existing row, or one inserted before it, has its value in any unique key; null values conflict
+    with none, and a row that is passed over stops no other. Rows count in the order of a column, and in that of a digest
+    of the row where it is equal. With after, only rows beyond it take part; with limit, only so many of these; the cursor
+    is the last row's value of the order column, inserted or not, to go on after, or after itself where none is left.
+
+    In rounds: of the rows that are still open, the ones that come first in each of their keys are inserted, and the others
+    that share a value with one of these are passed over. Both are found by minima a value and a join, written each
+    time. Random orders take about as many rounds as the log of the rows; a chain of conflicts as many as its length.
+    """
+    open_rows = incoming.where(F.col(order).isNotNull()) if after is None else incoming.where(F.col(order) > F.lit(after))
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in incoming.columns])
+    if limit is not None:
+        open_rows = open_rows.orderBy(order, digest).limit(limit)
+    rows = written(ranged_ranks(open_rows.withColumn("__d", digest), [F.col(order), F.col("__d")], [], "__n"), "insert")
+    cursor = rows.agg(F.max(order).alias("c")).first()["c"]
+    values = F.array(*[F.struct(F.lit(i).alias("key"), F.col(f"`{k}`").cast("string").alias("value")) for i, k in enumerate(keys)])
+    held = existing.select(F.explode(values).alias("x")).select("x.*").where("value is not null").distinct()
+    claims = rows.select("__n", F.explode(values).alias("x")).select("__n", "x.*").where("value is not null")
+    stopped = claims.join(held, ["key", "value"], "left_semi").select("__n").distinct()
+    claims = written(claims.join(stopped, "__n", "left_anti"), "claims")
+    inserted = rows.join(stopped, "__n", "left_anti").join(claims.select("__n").distinct(), "__n", "left_anti").select("__n")
+    while claims.limit(1).count():
+        first = claims.groupBy("key", "value").agg(F.min("__n").alias("first"))
+        judged = written(claims.join(first, ["key", "value"]), "judged")
+        taken = written(judged.groupBy("__n").agg(F.bool_and(F.col("first") == F.col("__n")).alias("ok")).where("ok").select("__n"), "taken")
+        beaten = judged.join(taken.select(F.col("__n").alias("first")), "first", "left_semi").select("__n").distinct()
+        claims = written(claims.join(beaten, "__n", "left_anti"), "claims")
+        inserted = inserted.union(taken)
+    return rows.join(inserted, "__n", "left_semi").select(incoming.columns), after if cursor is None else cursor
+
+
+def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Incoming rows whose key no existing row has, one a key: the first by the digest of its columns; null keys all stay."""
+    out = incoming.join(existing.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    first = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in incoming.columns]))
+    return out.withColumn("__r", F.row_number().over(first)).where(F.col(key).isNull() | (F.col("__r") == 1)).select(incoming.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:

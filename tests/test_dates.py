@@ -8,8 +8,8 @@ from epochlens.operators import bins as B
 COLUMNS = "date_start string, date_end string, date_display string, date_qualifier string"
 
 
-def normal(spark, *row, config=D.DateConfig(), schema=COLUMNS):
-    r = D.normalize_dates(spark.createDataFrame([row], schema), config).first()
+def normal(spark, *row, rules=D.DateRules(), schema=COLUMNS):
+    r = D.normalize_dates(spark.createDataFrame([row], schema), rules).first()
     return r["norm_start"], r["norm_end"], r["norm_qualifier"], r["norm_method"]
 
 
@@ -78,17 +78,17 @@ def test_weights_equal_enumeration(spark):
 
 def test_bins_widen_and_label(spark):
     d = spark.createDataFrame([("a", 5, 12)], "artwork_id string, date_start int, date_end int")
-    got = [(r["bin_key"], r["bin_label"]) for r in B.extent_bins(d, D.DateConfig(min_year=-5)).collect()]
+    got = [(r["bin_key"], r["bin_label"]) for r in B.extent_bins(d, D.DateRules(earliest=-5)).collect()]
     assert got == [("-10:-1", "10–1 BCE"), ("0:9", "1–9 CE"), ("10:19", "10–19 CE")]
-    assert [r["bin_start"] for r in B.extent_bins(d.withColumn("date_start", F.lit(-2)).withColumn("date_end", F.lit(2)), D.DateConfig(bin_size=1)).collect()] == [-2, -1, 1, 2]
+    assert [r["bin_start"] for r in B.extent_bins(d.withColumn("date_start", F.lit(-2)).withColumn("date_end", F.lit(2)), D.DateRules(bin_size=1)).collect()] == [-2, -1, 1, 2]
 
 
 def test_clip(spark):
     d = spark.createDataFrame([(1, 10), (5, 90), (95, 99), (None, None)], "norm_start int, norm_end int")
-    assert sorted(map(tuple, D.clip_interval(d, D.DateConfig(min_year=20, max_year=50)).collect()), key=str) == [(20, 50), (None, None)]
+    assert sorted(map(tuple, D.clip_interval(d, D.DateRules(earliest=20, latest=50)).collect()), key=str) == [(20, 50), (None, None)]
 
 
 def test_config_is_checked():
-    for bad in ({"bin_size": 0}, {"min_year": 0}, {"min_year": 5, "max_year": 1}, {"circa_years": -1}):
+    for bad in ({"bin_size": 0}, {"earliest": 0}, {"earliest": 5, "latest": 1}, {"around": -1}):
         with pytest.raises(ValueError):
-            D.DateConfig(**bad)
+            D.DateRules(**bad)
