@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,19 +16,39 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, read back: for what is used several times. It stays as long as
-    that folder; in local mode without the setting a temporary one is taken."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; in local mode without the setting a temporary
+    one, elsewhere an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def tables_root(spark: SparkSession) -> str:
+    """Where this application's intermediate tables and sinks of queries are."""
+    return f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place for a table, beside which nothing else is."""
+    return f"{tables_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of this application, read back: for what is used several times. See release()."""
+    path = f"{tables_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once results that are made of them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A side of a join is broadcast up to this many rows and bytes, and shuffled beyond.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -27,18 +29,26 @@ def norm_violations(vectors: DataFrame, id_col: str, vector_col: str = "embeddin
     return d.join(F.broadcast(usual)).where(F.col("norm").isNull() | F.isnan("norm") | (F.abs(F.col("norm") - 1) > tolerance) | (F.col("dim") != F.col("usual_dim"))).drop("usual_dim")
 
 
+def casefolded(c: Column) -> Column:
+    """Text folded for comparison without case: as Unicode folds it, but for letters of very few scripts."""
+    return F.lower(F.replace(F.upper(c), F.lit("Σ"), F.lit("σ")))
+
+
 def hash_vectorize(docs: DataFrame, id_col: str, text_col: str, dim: int = 64, adds: int = 8) -> DataFrame:
     """(id, index, value): L2-normalized feature hashes, sparse.
 
-    Each token's digest gives `adds` pairs of an index (four bytes, modulo dim) and a sign (the parity of the
-    index's first byte); tokens are counted a document first, so a digest is taken once a document and token.
+    A token's digest gives `adds` indexes, of two bytes each from its start on, modulo dim, and as many signs, each by the
+    last bit of a byte from its middle on, odd ones up. A text without a token is one token, the whole of it. Tokens are counted a document
+    first, so a digest is taken once a document and token. A null text is empty.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
+    words = lambda t: bound(F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(t)))
+    word = F.explode(bound(casefolded(F.coalesce(F.col(text_col), F.lit(""))), words))
     counts = docs.select(F.col(id_col).alias("id"), word.alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
     hexed = counts.withColumn("h", F.sha2("token", 256))
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(adds - 1)), lambda i: F.substring(F.col("h"), i * 8 + 1, F.lit(8))))
-    parts = hexed.select("id", "n", at.alias("p")).select("id", "n", (F.conv("p", 16, 10).cast("long") % dim).cast("int").alias("index"), (F.conv(F.substring("p", 1, 2), 16, 10).cast("int") % 2).alias("odd"))
-    sums = parts.groupBy("id", "index").agg(F.sum(F.when(F.col("odd") == 1, -F.col("n")).otherwise(F.col("n"))).alias("s"))
+    number = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
+    each = F.explode(F.array(*[F.struct((number(4 * i + 1, 4) % dim).alias("index"), (number(33 + 2 * i, 2) % 2).alias("odd")) for i in range(adds)]))
+    parts = hexed.select("id", "n", each.alias("p")).select("id", "n", "p.*")
+    sums = parts.groupBy("id", "index").agg(F.sum(F.when(F.col("odd") == 1, F.col("n")).otherwise(-F.col("n"))).alias("s"))
     norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("s") * F.col("s")).cast("double")).alias("norm"))
     return sums.join(norm, "id").where("norm > 0 and s <> 0").select("id", "index", (F.col("s") / F.col("norm")).alias("value"))
 

@@ -192,9 +192,17 @@ def image_path(root: Column, path: Column) -> Column:
     return F.when(path.startswith("/"), path).when(path != "", F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), path))
 
 
-def two_source_intersection(corpus: DataFrame, urls: DataFrame, prefix: str = "MET_") -> DataFrame:
-    """Public-domain corpus rows whose source id has an image address in urls (object_ID, image_url), first seen by id order."""
-    u = urls.where(F.col("object_ID").startswith(prefix)).select(F.substring("object_ID", len(prefix) + 1, 1_000_000).alias("source_id"), "image_url")
-    u = u.where("image_url is not null and image_url <> ''").groupBy("source_id").agg(F.min("image_url").alias("image_url"))
-    c = corpus.where(F.coalesce("public_domain", F.lit(False))).drop("image_url")
+def two_source_intersection(corpus: DataFrame, urls: DataFrame, prefix: str = "MET", order: tuple[str, ...] = ("image_url",)) -> DataFrame:
+    """Public-domain corpus rows whose source id has an image address in urls (object_ID, image_url), once an object id.
+
+    An object id is the prefix, in any case, an underscore and the source id; blanks around ids and addresses don't count,
+    and rows without an address don't. Of several rows of one object id the first in the order of the columns of order
+    counts, ties by address. artwork_id is the object id.
+    """
+    u = urls.select(trimmed(F.col("object_ID")).alias("artwork_id"), trimmed(F.col("image_url")).alias("image_url"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)])
+    source = F.substring(F.col("artwork_id"), F.lit(len(prefix) + 2), F.length("artwork_id"))
+    u = u.where((F.upper(F.substring("artwork_id", 1, len(prefix) + 1)) == prefix.upper() + "_") & (F.col("image_url") != "")).withColumn("source_id", source)
+    first = F.min_by("image_url", F.struct(*[f"__{i}" for i in range(len(order))], "image_url"))
+    u = u.groupBy("artwork_id", "source_id").agg(first.alias("image_url"))
+    c = corpus.where(F.coalesce("public_domain", F.lit(False))).drop("image_url", "artwork_id")
     return c.join(u, "source_id")

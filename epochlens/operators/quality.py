@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.functions.base import ranged_ranks
+from epochlens.operators.bins import bin_weights, years_between
 
 
 def coverage(df: DataFrame, dimensions: list[str], dated: str = "date_start", public: str = "public_domain", image: str = "image_available") -> DataFrame:
@@ -83,3 +84,40 @@ def dense_offsets(df: DataFrame, key: str = "artwork_id", name: str = "embedding
 
 def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def observed_write(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
+    """Write df as Parquet to a new path and return metrics of its rows, gathered by the tasks that write: no second scan."""
+    seen = Observation()
+    df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    return seen.get
+
+
+#: What a bundle of objects and weights must not have any of.
+FAULTS = ("undated", "reversed", "year_zero", "no_id", "outside", "bad_weights", "weight_off")
+
+
+def write_bundle(objects: DataFrame, root: str, size: int = 10, id_col: str = "artwork_id", earliest: int | None = None, latest: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """Write objects and their weights below root; one row about both, with what is wrong with them.
+
+    Counted while the objects are written: rows, undated and reversed ones, those with a year zero, without an id and
+    beyond the bounds. Counted while the weights are: rows, those that are negative, zero, not finite or over 1, and the sum of all, which
+    must be the number of objects that have weights. ok says that every one of FAULTS is 0.
+    """
+    start, end = F.col("date_start"), F.col("date_end")
+    low, high = F.lit(earliest).cast("int"), F.lit(latest).cast("int")
+    dated = start.isNotNull() & end.isNotNull()
+    weighed = dated & (start <= end) & (years_between(start, end) > 0)
+    of_rows = observed_write(objects, f"{root}/objects", {
+        "rows": F.count("*"), "undated": F.count_if(~dated), "reversed": F.count_if(start > end), "year_zero": F.count_if((start == 0) | (end == 0)), "no_id": F.count_if(F.col(id_col).isNull()),
+        "outside": F.count_if((start < low) | (end > high)), "weighed": F.count_if(weighed), "first_year": F.min(start), "last_year": F.max(end),
+    })
+    w = F.col("weight")
+    weights = bin_weights(objects.sparkSession.read.parquet(f"{root}/objects"), size, id_col)
+    of_weights = observed_write(weights, f"{root}/weights", {"weights": F.count("*"), "bad_weights": F.count_if(F.isnan(w) | (w <= 0) | (w > 1 + tolerance)), "total": F.sum(w)})
+    off = int(abs((of_weights["total"] or 0.0) - of_rows["weighed"]) > tolerance * max(1, of_rows["weighed"]))
+    got = {**of_rows, **of_weights, "weight_off": off}
+    kinds = {"first_year": "int", "last_year": "int", "total": "double"}
+    row = {k: v for k, v in got.items() if k != "weighed"} | {"ok": not any(got[f] for f in FAULTS)}
+    schema = ", ".join(f"{k} {kinds.get(k, 'boolean' if k == 'ok' else 'long')}" for k in row)
+    return objects.sparkSession.createDataFrame([tuple(row.values())], schema)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlens.functions.base import size_checked
 from epochlens.functions.text import stem_word, tokens
+from epochlens.sources.segments import Segments
 
 #: Posting lists are dealt into buckets by their word; a query reads the buckets of its words.
 BUCKETS = 64
@@ -25,39 +22,21 @@ def bucket_of(word: Column, buckets: int) -> Column:
 
 
 class TextIndex:
-    """Segments below root and a registry that says which of them count.
+    """Posting lists in segments below root.
 
     A posting is (word, id, row, field, positions): where a word stands in one field of a row, counted in tokens. row is
     a digest of the row's texts, so that rows that repeat an id stay apart. Each append writes one segment and registers
     it; FAN segments of a tier are merged into one, so n appends leave about log n segments, and each posting is rewritten
-    as often. The registry is a table of versions, and a version is written once: of two that write the same, the second
-    fails and changes nothing. Segments that no version names, left by a writer that was lost, are never read.
+    as often.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def live(self) -> tuple[int, list[dict]]:
-        """The last version and its segments, each with name and tier."""
-        try:
-            last = self.spark.read.text(f"{self.root}/registry").orderBy(F.desc("version")).first()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        return (last["version"], json.loads(last["value"])) if last else (0, [])
-
-    def _register(self, version: int, segments: list[dict]) -> None:
-        self.spark.createDataFrame([(json.dumps(segments),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.root}/registry/version={version}")
-
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/postings").parquet(*[f"{self.root}/postings/segment={n}" for n in names]).drop("segment")
+        self.store, self.buckets = Segments(spark, root), buckets
 
-    def _write(self, postings: DataFrame, name: str) -> None:
+    def _write(self, postings: DataFrame) -> str:
         """Sorted by word within each file of a bucket, so that a search skips row groups by their least and greatest word."""
         salt = F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))
-        dealt = postings.repartition("bucket", salt).sortWithinPartitions("bucket", "word", "id")
-        dealt.write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/postings/segment={name}")
+        return self.store.write(postings.repartition("bucket", salt).sortWithinPartitions("bucket", "word", "id"), ["bucket"])
 
     def append(self, docs: DataFrame, id_col: str, fields: list[str]) -> None:
         """Add the rows of docs. Null and token-less texts have no postings; rows that are equal in id and texts are one."""
@@ -68,40 +47,28 @@ class TextIndex:
         # grouping keeps the dealing by bucket and salt, so there is one shuffle
         d = d.repartition("bucket", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)))
         postings = d.groupBy("bucket", "word", "id", "row", "field").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-        version, segments = self.live()
-        name = uuid.uuid4().hex
-        self._write(postings, name)
-        self._register(version + 1, [*segments, {"name": name, "tier": 0}])
+        version, segments = self.store.live()
+        self.store.register(version, [*segments, {"name": self._write(postings), "tier": 0}])
         self._merge()
 
     def _merge(self) -> None:
         """Merge while some tier has FAN segments."""
         while True:
-            version, segments = self.live()
+            version, segments = self.store.live()
             tiers = [s["tier"] for s in segments]
             full = sorted(t for t in set(tiers) if tiers.count(t) >= FAN)
             if not full:
                 return
             old = [s for s in segments if s["tier"] == full[0]]
-            name = uuid.uuid4().hex
-            self._write(self._read([s["name"] for s in old]).dropDuplicates(["bucket", "word", "id", "row", "field"]), name)
-            self._register(version + 1, [*[s for s in segments if s not in old], {"name": name, "tier": full[0] + 1}])
-
-    def vacuum(self) -> None:
-        """Delete the segments that the last version doesn't name. Readers of earlier versions must be done."""
-        keep = {f"segment={s['name']}" for s in self.live()[1]}
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/postings")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for f in fs.listStatus(path) if fs.exists(path) else []:
-            if f.getPath().getName() not in keep:
-                fs.delete(f.getPath(), True)
+            merged = self._write(self.store.read(old).dropDuplicates(["bucket", "word", "id", "row", "field"]))
+            self.store.register(version, [*[s for s in segments if s not in old], {"name": merged, "tier": full[0] + 1}])
 
     def postings(self) -> DataFrame:
         """All live postings; one that several segments have counts once."""
-        segments = self.live()[1]
+        segments = self.store.live()[1]
         if not segments:
             raise ValueError("the index has no segment")
-        return self._read([s["name"] for s in segments])
+        return self.store.read(segments)
 
     def vocabulary(self) -> DataFrame:
         """(word, bucket, stem) of every word, each stemmed once."""

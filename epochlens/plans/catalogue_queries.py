@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from epochlens.functions import encoders as N
 from epochlens.functions import text as X
 from epochlens.functions import vectors as V
-from epochlens.functions.base import written
+from epochlens.functions.base import new_path, written
 from epochlens.operators import bins as B
 from epochlens.operators import canonical as C
 from epochlens.operators import evidence as E
@@ -21,36 +19,30 @@ from epochlens.plans import testbed as T
 from epochlens.sources import files
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    """A place for a sink in the shared folder."""
-    written(spark.range(0), "root")
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/sink-{uuid.uuid4().hex}/{name}"
-
-
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with line breaks, commas and quotes through the CSV sink and the CSV source."""
-    d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('"'), F.substring("text", 1, 200), F.lit(',"')).alias("title"), F.lit("").alias("culture"))
-    path = _new_path(spark, "corpus")
+    d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit('"'), F.col("text"), F.lit(',"')).alias("title"), F.lit("").alias("culture"))
+    path = new_path(spark, "corpus")
     files.write_corpus(d, path, ["id", "title", "culture"], "csv")
     return files.read_corpus_csv(spark, path, ("id", "title")).select("id", F.md5("title").alias("digest"), "culture")
 
 
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _new_path(spark, "objects")
+    path = new_path(spark, "objects")
     files.write_corpus(T.objects(spark, sf_dir), path, ["artwork_id", "title", "date_start"])
     return spark.read.parquet(path)
 
 
 def weights_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of two bins out of the weight sink."""
-    path = _new_path(spark, "weights")
+    path = new_path(spark, "weights")
     files.write_weights(B.bin_weights(T.objects(spark, sf_dir)), path)
     return spark.read.parquet(path).where("bin_start in (0, 10)").select("artwork_id", "bin_start", F.round("weight", 9).alias("weight"))
 
 
 def typed_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.table(spark, sf_dir, "customer").select(F.concat(F.lit("C_"), "c_custkey").alias("artwork_id"), F.when(F.col("c_custkey") % 7 == 0, "unknown").otherwise(F.col("c_custkey").cast("string")).alias("date_start"), F.when(F.col("c_nationkey") % 2 == 0, " True").otherwise("no").alias("public_domain"))
-    path = _new_path(spark, "typed")
+    path = new_path(spark, "typed")
     files.write_corpus(c, path, kind="csv")
     out = files.read_typed_corpus(files.read_corpus_csv(spark, path), ("date_start",), ("public_domain",))
     return out.withColumn("dateStart", F.coalesce("dateStart", F.lit(-1)))
@@ -60,7 +52,7 @@ def denominators_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = written(T.objects(spark, sf_dir), "objects")
     d = B.denominators(B.bin_weights(o, keep=("physical_object_id", "visual_cluster_id")), B.extent_bins(o))
     d = d.withColumnsRenamed({"object_count": "physical_object_count", "cluster_count": "visual_cluster_count"})
-    path = _new_path(spark, "denominators")
+    path = new_path(spark, "denominators")
     files.write_corpus(d, path, kind="csv")
     return files.read_denominators(spark, path).drop("bin_label").withColumn("eligible_weight", F.round("eligible_weight", 5))
 
@@ -68,7 +60,7 @@ def denominators_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embeddings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors through JSON, of which every third is spoiled, checked on reading."""
     v = T.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")).alias("embedding"))
-    path = _new_path(spark, "vectors.json")
+    path = new_path(spark, "vectors.json")
     v.write.json(path)
     read = files.read_embeddings(spark, path)
     return V.norm_violations(read, "vec_id").select("vec_id", "dim", F.round("norm", 4).alias("norm"))
@@ -76,7 +68,7 @@ def embeddings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of nations out of a snapshot file of one JSON object."""
-    path = _new_path(spark, "ids.json")
+    path = new_path(spark, "ids.json")
     n = T.table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.count("*").alias("total"), F.collect_list("n_nationkey").alias("objectIDs"))).alias("value"))
     n.write.text(path)
     return files.read_id_list(spark, path)
@@ -85,7 +77,7 @@ def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a build's manifest says of its bins, artefacts and counts."""
     o = written(T.objects(spark, sf_dir), "objects")
-    root = _new_path(spark, "build")
+    root = new_path(spark, "build")
     files.write_corpus(o, f"{root}/corpus")
     files.write_weights(B.bin_weights(o), f"{root}/weights")
     entries = files.table_entry(spark, root, "corpus", spark.read.parquet(f"{root}/corpus")).union(files.table_entry(spark, root, "weights", spark.read.parquet(f"{root}/weights")))
@@ -195,7 +187,7 @@ def artist_and_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [csv_round_trip, parquet_round_trip, weights_round_trip, typed_reread, denominators_round_trip, embeddings_round_trip, id_list, manifest_bins, checksum_mismatches, year_range, image_manifest, first_seen, canonical_corpus, evidence_cards, selection_summary, chosen_bin, series_object_clusters, prompt_expansion, encoded_terms, static_vectors, fixture_vectors, normalized_terms, artist_and_image]
 
 SQL = {
-    "csv_round_trip": """select doc_id::varchar id, md5('"' || substr(text, 1, 200) || ',"') digest, '' culture from documents""",
+    "csv_round_trip": """select doc_id::varchar id, md5('"' || text || ',"') digest, '' culture from documents""",
     "parquet_round_trip": f"with {T.OBJECTS_SQL} select artwork_id, title, date_start from objects",
     "weights_round_trip": f"with {T.OBJECTS_SQL}, {T.weights_sql('objects', 'artwork_id')} select artwork_id, bin_start, round(weight, 9) weight from weights where bin_start in (0, 10)",
     "typed_reread": """select 'C_' || c_custkey "artworkId", case when c_custkey % 7 = 0 then -1 else c_custkey end::int "dateStart", c_nationkey % 2 = 0 "publicDomain" from customer""",

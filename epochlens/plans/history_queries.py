@@ -123,8 +123,9 @@ def image_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_source_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"), F.col("c_name").alias("title"), (F.col("c_nationkey") % 2 == 0).alias("public_domain"))
-    u = T.table(spark, sf_dir, "pages").select(F.concat(F.lit("MET_"), F.col("page_id").cast("string")).alias("object_ID"), F.col("url").alias("image_url"))
-    return C.two_source_intersection(c, u)
+    name = F.when(F.col("page_id") % 2 == 0, "MET_").when(F.col("page_id") % 3 == 0, " Met_").otherwise("MET2_")
+    u = T.table(spark, sf_dir, "pages").select((F.col("page_id") * 7919 % 1009).alias("place"), F.concat(name, (F.col("page_id") % 500).cast("string")).alias("object_ID"), F.col("url").alias("image_url"))
+    return C.two_source_intersection(c, u, order=("place",))
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +239,9 @@ SQL = {
              case i % 5 when 0 then true when 1 then false end public_domain, i % 3 = 1 image_available, case when i % 5 = 0 then 'public-domain' when i % 7 = 0 then 'explicitly-permitted' else 'unreviewed' end permission_status, 'r1' source_dataset_version from j""",
     "image_permission": """with x as (select d.doc_id artwork_id, case when quality = 1 then 'public-domain' when toxic = 1 then 'explicitly-permitted' else 'unreviewed' end permission_status from documents d left join labels l using (doc_id)),
       y as (select *, case when permission_status = 'unreviewed' then 'unreviewed' when artwork_id % 10 = 0 then 'no image' end gate_reason from x) select * from y where gate_reason is not null""",
-    "two_source_intersection": "select c_custkey::varchar source_id, c_name title, true public_domain, min(url) image_url from customer join pages on page_id = c_custkey where c_nationkey % 2 = 0 and url <> '' group by 1, 2, 3",
+    "two_source_intersection": """with u as (select page_id * 7919 % 1009 place, case when page_id % 2 = 0 then 'MET_' when page_id % 3 = 0 then 'Met_' else 'MET2_' end || page_id % 500 id, (page_id % 500)::varchar source_id, trim(url) url from pages where page_id % 2 = 0 or page_id % 3 = 0),
+      f as (select id, source_id, url image_url from (select *, row_number() over (partition by id order by place, url) r from u where url <> '') where r = 1)
+      select source_id, c_name title, true public_domain, id artwork_id, image_url from customer join f on source_id = c_custkey::varchar where c_nationkey % 2 = 0""",
     "seeded_sample": "select vec_id, label::int label, sha256('seed-7' || chr(31) || vec_id) sample_rank from embeddings where label <> 3 order by 3, 1 limit 40",
     "membership_flag": "select doc_id, lang, doc_id in (select doc_id from labels) labelled from documents",
     "duplicate_ids": "select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1",

@@ -265,9 +265,10 @@ SQL = {
     "relative_density": """with c as (select event_type query_id, strftime(ts, '%H') as key, count(*) n from events group by 1, 2), g as (select * from (select distinct query_id from c), (select distinct key from c))
       select query_id, key, coalesce(n, 0) hit_count, round(coalesce(n, 0)::double / max(n) over (partition by query_id), 7) as value from g left join c using (query_id, key)""",
     "tokenize_documents": r"with t as (select doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') t from documents) select doc_id, len(t)::bigint n_tokens, len(list_distinct(t))::bigint n_distinct from t",
-    "hash_vectorize": r"""with t as (select page_id, unnest(regexp_extract_all(lower(coalesce(url, '')), '\w+')) w from pages), c as (select page_id, w, count(*) n, sha256(w) h from t group by 1, 2),
-      p as (select page_id, n, unnest([substr(h, i * 8 + 1, 8) for i in range(0, 8)]) x from c),
-      s as (select page_id, (('0x' || x)::bigint % 64)::int as index, sum(case when ('0x' || substr(x, 1, 2))::int % 2 = 1 then -n else n end) s from p group by 1, 2),
+    "hash_vectorize": r"""with u as (select page_id, lower(upper(coalesce(url, ''))) u, regexp_extract_all(lower(upper(coalesce(url, ''))), '[\p{L}\p{N}_]+') ws from pages),
+      t as (select page_id, unnest(case when len(ws) > 0 then ws else [u] end) w from u), c as (select page_id, w, count(*) n, sha256(w) h from t group by 1, 2),
+      p as (select page_id, n, h, unnest(range(0, 8)) i from c),
+      s as (select page_id, (('0x' || substr(h, i * 4 + 1, 4))::int % 64)::int as index, sum(case when ('0x' || substr(h, 33 + i * 2, 2))::int % 2 = 1 then n else -n end) s from p group by 1, 2),
       m as (select page_id, sqrt(sum(s * s)) norm from s group by 1)
       select page_id, index, round(s / norm, 6) as value from s join m using (page_id) where norm > 0 and s <> 0""",
     "split_query_terms": """with q as (select distinct '"' || p_name || ', new", ' || upper(p_type) || ', ' || lower(p_type) query, p_name || ', new' a, upper(p_type) b from part),

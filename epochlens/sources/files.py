@@ -129,22 +129,22 @@ def ordered_insert(incoming: DataFrame, existing: DataFrame, keys: list[str], or
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in incoming.columns])
     if limit is not None:
         open_rows = open_rows.orderBy(order, digest).limit(limit)
-    rows = written(ranged_ranks(open_rows.withColumn("__d", digest), [F.col(order), F.col("__d")], [], "__n"), "insert")
+    rows = written(ranged_ranks(open_rows.withColumn("__d", digest), [F.col(order), F.col("__d")], [], "__place"), "insert")
     cursor = rows.agg(F.max(order).alias("c")).first()["c"]
     values = F.array(*[F.struct(F.lit(i).alias("key"), F.col(f"`{k}`").cast("string").alias("value")) for i, k in enumerate(keys)])
     held = existing.select(F.explode(values).alias("x")).select("x.*").where("value is not null").distinct()
-    claims = rows.select("__n", F.explode(values).alias("x")).select("__n", "x.*").where("value is not null")
-    stopped = claims.join(held, ["key", "value"], "left_semi").select("__n").distinct()
-    claims = written(claims.join(stopped, "__n", "left_anti"), "claims")
-    inserted = rows.join(stopped, "__n", "left_anti").join(claims.select("__n").distinct(), "__n", "left_anti").select("__n")
+    claims = rows.select("__place", F.explode(values).alias("x")).select("__place", "x.*").where("value is not null")
+    stopped = claims.join(held, ["key", "value"], "left_semi").select("__place").distinct()
+    claims = written(claims.join(stopped, "__place", "left_anti"), "claims")
+    inserted = rows.join(stopped, "__place", "left_anti").join(claims.select("__place").distinct(), "__place", "left_anti").select("__place")
     while claims.limit(1).count():
-        first = claims.groupBy("key", "value").agg(F.min("__n").alias("first"))
+        first = claims.groupBy("key", "value").agg(F.min("__place").alias("first"))
         judged = written(claims.join(first, ["key", "value"]), "judged")
-        taken = written(judged.groupBy("__n").agg(F.bool_and(F.col("first") == F.col("__n")).alias("ok")).where("ok").select("__n"), "taken")
-        beaten = judged.join(taken.select(F.col("__n").alias("first")), "first", "left_semi").select("__n").distinct()
-        claims = written(claims.join(beaten, "__n", "left_anti"), "claims")
+        taken = written(judged.groupBy("__place").agg(F.bool_and(F.col("first") == F.col("__place")).alias("ok")).where("ok").select("__place"), "taken")
+        beaten = judged.join(taken.select(F.col("__place").alias("first")), "first", "left_semi").select("__place").distinct()
+        claims = written(claims.join(beaten, "__place", "left_anti"), "claims")
         inserted = inserted.union(taken)
-    return rows.join(inserted, "__n", "left_semi").select(incoming.columns), after if cursor is None else cursor
+    return rows.join(inserted, "__place", "left_semi").select(incoming.columns), after if cursor is None else cursor
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -33,8 +33,18 @@ def start_incremental(source: DataFrame, root: str, checkpoint: str, size: int =
     """A streaming query that appends each id once and ends when the source is read through.
 
     Which ids were seen is the query's state, beside its checkpoint, so no batch reads the corpus. With event_time, an id
-    is remembered until rows are later than late; without it, for ever.
+    is remembered until rows are later than late; without it, for ever. A folder belongs to one checkpoint.
     """
+    spark = source.sparkSession
+    try:
+        owner = spark.read.text(f"{root}/owner").first()["value"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        owner = checkpoint
+        spark.createDataFrame([(owner,)], "value string").coalesce(1).write.text(f"{root}/owner")
+    if owner != checkpoint:  # its batches have numbers of their own
+        raise ValueError(f"{root} belongs to another checkpoint, {owner}")
     seen = source.dropDuplicates([id_col]) if event_time is None else source.withWatermark(event_time, late).dropDuplicatesWithinWatermark([id_col])
     return seen.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch_id: append_batch(df, batch_id, root, size)).trigger(availableNow=True).start()
 

@@ -10,7 +10,6 @@ from epochlens.functions import encoders, text, vectors
 from epochlens.operators import bins, canonical, evidence, quality, retrieval, series
 from epochlens.functions.dates import DateRules
 from epochlens.sources import files
-from epochlens.streaming import incremental
 
 
 def test_porter_agrees_with_full_text_index():
@@ -192,19 +191,7 @@ def test_inventory_and_checksums(spark):
 def test_new_rows_and_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string")
     new = spark.createDataFrame([(1, "z"), (3, "b"), (4, "c"), (4, "d")], "k int, s string")
-    assert [tuple(r) for r in files.new_rows(new, old, ["k", "s"]).collect()] == [(4, "c")]
-
-
-def test_stream_appends_once(spark):
-    d = tempfile.mkdtemp(prefix="spark-stream-")
-    rows = spark.createDataFrame([("a", 1880, 1890), ("b", 1885, 1885)], "artwork_id string, date_start int, date_end int")
-    rows.write.parquet(f"{d}/in")
-    for run in (1, 2):
-        source = spark.readStream.schema(rows.schema).parquet(f"{d}/in")
-        incremental.start_incremental(source, f"{d}/corpus", f"{d}/weights", f"{d}/check{run}").awaitTermination()
-    assert spark.read.parquet(f"{d}/corpus").count() == 2
-    got = {r["bin_start"]: r["eligible_weight"] for r in incremental.current_denominators(spark, f"{d}/weights").collect()}
-    assert got[1880] == pytest.approx(10 / 11 + 1) and got[1890] == pytest.approx(1 / 11)
+    assert [tuple(r) for r in files.ordered_insert(new, old, ["k", "s"], "k")[0].collect()] == [(4, "c")]
 
 
 def test_encoder_hooks(spark):
