@@ -14,6 +14,8 @@ from epochlens.llm.common import components, cut, if_small, whole_groups, width
 
 #: Vectors that the rotation is learned from, chosen by a hash of the id; every vector is indexed.
 SAMPLE, ITERATIONS = 4000, 30
+#: Bits of a code at least: those of shorter vectors have signs along further axes, through the origin and drawn at random.
+LEAST_CODE = 64
 #: Tables that codes are looked up in. At cosine 0.93 a bit differs with probability 0.12, so two codes share all 8 bits
 #: of a table with 0.36 and one of 16 tables with 0.999.
 TABLES = 16
@@ -56,6 +58,18 @@ def learn_rotation(x: np.ndarray, iterations: int = ITERATIONS, seed: int = 5) -
     return mean, axes @ r
 
 
+def code_bits(dim: int) -> int:
+    return max(dim, LEAST_CODE)
+
+
+def coded_rows(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Packed codes of unit vectors: signs along the rotated axes, and for short vectors along further ones. Two vectors at
+    an angle differ in a further bit with the angle's share of a half turn, whatever the dimension."""
+    dim = x.shape[1]
+    further = np.random.default_rng(7).normal(size=(dim, code_bits(dim) - dim))
+    return np.packbits(np.c_[(x - mean) @ projection >= 0, x @ further >= 0], axis=1)
+
+
 def table_bits(dim: int, bits: int, tables: int = TABLES, seed: int = 6) -> np.ndarray:
     """Which code bits each table takes, table by table: shuffles of all bits, one after another, cut into pieces."""
     rng = np.random.default_rng(seed)
@@ -94,7 +108,7 @@ def _codes(rotations: dict[int, tuple[np.ndarray, np.ndarray]]):
                 rows = [i for i, d in enumerate(size) if d == dim]
                 x, ok = unit_rows([vectors[i] for i in rows])
                 mean, projection = known[dim]
-                packed = np.packbits((x - mean) @ projection >= 0, axis=1)
+                packed = coded_rows(x, mean, projection)
                 for i, v, c, fine in zip(rows, x, packed, ok, strict=True):
                     if fine:
                         unit[i], code[i] = v.tobytes(), c.tobytes()
@@ -111,11 +125,11 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, bits = dim.to_numpy(), bits.to_numpy()
         for d, b in {*zip(dim.tolist(), bits.tolist(), strict=True)}:
             rows = np.flatnonzero((dim == d) & (bits == b))
-            keys = table_keys(unpacked(code.take(pa.array(rows)), d), b)
+            keys = table_keys(unpacked(code.take(pa.array(rows)), code_bits(d)), b)
             at, place = (x.ravel() for x in np.indices(keys.shape))
             key, probe = keys.ravel(), np.zeros(keys.size, bool)
             if b > EXACT_BITS:
-                one = (key[:, None] >> np.arange(min(b, d))) & 1
+                one = (key[:, None] >> np.arange(min(b, code_bits(d)))) & 1
                 i, bit = np.nonzero(one)
                 at, place, key, probe = np.r_[at, at[i]], np.r_[place, place[i]], np.r_[key, key[i] - (1 << bit)], np.r_[probe, np.ones(len(i), bool)]
             take = pa.array(rows[at])
@@ -136,14 +150,15 @@ def _meeting(t: pa.Table) -> np.ndarray:
     in which the two meet. Their codes tell all that, and must not be too far apart."""
     probe, side = t.column("probe").to_numpy(), t.column("side").to_numpy()
     dim, bits, place = (int(t.column(c)[0].as_py()) for c in ("dim", "bits", "place"))
-    code = unpacked(t.column("code"), dim)
+    length = code_bits(dim)
+    code = unpacked(t.column("code"), length)
     ok = ~(probe[:, None] & probe[None, :])
     np.fill_diagonal(ok, False)
     if t.column("tile")[0].as_py() < 0:
         ok &= side[:, None] != side[None, :]
     plain = code.astype(np.float32)
     ones = plain.sum(1)
-    ok &= ones[:, None] + ones[None, :] - 2 * (plain @ plain.T) <= max(MOST_APART * dim, 2)
+    ok &= ones[:, None] + ones[None, :] - 2 * (plain @ plain.T) <= MOST_APART * length
     if place and ok.any():
         keys = table_keys(code, bits)
         reach = 1 if bits > EXACT_BITS else 0

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from epochlens.llm.common import crc_bucket, cut, unused
 from epochlens.llm.neardup import M1, Words, mixed, shingles
 
-#: A term is a word cut off after four characters, a stem that needs no knowledge of the language.
-STEM = re.compile(r"(\w{1,4})\w*")
+#: A word's terms are its pieces of four characters, from its start on to its end, those after the first marked as such: the
+#: first is much like a stem, in any language, and a run of a script without spaces is read to its end as well.
+PIECES = re.compile(r"(?<!\w)(\w{1,4})|(\w{1,4})")
 #: Labelled rows that are learned from: at most so many of each label, chosen by a hash of the id. Twice as many
 #: are drawn, of which near copies count once.
 EXAMPLES = 1500
 #: Near copies are told by equal bands of so many MinHashes: of pairs at Jaccard 0.8, 0.88 share one, at 0.3, 0.03.
 COPY_BANDS, COPY_ROWS = 4, 4
-#: Texts and examples are compared by passages of at most so many words, so that length doesn't hide a passage.
-PASSAGE = 400
+#: Texts and examples are compared by passages of at most so many terms, so that length doesn't hide a passage.
+PASSAGE = 600
 #: The vocabulary are all terms of at least so many examples; a term of one example can't bring two texts together.
 LEAST_DF = 2
 #: A term of more than this share of the documents is a stop term, unless its shares among the examples of either
@@ -40,11 +41,11 @@ Sparse = tuple[np.ndarray, np.ndarray]
 
 
 def terms_of(text: str | None) -> list[str]:
-    return STEM.findall(text.lower()) if text else []
+    return [first or "+" + later for first, later in PIECES.findall(text.lower())] if text else []
 
 
 def passages(terms: list[str]) -> list[Counter]:
-    """Term counts of passages of at most PASSAGE words and equal length."""
+    """Counts of passages of at most PASSAGE terms and equal length."""
     n = -(-len(terms) // PASSAGE)
     size = -(-len(terms) // max(n, 1))
     return [Counter(terms[i * size : (i + 1) * size]) for i in range(n)]

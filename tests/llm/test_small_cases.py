@@ -497,6 +497,18 @@ def test_embedding_links_of_the_given_table(spark, monkeypatch, tile, a_bucket):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("dim", [2, 4, 8, 16])
+def test_embedding_links_of_short_vectors(spark, dim):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(60, dim))
+    x = np.r_[base, base[rng.integers(0, 60, 240)] + rng.normal(size=(240, dim)) * 0.25]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.93
+    got = {r["id"]: r["n_links"] for r in itq.embedding_links(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    want = near.sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum() > 100
+
+
 def test_embedding_links_of_any_labels_lengths_and_ids(spark):
     a, b = [1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 0.0]
     rows = [("p", a, 1.2), ("q", [2 * x for x in a], 1.2), ("r", a, 1.7), ("s", b, 1.2), ("t", b, 1.2), ("u", [], 1.2), ("v", [], 1.2), ("w", a, 0.0), ("x", a, -0.0), ("y", [1e200] * 3, 1.2), ("z", [2e200] * 3, 1.2)]

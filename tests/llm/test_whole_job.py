@@ -5,7 +5,7 @@ import re
 import zlib
 
 from epochlens.llm import queries as Q
-from epochlens.llm import pii, suffixtree, urls
+from epochlens.llm import pii, suffixtree, toxicity, urls
 
 
 def test_op7_has_a_vector_for_nearly_all_toxic_texts(spark):
@@ -44,3 +44,10 @@ def test_op6_keeps_contexts_of_a_fifteen_thousandth(spark):
 def test_op10_hint_holds_for_the_shortest_numbers():
     for x in ("+12345", "+123456", "+1 2345", "+123-45", "(12)345678", "123 456 7890", "123-45-6789", "1.1.1.1", "1234123412341", "340000000000000"):
         assert any(re.search(p, x) for p in (pii.PHONE, pii.SSN, pii.IP, pii.CARD)) and re.search(pii.HINT, x), x
+
+
+def test_op7_reads_words_to_their_end():
+    assert toxicity.terms_of("Assassin assess, ab") == ["assa", "+ssin", "asse", "+ss", "ab"]
+    run = "".join(chr(0x4E00 + i) for i in range(19))
+    assert "".join(t.lstrip("+") for t in toxicity.terms_of(run)) == run
+    assert len({tuple(toxicity.terms_of(w)) for w in ("class", "classified", "asset", "assess")}) == 4
