@@ -33,6 +33,12 @@ def tables_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A place for a table, beside which nothing else is."""
     return f"{tables_root(spark)}/{uuid.uuid4().hex}/{name}"

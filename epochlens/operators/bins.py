@@ -13,11 +13,17 @@ def years_between(start: Column, end: Column) -> Column:
     return end - start + 1 - ((start <= 0) & (end >= 0)).cast("int")
 
 
-def bin_weights(objects: DataFrame, size: int = 10, id_col: str = "artwork_id", start: str = "date_start", end: str = "date_end", keep: tuple[str, ...] = ()) -> DataFrame:
+def centred_share(t: Column) -> Column:
+    """The part of a triangle over 0 to 1, highest in the middle, that lies up to t."""
+    return F.when(t <= 0.5, 2 * t * t).otherwise(1 - 2 * (1 - t) * (1 - t))
+
+
+def bin_weights(objects: DataFrame, size: int = 10, id_col: str = "artwork_id", start: str = "date_start", end: str = "date_end", keep: tuple[str, ...] = (), centred: bool = False) -> DataFrame:
     """(id, *keep, bin_start, bin_end, weight): the share of each dated object's years in each bin it overlaps.
 
     The bins of an interval are generated from its ends, so no range join is needed; weights of an object sum
-    to 1. Clip very wide intervals first: one row a bin is made.
+    to 1. Clip very wide intervals first: one row a bin is made. centred: years near the middle of an interval weigh
+    more, by a triangle that is 0 at both ends; a bin's weight is the triangle's part over its years, in closed form.
     """
     d = objects.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
     first, last = bin_start(F.col(start), size), bin_start(F.col(end), size)
@@ -27,7 +33,12 @@ def bin_weights(objects: DataFrame, size: int = 10, id_col: str = "artwork_id",
     d = d.withColumn("bin_end", bin_end(F.col("bin_start"), size))
     over = years_between(F.greatest("__s", "bin_start"), F.least("__e", "bin_end"))
     d = d.withColumn("__n", over).where("__n > 0")
-    return d.select(id_col, *keep, "bin_start", "bin_end", (F.col("__n") / years_between(F.col("__s"), F.col("__e"))).alias("weight"))
+    whole = years_between(F.col("__s"), F.col("__e"))
+    weight = F.col("__n") / whole
+    if centred:
+        before = years_between(F.col("__s"), F.greatest("__s", F.when(F.col("bin_start") == 0, 1).otherwise(F.col("bin_start")))) - 1
+        weight = centred_share((before + F.col("__n")) / whole) - centred_share(before / whole)
+    return d.select(id_col, *keep, "bin_start", "bin_end", weight.alias("weight"))
 
 
 def bin_number(year: str, size: int = 10) -> Column:

@@ -76,7 +76,9 @@ def tiered_pool(contributors: DataFrame, n: int = 25, public: str = "public_doma
     """A stable sample of the best tier a (query_id, bin_key) has: public with image, public, any."""
     tier = F.when(F.col(public) & F.col(image), 0).when(F.col(public), 1).otherwise(2)
     of = W.partitionBy("query_id", "bin_key")
-    d = contributors.withColumn("tier", tier).withColumn("__best", F.min("tier").over(of)).where("tier = __best")
+    d = contributors.withColumn("tier", tier)
+    best = d.groupBy("query_id", "bin_key").agg(F.min("tier").alias("__best"))
+    d = d.join(best, ["query_id", "bin_key"]).where("tier = __best")
     order = stable_order(F.concat_ws(":", F.lit("evidence"), F.col("query_id").cast("string"), "bin_key"), F.col("id"))
     return d.withColumn("rank", F.row_number().over(of.orderBy(order, "id"))).where(F.col("rank") <= n).drop("__best")
 

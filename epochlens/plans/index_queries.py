@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from epochlens.functions import text as X
 from epochlens.functions.base import new_path, written
 from epochlens.operators import bins as B
+from epochlens.operators import judging as J
 from epochlens.operators import quality as Q
+from epochlens.operators import retrieval as R
 from epochlens.operators import sketches as K
 from epochlens.operators import sweep as SW
 from epochlens.operators.store import SeriesStore
@@ -26,7 +28,7 @@ def _phrases(docs: DataFrame) -> DataFrame:
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often phrases of documents stand in all documents, by an index that took the documents in five parts."""
     d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = TextIndex(spark, new_path(spark, "index"))
+    index = TextIndex(spark, new_path(spark, "index"), buckets=8)
     for part in range(5):
         index.append(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == part), "doc_id", ["text"])
     return index.phrases(_phrases(d)).select("query_id", F.col("id").alias("doc_id"), "n_hits")
@@ -52,7 +54,7 @@ def ordered_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, cursor = files.ordered_insert(e, e.limit(0), keys, "event_id", limit=half)
     first = written(first, "inserted")
     rest, _ = files.ordered_insert(e, first, keys, "event_id", after=cursor)
-    return first.union(rest)
+    return first.union(rest).withColumn("shelf", F.coalesce("shelf", F.lit(-1)))
 
 
 def bundle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +93,45 @@ def stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fetch(asked, compute(2)).select("event_type", "user_group", "n", "computed")
 
 
-QUERIES = [phrase_hits, sketched_denominators, ordered_insert, bundle_report, denominator_violations, npy_round_trip, stored_series]
+def centred_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = T.date_strings(spark, sf_dir).select("doc_id", (F.col("y") - 900).alias("a"), (F.col("y") - 900 + F.col("doc_id") % 83).alias("b"))
+    year = lambda c: F.when(F.col(c) >= 0, F.col(c) + 1).otherwise(F.col(c)).cast("int")
+    o = o.select("doc_id", year("a").alias("date_start"), year("b").alias("date_end"))
+    return B.bin_weights(o, id_col="doc_id", centred=True).select("doc_id", "bin_start", F.round("weight", 9).alias("weight"))
+
+
+def graded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and discounted gain of each query's hits, with the labels of the same ids as judgments."""
+    v = T.vectors(spark, sf_dir)
+    hits = R.exact_topk(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 0.05)
+    judged = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") + 2 * (F.lit(1) - F.col("toxic"))).alias("gain"))
+    d = J.graded(hits, judged, k=10, relevant=3)
+    return d.select("query_id", "judged", F.round("precision", 6).alias("precision"), F.round("dcg", 6).alias("dcg"), F.round("ndcg", 6).alias("ndcg"))
+
+
+def topk_without_each_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = T.vectors(spark, sf_dir)
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return J.topk_without_each(queries, v, "label", 5).withColumn("score", F.round("score", 6))
+
+
+QUERIES = [centred_weights, graded_hits, topk_without_each_label, phrase_hits, sketched_denominators, ordered_insert, bundle_report, denominator_violations, npy_round_trip, stored_series]
 
 SQL = {
+    "centred_weights": """with t as (select doc_id, (100 + doc_id % 1900)::int - 900 a, (100 + doc_id % 1900)::int - 900 + doc_id % 83 b from documents),
+      y as (select doc_id, a, b, unnest(range(a, b + 1)) t from t),
+      p as (select doc_id, (floor((case when t >= 0 then t + 1 else t end) / 10.0) * 10)::int bin_start, (t - a)::double / (b - a + 1) lo, (t - a + 1)::double / (b - a + 1) hi from y),
+      c as (select doc_id, bin_start, case when hi <= 0.5 then 2 * hi * hi else 1 - 2 * (1 - hi) * (1 - hi) end - case when lo <= 0.5 then 2 * lo * lo else 1 - 2 * (1 - lo) * (1 - lo) end w from p)
+      select doc_id, bin_start, round(sum(w), 9) weight from c group by all""",
+    "graded_hits": f"""with {T.VECTORS_SQL}, s as (select q.vec_id query_id, c.vec_id id, list_dot_product(q.embedding, c.embedding) score from vectors q, vectors c where q.vec_id % 50 = 0),
+      h as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 10),
+      j as (select doc_id id, max(quality + 2 * (1 - toxic))::double gain from labels where quality is not null and toxic is not null group by 1),
+      i as (select sum((2 ** gain - 1) / log2(r + 1)) ideal from (select gain, row_number() over (order by gain desc, id) r from j) where r <= 10),
+      g as (select h.*, coalesce(gain, 0) gain from h left join j using (id))
+      select query_id, count(*) filter (gain > 0) judged, round(count(*) filter (gain >= 3) / 10.0, 6)::double as precision, round(sum((2 ** gain - 1) / log2(rank + 1)), 6) dcg, round(sum((2 ** gain - 1) / log2(rank + 1)) / (select ideal from i), 6) ndcg from g group by 1""",
+    "topk_without_each_label": f"""with {T.VECTORS_SQL}, s as (select q.vec_id query_id, c.vec_id id, c.label, list_dot_product(q.embedding, c.embedding) score from vectors q, vectors c where q.vec_id % 50 = 0),
+      r as (select query_id, g.label left_out, id, score, row_number() over (partition by query_id, g.label order by score desc, id) rank from s, (select distinct label from vectors where label is not null) g where s.label is distinct from g.label)
+      select query_id, left_out, id, round(score, 6) score, rank::int rank from r where rank <= 5""",
     "phrase_hits": r"""with t as (select doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') t from documents),
       q as (select doc_id query_id, t[3] a, t[4] b, t[5] c from t where doc_id % 50 = 0 and len(t) >= 5),
       s as (select query_id, doc_id, len(list_filter(range(1, len(t) - 1), lambda i: t[i] = a and t[i + 1] = b and t[i + 2] = c)) n from q, t
@@ -105,7 +143,7 @@ SQL = {
       s as (select 0::bigint n, []::bigint[] got, []::bigint[] users, []::varchar[] slots, []::bigint[] shelves union all
             select n, case when ok then list_append(got, event_id) else got end, case when ok then list_append(users, user_id) else users end, case when ok then list_append(slots, slot) else slots end, case when ok and shelf is not null then list_append(shelves, shelf) else shelves end
             from (select e.*, got, users, slots, shelves, not (list_contains(users, user_id) or list_contains(slots, slot) or coalesce(list_contains(shelves, shelf), false)) ok from s join e on e.n = s.n + 1))
-      select event_id, user_id, slot, shelf from e where event_id in (select unnest(got) from s where n = (select max(n) from e))""",
+      select event_id, user_id, slot, coalesce(shelf, -1) shelf from e where event_id in (select unnest(got) from s where n = (select max(n) from e))""",
     "bundle_report": """with y as (select doc_id, (100 + doc_id % 1900)::int y from documents),
       o as (select case when doc_id % 7 > 0 then y end s, y + case when doc_id % 11 = 0 then -3 else doc_id % 90 end e from y),
       w as (select unnest(range((floor(s / 10.0) * 10)::int, (floor(e / 10.0) * 10)::int + 1, 10)) from o where s <= e)

@@ -63,7 +63,7 @@ def peak_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = written(T.objects(spark, sf_dir), "objects")
+    o = written(T.objects(spark, sf_dir).select("physical_object_id", "visual_cluster_id", "date_start", "date_end"), "objects")
     d = SW.interval_denominators(o, B.extent_bins(o))
     return S.trimmed_timeline(d, 2000.0).select("bin_index", "bin_key", F.round("eligible_weight", 5).alias("eligible_weight"))
 
@@ -187,11 +187,11 @@ def evidence_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that match a term and have weight in the bin from 0 on."""
-    _, matches, o = _keyword(spark, sf_dir)
-    w = B.bin_weights(o).where("bin_start = 0").select(F.col("artwork_id").alias("id"), F.concat_ws(":", "bin_start", "bin_end").alias("bin_key"))
-    rows = o.select(F.col("artwork_id").alias("id"), "public_domain", (F.col("tags") == "ECONOMY").alias("image_available"), F.regexp_extract("artwork_id", "^L_([0-9]+)_", 1).cast("bigint").alias("number"))
-    return matches.join(w, "id").join(rows, "id")
+    """Rows that match a term and have weight in the term's peak bin."""
+    points, matches, o = _keyword(spark, sf_dir)
+    peaks = S.peak_bins(points).select("query_id", "bin_key", "bin_start")
+    rows = o.select(F.col("artwork_id").alias("id"), "public_domain", (F.col("tags") == "ECONOMY").alias("image_available"), F.regexp_extract("artwork_id", "^L_([0-9]+)_", 1).cast("bigint").alias("number"), "date_start", "date_end")
+    return matches.join(peaks, "query_id").join(rows, "id").where(B.weight_in(F.col("bin_start")) > 0).drop("bin_start", "date_start", "date_end")
 
 
 def evidence_tiered_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +245,8 @@ _EVIDENCE = f"""{_LIFT}, pk as (select query_id, bin_key, bin_start from (select
         union all select query_id, bin_key, id, score, weight, contributor, 'random_contributors', row_number() over (partition by query_id order by sha256('contributor:' || query_id || ':' || bin_key || ':' || id), id), 4 from period where contributor
         union all select query_id, bin_key, id, score, weight, contributor, 'best_non_contributors', row_number() over (partition by query_id order by score desc, id), 5 from period where not contributor
         union all select query_id, bin_key, id, score, weight, contributor, 'random_denominator', row_number() over (partition by query_id order by sha256('denominator:' || query_id || ':' || bin_key || ':' || id), id), 6 from period)"""
-_CONTRIBUTORS = f"""{_keyword_sql('title tags')}, con as (select query_id, artwork_id id, '0:9' bin_key, public_domain, tags = 'ECONOMY' image_available, regexp_extract(artwork_id, '^L_([0-9]+)_', 1)::bigint number
-      from m join weights using (artwork_id) where bin_start = 0)"""
+_CONTRIBUTORS = f"""{_keyword_sql('title tags')}, pk as (select query_id, bin_key, bin_start peak from (select *, row_number() over (partition by query_id order by denominator >= 20 desc, value desc, bin_index) r from points) where r = 1),
+      con as (select query_id, artwork_id id, bin_key, public_domain, tags = 'ECONOMY' image_available, regexp_extract(artwork_id, '^L_([0-9]+)_', 1)::bigint number from m join pk using (query_id) join weights using (artwork_id) where bin_start = peak)"""
 
 SQL = {
     "keyword_frequency": f"with {_keyword_sql('title tags')} {_POINTS}",

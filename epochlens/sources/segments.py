@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import exists
+
 
 class Segments:
     """Named tables below root/segments, of which the last version in root/registry says which count.
@@ -22,12 +23,8 @@ class Segments:
 
     def live(self) -> tuple[int, list[dict]]:
         """The last version and its segments, each with its name and whatever else was registered."""
-        try:
-            last = self.spark.read.text(f"{self.root}/registry").orderBy(F.desc("version")).first()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
+        path = f"{self.root}/registry"
+        last = self.spark.read.text(path).orderBy(F.desc("version")).first() if exists(self.spark, path) else None
         return (last["version"], json.loads(last["value"])) if last else (0, [])
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from epochlens.functions.base import exists
 from epochlens.operators.sketches import bin_sketches, estimates, united
 from epochlens.operators.sweep import interval_sums
 
@@ -36,13 +36,9 @@ def start_incremental(source: DataFrame, root: str, checkpoint: str, size: int =
     is remembered until rows are later than late; without it, for ever. A folder belongs to one checkpoint.
     """
     spark = source.sparkSession
-    try:
-        owner = spark.read.text(f"{root}/owner").first()["value"]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        owner = checkpoint
-        spark.createDataFrame([(owner,)], "value string").coalesce(1).write.text(f"{root}/owner")
+    if not exists(spark, f"{root}/owner"):
+        spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.text(f"{root}/owner")
+    owner = spark.read.text(f"{root}/owner").first()["value"]
     if owner != checkpoint:  # its batches have numbers of their own
         raise ValueError(f"{root} belongs to another checkpoint, {owner}")
     seen = source.dropDuplicates([id_col]) if event_time is None else source.withWatermark(event_time, late).dropDuplicatesWithinWatermark([id_col])
@@ -51,11 +47,10 @@ def start_incremental(source: DataFrame, root: str, checkpoint: str, size: int =
 
 def _committed(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     """The tables of the batches that the ledger names; None before the first."""
-    try:
-        named = [r["batch"] for r in spark.read.parquet(f"{root}/ledger").select("batch").distinct().collect()]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    if not exists(spark, f"{root}/ledger"):
+        return None
+    named = [r["batch"] for r in spark.read.schema("batch_id long, batch long").parquet(f"{root}/ledger").select("batch").distinct().collect()]
+    if not named:
         return None
     return spark.read.option("basePath", f"{root}/{kind}").parquet(*[f"{root}/{kind}/batch={b}" for b in sorted(named)]).drop("batch")
 

@@ -67,3 +67,18 @@ def test_a_bin_between_objects_is_empty(spark):
     got = {r["bin_start"]: r["weight"] for r in sweep.interval_sums(o).collect()}
     assert set(got) == {-500, 10, *range(700, 780, 10)} and sum(got.values()) == pytest.approx(3)
     assert sweep.interval_sums(o.limit(0)).count() == 0 and sweep.interval_distinct(o.limit(0), F.col("date_start")).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 10])
+def test_centred_weights_equal_enumeration(spark, size):
+    spans = [(i, s, e) for i, (s, e) in enumerate([(-25, 37), (1, 1), (-1, -1), (-1, 1), (7, 33), (-100, -91), (3, 4)])]
+    got = {(r[0], r[1]): r[2] for r in bins.bin_weights(spark.createDataFrame(spans, "artwork_id int, date_start int, date_end int"), size, centred=True).select("artwork_id", "bin_start", "weight").collect()}
+    part = lambda t: 2 * t * t if t <= 0.5 else 1 - 2 * (1 - t) ** 2
+    want = {}
+    for i, s, e in spans:
+        years = [y for y in range(s, e + 1) if y]
+        for n, y in enumerate(years):
+            k = (i, y // size * size)
+            want[k] = want.get(k, 0) + part((n + 1) / len(years)) - part(n / len(years))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(sum(w for (i, _), w in got.items() if i == k) == pytest.approx(1) for k, *_ in spans)
