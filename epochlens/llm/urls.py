@@ -10,9 +10,10 @@ from pyspark.sql.window import WindowSpec
 from epochlens.llm.common import cut
 
 #: A child has evidence of its own with as many pages as the root of its node's, or as many labels as the root of the
-#: node's, and FEW at least. Where FEW children or more have none, the node is variable there: they are a wildcard.
+#: node's, and FEW at least; or, however few its pages are beside theirs, with FEW labels whose share is APART_Z standard
+#: errors from that of its siblings. Where FEW children or more have none, the node is variable there: they are a wildcard.
 #: A node of fewer than FEW pages is not divided.
-FEW = 5
+FEW, APART_Z = 5, 3.0
 #: A branch whose label share or leaf share is so many standard errors from that of the others stands apart.
 ALIKE_Z = 1.64
 #: Weight of the host's share in a template's, and of the overall share in the host's.
@@ -70,8 +71,9 @@ def branch_names(children: DataFrame) -> DataFrame:
     """
     node = ["host", "template"]
     of = W.partitionBy(*node)
-    own = (F.col("n") >= F.greatest(F.sqrt("all"), F.lit(FEW))) | (F.col("labelled") >= F.greatest(F.sqrt("all_labelled"), F.lit(FEW)))
-    total = children.groupBy(*node).agg(F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"))
+    apart = F.abs(z_score(F.col("bad"), F.col("labelled"), F.col("all_bad") - F.col("bad"), F.col("all_labelled") - F.col("labelled"))) >= APART_Z
+    own = (F.col("n") >= F.greatest(F.sqrt("all"), F.lit(FEW))) | (F.col("labelled") >= F.greatest(F.sqrt("all_labelled"), F.lit(FEW))) | (F.col("labelled") >= FEW) & apart
+    total = children.groupBy(*node).agg(F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     c = cut(children.join(total, node).withColumn("own", own), "url-children")
     sparse = c.groupBy(*node).agg(F.count_if(~F.col("own")).alias("sparse"))
     c = c.join(sparse, node)
@@ -122,17 +124,17 @@ def templates(paths: DataFrame) -> DataFrame:
     return rows.select("host", "typed", "template", "n", "bad", "labelled")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], reject_z: float = 3.0, reject_lift: float = 2.0, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], reject_z: float = 3.0, reject_lift: float = 2.0, reject_share: float = 0.5, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(id, host, path, rule, verdict, template, bad_share) of every row of pages.
 
     Rules come first; the longest that fits wins. Elsewhere the url's template decides: its share of labelled
     pages with label 0, smoothed towards its host's share and that towards the overall share, blocks where it is
-    reject_z standard errors above the overall share and reject_lift times as high. A page's label is the one of
+    reject_share at least, reject_z standard errors above the overall share and reject_lift times as high. A page's label is the one of
     the same id; ids with several labels count by their mean.
 
     Counts are taken a (host, typed path), so a host with a third of all pages is summed before any shuffle.
-    Null urls and ones without "://" have an empty host and path and share a template. Rows that repeat an id
-    are judged each; without labels nothing is blocked by a template. An empty table gives an empty result.
+    Null urls and ones without "://" have an empty host and path and share a template. Very long urls are judged whole; columns
+    of pages beside id and url, whatever their names, take no part. Rows that repeat an id are judged each; without labels nothing is blocked by a template. An empty table gives an empty result.
     """
     host, path = url_parts(pages[url_col].cast("string"))
     p = pages.select(pages[id_col].alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("typed", typed_path(F.col("path")))
@@ -147,6 +149,6 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     by_path = cut(tree.select("host", "typed", "template").join(judged, ["host", "template"]), "url-verdicts")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     spread = F.sqrt(F.lit(overall * (1 - overall)) / (F.col("labelled") + PRIOR_WEIGHT))
-    impure = (F.col("bad_share") >= overall * reject_lift) & (F.col("bad_share") - overall >= spread * reject_z) & F.lit(overall > 0)
+    impure = (F.col("bad_share") >= max(overall * reject_lift, reject_share)) & (F.col("bad_share") - overall >= spread * reject_z) & F.lit(overall > 0)
     out = p.join(by_path, ["host", "typed"]).withColumn("r", rule)
     return out.select("id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(impure, "block").otherwise("allow")).alias("verdict"), "template", "bad_share")

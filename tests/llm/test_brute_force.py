@@ -66,7 +66,9 @@ def sides(some, c):
 def child_names(c):
     """Branch names of one node's children {segment: (n, bad, labelled, ends)}."""
     n, y = sum(x[0] for x in c.values()), sum(x[2] for x in c.values())
-    own = {s for s, x in c.items() if x[0] >= max(n**0.5, urls.FEW) or x[2] >= max(y**0.5, urls.FEW)}
+    bad = sum(x[1] for x in c.values())
+    apart = lambda x: x[2] >= urls.FEW and abs(z(x[1], x[2], bad - x[1], y - x[2])) >= urls.APART_Z
+    own = {s for s, x in c.items() if x[0] >= max(n**0.5, urls.FEW) or x[2] >= max(y**0.5, urls.FEW) or apart(x)}
     if len(c) - len(own) >= urls.FEW:
         return {s: s if s in own else "*" for s in c}
     groups, out = defaultdict(list), {}
@@ -137,7 +139,7 @@ def test_op1_equals_a_plain_tree(spark):
         share = (by_host[host][0] + 5 * overall) / (by_host[host][1] + 5)
         share = (by_template[host, tree[host, typed]][0] + 5 * share) / (by_template[host, tree[host, typed]][1] + 5)
         assert (r["host"], r["path"], r["rule"], r["template"]) == (host, path, rule and rule[0], tree[host, typed])
-        impure = share >= 2 * overall and share - overall >= 3 * math.sqrt(overall * (1 - overall) / (by_template[host, tree[host, typed]][1] + 5))
+        impure = share >= max(2 * overall, 0.5) and share - overall >= 3 * math.sqrt(overall * (1 - overall) / (by_template[host, tree[host, typed]][1] + 5))
         assert r["bad_share"] == pytest.approx(share) and r["verdict"] == (rule[1] if rule else "block" if impure else "allow")
 
 

@@ -345,7 +345,7 @@ def test_toxicity_equals_brute_force_under_any_partitioning(spark):
     names = sorted(model.terms, key=model.terms.get)
     for i, text in texts.items():
         best = -1
-        words = [w[:4] for w in re.findall(r"\w+", (text or "").lower())]
+        words = [x for w in re.findall(r"\w+", (text or "").lower()) for x in [w[:4], *("+" + w[at : at + 4] for at in range(4, len(w), 4))]]
         n = -(-len(words) // toxicity.PASSAGE)
         size = -(-len(words) // max(n, 1))
         for k in range(n):

@@ -51,3 +51,17 @@ def test_op7_reads_words_to_their_end():
     run = "".join(chr(0x4E00 + i) for i in range(19))
     assert "".join(t.lstrip("+") for t in toxicity.terms_of(run)) == run
     assert len({tuple(toxicity.terms_of(w)) for w in ("class", "classified", "asset", "assess")}) == 4
+
+
+def test_op1_blocks_a_small_bad_section_and_no_good_one(spark):
+    pages, labels = [], []
+    put = lambda section, n, bad: [(pages.append((len(pages), f"https://h.org/{section}/{len(pages)}")), labels.append((len(labels), int(not bad and True), 0)) if labelled else labels.append((len(labels), None, 0))) for labelled in [k < n // 4 or bad and k < 20 for k in range(n)]]
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    for i in range(60):
+        put(f"good-{name(i)}", 400, False)
+    for i in range(40):
+        put(f"small-{name(i)}", 50, False)
+    first = len(pages)
+    put("casino", 90, True)
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).where("verdict = 'block'").collect()
+    assert {r["id"] for r in got} == set(range(first, first + 90)) and {r["template"] for r in got} == {"/casino/<n>"}
