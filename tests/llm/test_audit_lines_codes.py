@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from epochlens.llm import filteraudit as A
 from epochlens.llm import linededup, productcodes
