@@ -108,12 +108,12 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Passages of examples, their index, and the calibration from votes to probabilities."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, list[Counter], int]], weights: tuple[float, float]):
-        """examples: id, term counts of its passages, label."""
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, str | None, int]], weights: tuple[float, float]):
+        """examples: id, text, label."""
         self.terms = {t: i for i, t in enumerate(vocabulary)}
         self.idf = idf
         self.kept: dict[int, tuple[float, list]] = {}
-        vectors = [self.vectors(parts) for _, parts, _ in examples]
+        vectors = [self.vectors(passages(terms_of(text))) for _, text, _ in examples]
         rows = [(v, e) for e, vs in enumerate(vectors) for v in vs]
         often = np.bincount(np.concatenate([np.zeros(0, np.int64), *[v[0] for v, _ in rows]]), minlength=len(vocabulary))
         # alike texts meet in a block: by the commonest of their terms, which tells languages apart, then by length
@@ -243,13 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1),
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     sample = examples_of(rows, known, examples)
-    own = [(r["id"], passages(terms_of(r["text"])), r["toxic"]) for r in sorted(sample.collect(), key=lambda r: (r["rank"], str(r["id"]), r["toxic"]))]
+    own = [(r["id"], r["text"], r["toxic"]) for r in sorted(sample.collect(), key=lambda r: (r["rank"], str(r["id"]), r["toxic"]))]
     pos = sum(y for _, _, y in own)
     neg = len(own) - pos
     if not pos or not neg:
         return ToxicityModel([], np.zeros(0), [], (1.0, 1.0))
-    held = ([set().union(*parts) for _, parts, y in own if y == 0], [set().union(*parts) for _, parts, y in own if y == 1])
-    counts = [Counter(t for found in some for t in found) for some in held]
+    counts = (Counter(), Counter())
+    for _, text, y in own:  # texts take less of the driver's memory than their terms
+        counts[y].update(set(terms_of(text)))
     vocabulary = sorted(t for t, c in (counts[0] + counts[1]).items() if c >= LEAST_DF)
     seen = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = seen.get(-1, 0)
