@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +20,32 @@ BUCKETS = 64
 SALTS = 8
 #: So many segments of one tier are merged into one of the next.
 FAN = 4
+#: Texts whose postings are made at once.
+TEXTS = 1000
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, row, field, word, positions) from (id, row, field, toks): a row a word of each text."""
+    for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+        lists = batch.column("toks")
+        words = pc.dictionary_encode(lists.flatten())
+        if not len(words):
+            continue
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(batch.num_rows), size)
+        pos = np.arange(len(words)) - np.repeat(size.cumsum() - size, size)
+        key = text * len(words.dictionary) + words.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        own = batch.select(["id", "row", "field"]).take(pa.array(text[order[first]]))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(words)), pa.int32()), pa.array(pos[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([*own.columns, words.dictionary.take(words.indices.take(pa.array(order[first]))), positions], ["id", "row", "field", "word", "positions"])
+
+
 class TextIndex:
     """Posting lists in segments below root.
 
@@ -34,19 +59,19 @@ class TextIndex:
         self.store, self.buckets = Segments(spark, root), buckets
 
     def _write(self, postings: DataFrame) -> str:
-        """Sorted by word within each file of a bucket, so that a search skips row groups by their least and greatest word."""
-        salt = F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))
-        return self.store.write(postings.repartition("bucket", salt).sortWithinPartitions("bucket", "word", "id"), ["bucket"])
+        """One shuffle; sorted by word within each file of a bucket, so that a search skips row groups by their least and
+        greatest word. Postings that are there twice count once, in the tasks that write."""
+        dealt = postings.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).repartition("bucket", "salt")
+        once = dealt.dropDuplicates(["bucket", "salt", "word", "id", "row", "field"]).drop("salt")
+        return self.store.write(once.sortWithinPartitions("bucket", "word", "id"), ["bucket"])
 
     def append(self, docs: DataFrame, id_col: str, fields: list[str]) -> None:
         """Add the rows of docs. Null and token-less texts have no postings; rows that are equal in id and texts are one."""
         row = F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
         texts = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-        d = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.explode(texts).alias("x"))
-        d = d.select("id", "row", "x.field", F.posexplode("x.toks").alias("pos", "word")).withColumn("bucket", bucket_of(F.col("word"), self.buckets))
-        # grouping keeps the dealing by bucket and salt, so there is one shuffle
-        d = d.repartition("bucket", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)))
-        postings = d.groupBy("bucket", "word", "id", "row", "field").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+        d = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.explode(texts).alias("x")).select("id", "row", "x.field", "x.toks")
+        kind = dict(d.dtypes)["id"]
+        postings = d.mapInArrow(_postings, f"id {kind}, row long, field string, word string, positions array<int>").withColumn("bucket", bucket_of(F.col("word"), self.buckets))
         version, segments = self.store.live()
         self.store.register(version, [*segments, {"name": self._write(postings), "tier": 0}])
         self._merge()
@@ -60,7 +85,7 @@ class TextIndex:
             if not full:
                 return
             old = [s for s in segments if s["tier"] == full[0]]
-            merged = self._write(self.store.read(old).dropDuplicates(["bucket", "word", "id", "row", "field"]))
+            merged = self._write(self.store.read(old))
             self.store.register(version, [*[s for s in segments if s not in old], {"name": merged, "tier": full[0] + 1}])
 
     def postings(self) -> DataFrame:
@@ -77,23 +102,34 @@ class TextIndex:
     def phrases(self, terms: DataFrame, field: str | None = None, stem: bool = False) -> DataFrame:
         """(query_id, id, field, n_hits): how often the phrase of a term (query_id, normalized) stands in a field of a row.
 
-        The words of a phrase are joined to their posting lists alone, read from the buckets that hold them; rows without
-        all of the words go before positions are looked at; of the others the lists, each shifted by its word's place in
-        the phrase, are intersected. Rows that repeat an id count together. stem: words of one stem are alike. Terms
-        without a word find nothing.
+        The distinct words of all phrases are joined to their posting lists alone, each read once from the buckets that hold
+        them. The positions of a row then meet in one place, and runs of neighbouring ones, as long as some phrase is, are
+        joined to the phrases that they spell; so what is shuffled grows with the postings, however many terms there are.
+        Rows that repeat an id count together. stem: words of one stem are alike. Terms without a word find nothing.
         """
-        t = terms.select("query_id", tokens(F.col("normalized")).alias("toks"))
-        t = t.select("query_id", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "word"))
+        t = terms.select("query_id", tokens(F.col("normalized")).alias("toks")).where("size(toks) > 0")
+        if stem:
+            t = t.select("query_id", F.posexplode("toks").alias("k", "word")).withColumn("word", stem_word(F.col("word")))
+            t = t.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("toks"))
+        t = size_checked(t.select("query_id", F.size("toks").alias("n"), F.array_join("toks", " ").alias("phrase")))
+        words = t.select(F.explode(F.split("phrase", " ")).alias("as")).distinct()
         if stem:
-            t = t.withColumn("stem", stem_word(F.col("word"))).drop("word").join(self.vocabulary().drop("bucket"), "stem").drop("stem")
-        t = size_checked(t.withColumn("bucket", bucket_of(F.col("word"), self.buckets)))
-        buckets = [r["bucket"] for r in t.select("bucket").distinct().collect()]  # BUCKETS at most
+            words = words.join(self.vocabulary().withColumnRenamed("stem", "as"), "as")
+        else:
+            words = words.select("as", F.col("as").alias("word"), bucket_of(F.col("as"), self.buckets).alias("bucket"))
+        words = size_checked(words)
+        buckets = [r["bucket"] for r in words.select("bucket").distinct().collect()]  # BUCKETS at most
+        lengths = sorted(r["n"] for r in t.select("n").distinct().collect()) or [1]
         p = self.postings().where(F.col("bucket").isin(buckets))
         p = p if field is None else p.where(F.col("field") == field)
-        found = p.join(t, ["bucket", "word"]).select("query_id", "n", "id", "row", "field", F.struct("k", F.transform("positions", lambda x: x - F.col("k")).alias("at")).alias("x"))
-        found = found.groupBy("query_id", "n", "id", "row", "field").agg(F.collect_set("x").alias("xs"))
-        at = lambda k: F.array_distinct(F.flatten(F.filter("xs", lambda x: x["k"] == k)["at"]))
-        whole = F.size(F.array_distinct(F.col("xs.k"))) == F.col("n")
-        starts = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), at(0), lambda left, k: F.array_intersect(left, at(k)))
-        hits = found.where(whole).withColumn("n_hits", F.size(F.when(F.col("n") > 1, starts).otherwise(at(0)))).where("n_hits > 0")
-        return hits.groupBy("query_id", "id", "field").agg(F.sum("n_hits").cast("long").alias("n_hits"))
+        rows = p.join(words, ["bucket", "word"]).groupBy("id", "row", "field").agg(F.collect_list(F.struct("positions", "as")).alias("lists"))
+        placed = F.array_sort(F.flatten(F.transform("lists", lambda x: F.transform(x["positions"], lambda at: F.struct(at.alias("pos"), x["as"].alias("as"))))))
+        # a list that several segments have is the same in each
+        once = F.filter("every", lambda x, i: (i == 0) | (x["pos"] != F.get("every", i - 1)["pos"]))
+        rows = rows.select("id", "field", placed.alias("every")).select("id", "field", once.alias("toks"))
+        last = lambda i, n: F.get("toks", i + n - 2)["pos"]
+        run = lambda i, n: F.when(last(i, n) - F.get("toks", i - 1)["pos"] == n - 1, F.array_join(F.transform(F.slice("toks", i, F.lit(n)), lambda x: x["as"]), " "))
+        of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: run(i, n))
+        runs = F.flatten(F.array(*map(of_length, lengths)))
+        found = rows.select("id", "field", F.explode(runs).alias("phrase")).where("phrase is not null")
+        return found.join(t, "phrase").groupBy("query_id", "id", "field").agg(F.count("*").alias("n_hits"))

@@ -284,3 +284,15 @@ def test_denominator_violations(spark):
     d = sweep.interval_sums(o).select("bin_start", F.col("weight").alias("eligible_weight"))
     assert bins.denominator_violations(bins.bin_weights(o), d).count() == 0
     assert [r["bin_start"] for r in bins.denominator_violations(bins.bin_weights(o), d.where("bin_start = 10")).collect()] == [0]
+
+
+def test_a_phrase_of_common_words_costs_no_list_a_term(spark):
+    """Many terms of the same words read each posting list once: what meets is rows, not terms times rows."""
+    index = textindex.TextIndex(spark, new_path(spark, "index"), buckets=2)
+    rows = [(i, f"a b {'c' * (i % 3)} a b") for i in range(60)]
+    index.append(spark.createDataFrame(rows, "id long, body string"), "id", ["body"])
+    terms = spark.createDataFrame([(q, "a b") for q in range(200)], "query_id int, normalized string")
+    hits = index.phrases(terms)
+    assert {(r["query_id"], r["id"]): r["n_hits"] for r in hits.collect()} == {(q, i): 2 for q in range(200) for i in range(60)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Generate explode") == 1
