@@ -81,3 +81,13 @@ def ranged_ranks(df: DataFrame, order: list, within: list[str], name: str) -> Da
     before = counts.select("__p", *within, F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
     nth = F.row_number().over(W.partitionBy("__p", *within).orderBy(*order))
     return parts.withColumn("__n", nth).join(before, ["__p", *within]).withColumn(name, F.col("__before") + F.col("__n")).drop("__p", "__n", "__before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to as many tasks as shuffles have, for steps whose work is far larger than their rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def digest_below(m: int, of: int) -> str:
+    """What about m of so many digests in hex are below, and every one if m isn't less."""
+    return f"{m * (1 << 48) // of:012x}" if m < of else "g"
