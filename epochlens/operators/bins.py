@@ -90,8 +90,15 @@ def row_sum_violations(weights: DataFrame, id_col: str = "artwork_id", tolerance
 
 
 def denominator_violations(weights: DataFrame, denominators: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Bins whose stored denominator isn't the sum of their weights."""
-    got = weights.groupBy("bin_start").agg(F.sum("weight").alias("actual"))
+    """Bins whose stored denominator isn't the sum of their weights.
+
+    Weights are summed as decimals of 18 places, whose sum has no rounding that grows with the rows; a bin with a weight
+    that is none, such as NaN or one beyond 1e20, is summed as it is.
+    """
+    exact = F.col("weight").try_cast("decimal(38,18)")
+    whole = F.count(exact) == F.count("weight")
+    got = weights.groupBy("bin_start").agg(F.when(whole, F.try_sum(exact).cast("double")).alias("exact"), F.sum("weight").alias("plain"))
+    got = got.select("bin_start", F.coalesce("exact", "plain").alias("actual"))
     both = denominators.select("bin_start", F.col("eligible_weight").alias("stored")).join(got, "bin_start", "full")
     both = both.select("bin_start", F.coalesce("stored", F.lit(0.0)).alias("stored"), F.coalesce("actual", F.lit(0.0)).alias("actual"))
     return both.where(F.abs(F.col("stored") - F.col("actual")) > tolerance)

@@ -82,3 +82,14 @@ def test_centred_weights_equal_enumeration(spark, size):
             want[k] = want.get(k, 0) + part((n + 1) / len(years)) - part(n / len(years))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert all(sum(w for (i, _), w in got.items() if i == k) == pytest.approx(1) for k, *_ in spans)
+
+
+def test_denominators_are_compared_with_sums_that_dont_drift(spark):
+    """A hundred thousand small weights beside a large one: added one by one they lose what the large one's places can't hold."""
+    w = spark.range(100_000, numPartitions=1).select(F.when(F.col("id") == 0, 3e9).otherwise(1e-7).alias("weight"), F.lit(0).alias("bin_start"))
+    stored = spark.createDataFrame([(0, 3e9 + 99_999e-7)], "bin_start int, eligible_weight double")
+    assert bins.denominator_violations(w, stored).count() == 0
+    wrong = spark.createDataFrame([(0, 3e9 + 99_000e-7)], "bin_start int, eligible_weight double")
+    assert bins.denominator_violations(w, wrong).count() == 1
+    nan = spark.createDataFrame([(0, float("nan")), (0, 1.0)], "bin_start int, weight double")
+    assert bins.denominator_violations(nan, stored).count() == 1
