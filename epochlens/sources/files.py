@@ -50,8 +50,12 @@ def write_corpus(df: DataFrame, path: str, fields: list[str] | None = None, kind
 
 
 def write_weights(weights: DataFrame, path: str) -> None:
-    """The weight matrix as a long table, ordered so that a read of few bins skips the rest."""
-    weights.repartitionByRange("bin_start").sortWithinPartitions("bin_start").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    """The weight matrix as a long table, ordered so that a read of few bins skips the rest.
+
+    Ranges go by bin and then by a digest of the row, so a large bin is many tasks and files.
+    """
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in weights.columns])
+    weights.repartitionByRange("bin_start", digest).sortWithinPartitions("bin_start").write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 def read_typed_corpus(df: DataFrame, integers: tuple[str, ...], booleans: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epochlens.functions.base import new_path
 from epochlens.functions import encoders, text, vectors
 from epochlens.operators import bins, canonical, evidence, quality, retrieval, series
 from epochlens.functions.dates import DateRules
@@ -223,3 +224,16 @@ def test_cards_have_all_fields(spark):
     assert tuple(got["c"].asDict())[1:] == evidence.CARD_FIELDS and len(evidence.CARD_FIELDS) == 19
     assert got["a b/ü"]["image_url"] == "/v1/images/a%20b%2F%C3%BC" and got["c"]["image_url"] == "" and got["c"]["date_qualifier"] == "exact"
     assert (got["a b/ü"]["raw_score"], got["a b/ü"]["contribution_weight"], got["a b/ü"]["contributor"]) == (0.5, 0.25, False)
+
+
+def test_a_bins_weights_are_several_files(spark):
+    path = new_path(spark, "weights")
+    w = spark.range(4000).select("id", F.lit(10).alias("bin_start"), F.lit(0.5).alias("weight"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_weights(w, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = spark.read.parquet(path)
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
