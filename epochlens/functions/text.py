@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A token is a run of letters and numbers of any script.
 TOKEN = r"[\p{L}\p{N}]+"
+#: Texts that are stemmed at once, and words whose stems a task remembers.
+TEXTS, STEMS_KEPT = 1000, 1_000_000
 
 
 def _folding() -> tuple[str, str]:
@@ -115,19 +121,31 @@ def normalize_term(c: Column) -> Column:
     return normal(c)
 
 
+def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their lists of tokens as lists of stems."""
+    known: dict[str, str] = {}
+    for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+        lists = batch.column("toks")
+        words = pc.dictionary_encode(lists.flatten())
+        if len(known) > STEMS_KEPT:
+            known.clear()
+        stems = [known.get(w) or known.setdefault(w, porter(w)) for w in words.dictionary.to_pylist()]
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        toks = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(stems, pa.string()).take(words.indices))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("field"), toks], ["id", "field", "toks"])
+
+
 def tokenized(df: DataFrame, id_col: str, fields: list[str], stem: bool = True) -> DataFrame:
     """(id, field, toks): the tokens of each field as one text with a blank around each.
 
-    Stems are found for the distinct vocabulary alone and joined back, so Python sees each word once. Rows that repeat
-    an id stay apart.
+    Stems are found where the tokens are, batch by batch, each distinct word of a batch looked up once and stemmed once a
+    task while it is remembered; so no token is shuffled. Rows that repeat an id stay apart.
     """
     cols = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-    long = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(cols).alias("x")).select("id", "row", "x.field", "x.toks")
+    long = df.select(F.col(id_col).alias("id"), F.explode(cols).alias("x")).select("id", "x.field", "x.toks")
     if stem:
-        words = long.select("id", "row", "field", F.posexplode("toks").alias("pos", "word"))
-        stems = words.select("word").distinct().withColumn("stem", stem_word(F.col("word")))
-        words = words.join(stems, "word").groupBy("id", "row", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))
-        long = words.select("id", "field", F.col("x.stem").alias("toks"))
+        kind = long.schema["id"].dataType.simpleString()
+        long = long.mapInArrow(_stemmed, f"id {kind}, field string, toks array<string>")
     return long.where(F.size("toks") > 0).select("id", "field", F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("toks"))
 
 

@@ -237,3 +237,10 @@ def test_a_bins_weights_are_several_files(spark):
     got = spark.read.parquet(path)
     sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
+
+
+def test_stemming_shuffles_no_token(spark):
+    rows = [(1, "Running horses ran"), (1, "horses"), (2, None), (3, "..."), (4, "relational " * 3000)]
+    d = text.tokenized(spark.createDataFrame(rows, "id int, body string"), "id", ["body"])
+    assert sorted(map(tuple, d.collect()))[:2] == [(1, "body", " hors "), (1, "body", " run hors ran ")] and d.count() == 3
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
