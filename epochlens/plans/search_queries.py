@@ -189,9 +189,10 @@ def evidence_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that match a term and have weight in the term's peak bin."""
     points, matches, o = _keyword(spark, sf_dir)
-    peaks = S.peak_bins(points).select("query_id", "bin_key", "bin_start")
-    rows = o.select(F.col("artwork_id").alias("id"), "public_domain", (F.col("tags") == "ECONOMY").alias("image_available"), F.regexp_extract("artwork_id", "^L_([0-9]+)_", 1).cast("bigint").alias("number"), "date_start", "date_end")
-    return matches.join(peaks, "query_id").join(rows, "id").where(B.weight_in(F.col("bin_start")) > 0).drop("bin_start", "date_start", "date_end")
+    peaks = F.broadcast(S.peak_bins(points).select("query_id", "bin_key", "bin_start"))  # a row a term
+    rows = o.join(peaks).where(B.weight_in(F.col("bin_start")) > 0)  # before the shuffle, as most rows are in other bins
+    rows = rows.select("query_id", F.col("artwork_id").alias("id"), "bin_key", "public_domain", (F.col("tags") == "ECONOMY").alias("image_available"), F.regexp_extract("artwork_id", "^L_([0-9]+)_", 1).cast("bigint").alias("number"))
+    return matches.join(rows, ["query_id", "id"])
 
 
 def evidence_tiered_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
