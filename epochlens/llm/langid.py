@@ -17,11 +17,13 @@ from epochlens.llm.common import crc_bucket
 _NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: Sequences are runs of letters, lower-cased, as UTF-8; longer ones are cut between letters into pieces of at most so many bytes.
 LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: The same and those signs: LETTERS tries each letter against hundreds of signs, so only runs that hold one are given to it.
+RUNS = re.compile(r"[^\W\d_]+")
 PIECE = 48
 #: Documents of each language, and words of theirs, that training uses, chosen by hashes.
 DOCUMENTS, WORDS = 300, 8000
 HIDDEN, EPOCHS, BATCH, RATE = 12, 6, 128, 0.01
-#: Words whose outputs a task keeps; beyond, it starts anew.
+#: Runs whose outputs a task keeps; beyond, it starts anew.
 WORDS_KEPT = 400_000
 NAMES = ("in_f", "in_b", "rec_f", "rec_b", "out", "bias")
 
@@ -128,9 +130,21 @@ def train(words: list[tuple[bytes, int]], n: int, epochs: int = EPOCHS, seed: in
     return p
 
 
+def runs(text: str | None) -> list[str]:
+    """Runs of letters and signs; of those over PIECE characters the pieces, so that none is long."""
+    found = RUNS.findall(text.lower()) if text else []
+    if max(map(len, found), default=0) > PIECE:
+        found = [x for w in found for x in ([w] if len(w) <= PIECE else [p.decode() for p in run_pieces(w)])]
+    return found
+
+
 def pieces(text: str | None) -> list[bytes]:
+    return [p for run in runs(text) for p in run_pieces(run)]
+
+
+def run_pieces(run: str) -> list[bytes]:
     out = []
-    for w in LETTERS.findall(text.lower()) if text else []:
+    for w in [run] if run.isalpha() else LETTERS.findall(run):
         b = w.encode()
         while len(b) > PIECE:
             end = PIECE
@@ -150,40 +164,40 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], parameters: dict[str, np.ndarray]):
         self.languages, self.parameters = languages, parameters
-        self.place: dict[bytes, int] = {}
+        self.place: dict[str, int] = {}
         self.sums = np.zeros((0, 2 * len(languages) + 1))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Per word: sums over its bytes of log probabilities and of probabilities, and the number of bytes."""
-        by_length: dict[int, list[bytes]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        new = [self.sums]
-        for size, same in by_length.items():
-            for i in range(0, len(same), 4096):
-                part = same[i : i + 4096]
-                logp = log_probabilities(self.parameters, np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size))
-                new.append(np.concatenate([logp.sum(0), np.exp(logp).sum(0), np.full((len(part), 1), size)], 1))
-                for w in part:
-                    self.place[w] = len(self.place)
-        self.sums = np.concatenate(new)
+    def learn(self, new: list[str]) -> None:
+        """Per run: sums over the bytes of its pieces of log probabilities and of probabilities, and the number of bytes."""
+        alike: dict[tuple[int, int], list[tuple[bytes, int]]] = {}  # by length and place in the run
+        for i, run in enumerate(new):
+            for nth, p in enumerate(run_pieces(run)):
+                alike.setdefault((len(p), nth), []).append((p, i))
+        sums = np.zeros((len(new), self.sums.shape[1]))
+        for (size, _), same in alike.items():
+            for at in range(0, len(same), 4096):
+                part = same[at : at + 4096]
+                logp = log_probabilities(self.parameters, np.frombuffer(b"".join(p for p, _ in part), np.uint8).reshape(len(part), size))
+                sums[[i for _, i in part]] += np.concatenate([logp.sum(0), np.exp(logp).sum(0), np.full((len(part), 1), size)], 1)
+        self.place.update({run: len(self.sums) + i for i, run in enumerate(new)})
+        self.sums = np.concatenate([self.sums, sums])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
-        found = [pieces(x) for x in texts]
+        found = [runs(x) for x in texts]
         every = set().union(*found)
         if len(self.place) + len(every) > WORDS_KEPT:
             self.place, self.sums = {}, self.sums[:0]
         if missing := every - self.place.keys():
             self.learn(sorted(missing))
         names, scores, k = [], [], len(self.languages)
-        for words in found:
-            if not words:
+        for own in found:
+            total = self.sums[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))].sum(0)
+            if not total[-1]:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0)
             best = int(total[:k].argmax())
             names.append(self.languages[best])
             scores.append(float(min(1.0, max(0.0, total[k + best] / total[-1]))))

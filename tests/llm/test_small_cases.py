@@ -93,6 +93,25 @@ def test_part_counter_of_a_tokenizer_that_joins_over_spaces(tmp_path):
         assert tokens.PartCounter(path).counts(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_letters_are_not_tried_against_every_sign(monkeypatch):
+    seen = []
+
+    class Signs:
+        findall = staticmethod(lambda text, letters=langid.LETTERS: seen.append(text) or letters.findall(text))
+
+    every = "".join(f"ab{c}cd " for c in map(chr, range(0x3400)) if not c.isspace())
+    want = [w.encode() for w in langid.LETTERS.findall(every.lower())]
+    monkeypatch.setattr(langid, "LETTERS", Signs)
+    assert langid.pieces("two words, 12 of them " * 50 + "x½y") == [b"two", b"words", b"of", b"them"] * 50 + [b"x", b"y"]
+    assert seen == ["x½y"]
+    assert langid.pieces(every) == want
+    model = langid.LanguageModel(["de", "en"], langid.new_parameters(2))
+    assert model.predict(["½ ² 12", "", None])[0] == ["und"] * 3
+    assert model.predict(["x½y, two"]) == model.predict(["two x y"])
+    model.predict(["é" * 100_000])
+    assert max(map(len, model.place)) <= langid.PIECE
+
+
 def test_letters_and_pieces():
     assert langid.pieces("12 ² ½ Ⅷ _ ३") == [] and langid.pieces("Abc² éß一") == ["abc".encode(), "éß一".encode()]
     long = "é" * 100 + "中" * 40
