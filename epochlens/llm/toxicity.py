@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,12 @@ LEAST_DF = 2
 #: label are so many standard errors apart.
 STOP_SHARE, STOP_Z = 0.1, 3.0
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 31, 64, 3
+#: If more than this share of the blocks may hold a neighbour, posting lists are read whole and not block by block.
+WHOLE_SHARE = 0.3
+#: That is taken for granted where so many have more than this share of the largest bound, which a k-th score hardly reaches.
+HOPELESS = 0.5
+#: Terms of more than this share of the rows.
+OFTEN = 0.1
 #: Rows of the usual share of label 1 that texts without a term of the vocabulary are smoothed with.
 PRIOR_ROWS = 10
 #: Texts whose scores a task keeps, by digest.
@@ -44,11 +51,61 @@ def terms_of(text: str | None) -> list[str]:
     return [first or "+" + later for first, later in PIECES.findall(text.lower())] if text else []
 
 
-def passages(terms: list[str]) -> list[Counter]:
-    """Counts of passages of at most PASSAGE terms and equal length."""
+@cache
+def in_words() -> np.ndarray:
+    """By code point, whether it is part of words."""
+    return np.array([c.isalnum() or c == "_" for c in map(chr, range(0x110000))])
+
+
+def coded(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a text in lower case, as terms_of() has them: their characters, two and two in a number, and whether they
+    are a word's later pieces."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(in_words()[points])
+    each = np.arange(len(at))
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    place = each - np.maximum.accumulate(np.where(new, each, 0))
+    first = np.flatnonzero(place & 3 == 0)
+    size = np.append(first[1:], len(at)) - first
+    points = np.append(points[at], np.zeros(3, np.uint32)).astype(np.uint64)
+    one, two, three, four = (points[first + i] * (size > i) for i in range(4))
+    return one << np.uint64(21) | two, three << np.uint64(21) | four, place[first] > 0
+
+
+def coded_keys(one: np.ndarray, two: np.ndarray, later: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (one * M1 ^ two) * M1 + later
+
+
+class Numbered:
+    """The terms of texts as numbers of a vocabulary, looked up for a whole text at once by a key that is checked."""
+
+    def __init__(self, vocabulary: list[str]):
+        one, two, _ = coded(" ".join(t.lstrip("+") for t in vocabulary))
+        later = np.array([t[0] == "+" for t in vocabulary], bool)
+        keys = coded_keys(one, two, later)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.one, self.two, self.later = (x[self.order] for x in (keys, one, two, later))
+        if len(vocabulary) != len(np.unique(keys)):
+            raise ValueError("two terms have one key")
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of all terms of a text, in its order; -1 stands for those outside the vocabulary."""
+        one, two, later = coded((text or "").lower())
+        if not len(self.keys):
+            return np.full(len(one), -1)
+        keys = coded_keys(one, two, later)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        same = (self.keys[at] == keys) & (self.one[at] == one) & (self.two[at] == two) & (self.later[at] == later)
+        return np.where(same, self.order[at], -1)
+
+
+def passages(terms: np.ndarray) -> list[np.ndarray]:
+    """Passages of at most PASSAGE terms and equal length."""
     n = -(-len(terms) // PASSAGE)
     size = -(-len(terms) // max(n, 1))
-    return [Counter(terms[i * size : (i + 1) * size]) for i in range(n)]
+    return [terms[i * size : (i + 1) * size] for i in range(n)]
 
 
 class BlockMaxIndex:
@@ -56,21 +113,34 @@ class BlockMaxIndex:
 
     nearest() gives the exact k best by cosine: a query's products with a block's largest weights bound its cosine with
     each of the block's rows. The FIRST_BLOCKS of highest bound are scored first, of the others only those
-    whose bound reaches the k-th score found.
+    whose bound reaches the k-th score found; if these are many, lists are read whole.
     """
 
     def __init__(self, rows: list[Sparse], n_terms: int):
         self.n, self.n_blocks = len(rows), max(1, -(-len(rows) // BLOCK))
+        self.lists: tuple[list, list] | None = None  # by term, made where they are read
         row = np.repeat(np.arange(self.n), [len(t) for t, _ in rows])
         term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]])
         order = np.lexsort((row, term))
-        self.rows, self.weights = row[order].astype(np.int32), np.concatenate([np.zeros(0), *[w for _, w in rows]])[order]
+        self.rows, self.weights = row[order], np.concatenate([np.zeros(0), *[w for _, w in rows]])[order]
         #: A cell is a term in a block; its postings lie from starts[cell] to starts[cell + 1].
-        cell = term[order] * self.n_blocks + self.rows // BLOCK
+        cell = term[order] * self.n_blocks + row[order] // BLOCK
         self.starts = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
         top = np.zeros(n_terms * self.n_blocks)
         np.maximum.at(top, cell, self.weights)
-        self.block_max = top.reshape(n_terms, self.n_blocks)
+        #: Terms of many rows have their weights in all rows as well.
+        size = np.diff(self.starts[:: self.n_blocks])
+        often = np.flatnonzero(size > OFTEN * self.n)
+        self.often_at = np.full(n_terms, -1)
+        self.often_at[often] = np.arange(len(often))
+        self.often = np.zeros((len(often), self.n))
+        row_of = self.often_at[term[order]]
+        self.often[row_of[row_of >= 0], self.rows[row_of >= 0]] = self.weights[row_of >= 0]
+        #: rounded up
+        self.block_max = np.nextafter(top.astype(np.float32), np.float32(np.inf)).reshape(n_terms, self.n_blocks) * (top > 0).reshape(n_terms, self.n_blocks)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": None}
 
     def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Cosines of the rows of some blocks, summed by rising term, so that equal rows have equal ones."""
@@ -81,26 +151,61 @@ class BlockMaxIndex:
         at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
         return np.bincount(self.rows[at], self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), size), self.n)
 
-    def _kth(self, scores: np.ndarray, k: int) -> float:
-        return float(np.partition(scores, self.n - k)[self.n - k]) if self.n > k else 0.0
+    def _whole_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all rows, summed row by row in one order, so that equal rows have equal ones."""
+        at = self.often_at[terms]
+        scores, product = np.zeros(self.n), np.empty(self.n)
+        for i, w in zip(at[at >= 0].tolist(), weights[at >= 0].tolist(), strict=True):
+            np.multiply(self.often[i], w, out=product)
+            scores += product
+        terms, weights = terms[at < 0], weights[at < 0]
+        first, last = self.starts[terms * self.n_blocks], self.starts[(terms + 1) * self.n_blocks]
+        if len(terms):
+            if self.lists is None:
+                cuts = self.starts[self.n_blocks : -1 : self.n_blocks]
+                self.lists = np.split(self.rows, cuts), np.split(self.weights, cuts)
+            rows, products = (np.concatenate([x[t] for t in terms.tolist()]) for x in self.lists)
+            products *= np.repeat(weights, last - first)
+            scores += np.bincount(rows, products, self.n)
+        return scores
+
+    def _pruned_scores(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, order: np.ndarray, k: int, leave_out: np.ndarray | None) -> tuple[np.ndarray, float]:
+        """Cosines of all rows that may be among the k best, and a score that these reach."""
+        scores = self._scores(terms, weights, order[:FIRST_BLOCKS])
+        if leave_out is not None:
+            scores[leave_out] = 0
+        of_first = (order[:FIRST_BLOCKS, None] * BLOCK + np.arange(BLOCK)).ravel()
+        found = scores[of_first[of_first < self.n]]
+        floor = np.partition(found, len(found) - k)[len(found) - k] * (1 - 1e-9) if len(found) > k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] >= floor]
+        if len(rest) > WHOLE_SHARE * self.n_blocks:
+            scores = self._whole_scores(terms, weights)
+        elif len(rest):
+            scores += self._scores(terms, weights, rest)
+        if leave_out is not None:
+            scores[leave_out] = 0
+        return scores, floor
 
     def nearest(self, query: Sparse, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k best rows that share a term with the query and their scores, ties to the smaller row; leave_out marks rows that don't count."""
         terms, weights = query
         if not len(terms) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weights @ self.block_max[terms] * (1 + 1e-9)
+        bounds = weights.astype(np.float32) @ self.block_max[terms] * np.float32(1 + 1e-3)
         order = np.argsort(-bounds, kind="stable")
-        scores = self._scores(terms, weights, order[:FIRST_BLOCKS])
-        if leave_out is not None:
-            scores[leave_out] = 0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] >= self._kth(scores, k)]
-        if len(rest):
-            scores += self._scores(terms, weights, rest)
+        many = int(WHOLE_SHARE * self.n_blocks)
+        if many >= FIRST_BLOCKS and bounds[order[many]] > HOPELESS * bounds[order[0]]:
+            scores, floor = self._whole_scores(terms, weights), 0.0
             if leave_out is not None:
                 scores[leave_out] = 0
-        ids = np.flatnonzero((scores >= self._kth(scores, k)) & (scores > 0))
+            if self.n > k:
+                floor = np.partition(scores, self.n - k)[self.n - k]
+        else:
+            scores, floor = self._pruned_scores(terms, weights, bounds, order, k, leave_out)
+        ids = np.flatnonzero(scores >= floor if floor > 0 else scores > 0)
+        if len(ids) > k:
+            ids = ids[scores[ids] >= np.partition(scores[ids], len(ids) - k)[len(ids) - k]]
         ids = ids[np.lexsort((ids, -scores[ids]))[:k]]
         return ids, scores[ids]
 
@@ -111,9 +216,10 @@ class ToxicityModel:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, str | None, int]], weights: tuple[float, float]):
         """examples: id, text, label."""
         self.terms = {t: i for i, t in enumerate(vocabulary)}
+        self.numbered = Numbered(vocabulary)
         self.idf = idf
         self.kept: dict[int, tuple[float, list]] = {}
-        vectors = [self.vectors(passages(terms_of(text))) for _, text, _ in examples]
+        vectors = [self.vectors(text) for _, text, _ in examples]
         rows = [(v, e) for e, vs in enumerate(vectors) for v in vs]
         often = np.bincount(np.concatenate([np.zeros(0, np.int64), *[v[0] for v, _ in rows]]), minlength=len(vocabulary))
         # alike texts meet in a block: by the commonest of their terms, which tells languages apart, then by length
@@ -132,13 +238,14 @@ class ToxicityModel:
         y = np.array([label for _, label in known], np.int64)
         self.steps, self.levels = self.isotonic(np.array([v for v, _ in known]), y, np.array(weights)[y])
 
-    def vectors(self, parts: list[Counter]) -> list[Sparse]:
-        """Unit TF-IDF vectors of the passages that have a term of the vocabulary, their terms rising."""
+    def vectors(self, text: str | None) -> list[Sparse]:
+        """Unit TF-IDF vectors of the text's passages that have a term of the vocabulary, their terms rising."""
         out = []
-        for counts in parts:
-            found = sorted((self.terms[t], counts[t]) for t in counts.keys() & self.terms.keys())
-            terms = np.array([t for t, _ in found], np.int64)
-            v = np.array([n for _, n in found], np.float64) * self.idf[terms]
+        for part in passages(self.numbered.of(text)):
+            part = np.sort(part[part >= 0])
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+            terms, n = part[at], np.diff(at, append=len(part))
+            v = n * self.idf[terms]
             terms, v = terms[v > 0], v[v > 0]
             if len(v):
                 out.append((terms, v / np.sqrt((v * v).sum())))
@@ -173,7 +280,7 @@ class ToxicityModel:
         if key not in self.kept:
             if len(self.kept) >= SCORES_KEPT:
                 self.kept.clear()
-            self.kept[key] = self.score_vectors(self.vectors(passages(terms_of(text))))
+            self.kept[key] = self.score_vectors(self.vectors(text))
         return self.kept[key]
 
     def score_vectors(self, vectors: list[Sparse]) -> tuple[float, list]:
@@ -200,16 +307,16 @@ def _copy_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(vocabulary: list[str]):
     """Of how many rows of a partition each term of the vocabulary is part; -1 stands for the rows."""
-    known = {t: i for i, t in enumerate(vocabulary)}
+    numbered = Numbered(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, rows = np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
             for x in batch.column("text").to_pylist():
-                seen[-1] += 1
-                seen.update(known.keys() & set(terms_of(x)))
-        rows = seen.pop(-1, 0)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *[known[t] for t in seen]], pa.int32()), pa.array([rows, *seen.values()], pa.int64())], ["term", "n"])
+                rows += 1
+                seen[np.unique(numbered.of(x))] += 1  # the last are those outside
+        found = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([rows, *seen[found]], pa.int64())], ["term", "n"])
 
     return run
 

@@ -352,6 +352,40 @@ def test_block_max_index_is_exact():
         assert ids.tolist() == want and np.allclose(s, scores[want])
 
 
+def test_block_max_index_reads_whole_lists_when_most_blocks_count(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(np.unique([0, *rng.choice(30, 6, replace=False)]), rng.random(7)) for _ in range(800)]
+    rows = [(t, w[: len(t)]) for t, w in rows]
+    rows += rows[:100]  # ties
+    index = toxicity.BlockMaxIndex(rows, 30)
+    dense = np.zeros((900, 30))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    asked, cells = [], toxicity.BlockMaxIndex._scores
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_scores", lambda self, t, w, blocks: asked.append(len(blocks)) or cells(self, t, w, blocks))
+    for n in range(20):
+        t, w = rows[n]
+        ids, s = index.nearest((t, w), 10)
+        scores = np.round(dense[:, t] @ w, 12)
+        assert ids.tolist() == np.lexsort((np.arange(900), -scores))[:10].tolist() and np.allclose(s, scores[ids])
+        whole = index._whole_scores(t, w)
+        assert whole[:100].tolist() == whole[800:].tolist()  # to the last bit
+    assert max(asked, default=0) <= toxicity.FIRST_BLOCKS
+
+
+def test_toxicity_numbers_a_texts_terms_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = "ab_9éßİ中\U00020000½²Ⅷ \n-+.\x00\u0301\ud800"
+    texts = ["".join(rng.choice(list(letters), n)) for n in range(300)] + ["", "Classified a class", "x" * 1000, "".join(map(chr, range(0x3000)))]
+    vocabulary = sorted({t for x in texts for t in toxicity.terms_of(x)})[::2]
+    number = {t: i for i, t in enumerate(vocabulary)}
+    want = [[number.get(t, -1) for t in toxicity.terms_of(x)] for x in texts]
+    numbered = toxicity.Numbered(vocabulary)
+    monkeypatch.setattr(toxicity, "terms_of", None)
+    assert [numbered.of(x).tolist() for x in texts] == want and numbered.of(None).tolist() == []
+    assert toxicity.Numbered([]).of("ab cd").tolist() == [-1, -1]
+
+
 def test_toxicity_equals_brute_force_under_any_partitioning(spark):
     sf = "/root/testdata/sf0.001"
     d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
