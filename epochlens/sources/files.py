@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochlens.functions.base import ranged_ranks, written
+from epochlens.functions.digests import Sha256, resumable
 
 ERROR_COLUMNS = ("error_type", "error_subtype")
+#: Bytes of a file that one task reads for its digest.
+PART_BYTES = 128 << 20
 
 
 def read_corpus_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -77,10 +84,76 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below root, hashed where it is read."""
+    """(path, bytes, sha256) of every file below root, hashed where it is read; a file over PART_BYTES a part at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1].replace(".", r"\.") + "/", "")
-    return files.select(base.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    digested = [base.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")]
+    large = files.where(F.col("length") > PART_BYTES).select("path", "length").collect() if resumable() else []
+    if not large:
+        return files.select(*digested)
+    parted = [r for r in large if not named_as_compressed(spark, r["path"])]
+    out = files.where(F.col("length") <= PART_BYTES).select(*digested)
+    if packed := [literal_path(r["path"]) for r in large if r not in parted]:
+        out = out.union(spark.read.format("binaryFile").load(packed).select(*digested))
+    if parted:
+        with ThreadPool(min(len(parted), spark.sparkContext.defaultParallelism)) as pool:
+            digests = pool.map(inheritable_thread_target(spark)(lambda r: sha256_in_parts(spark, r["path"], r["length"])), parted, 1)
+        rows = [(r["path"], r["length"], d) for r, d in zip(parted, digests)]
+        out = out.union(spark.createDataFrame(rows, "path string, length bigint, sha256 string").select(base.alias("path"), F.col("length").alias("bytes"), "sha256"))
+    return out
+
+
+def literal_path(path: str) -> str:
+    """A path that is read as it is, not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def named_as_compressed(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's text source would unpack a file of that name."""
+    hadoop = spark._jvm.org.apache.hadoop
+    return hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hadoop.fs.Path(path)) is not None
+
+
+def hashed_on(batches, plain: bytes, marked: bytes, size: int):
+    """(plain, marked, size, at): the states of the two digests after a split's lines, the bytes so far, where the split starts."""
+    a, b, at = Sha256(plain), Sha256(marked), None
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            data = b"\n".join([b"", *lines] if size else lines)
+            a.update(data), b.update(data)
+            size, at = size + len(data) + (0 if size else 1), batch.column(1)[0].as_py()
+    if at is not None:
+        yield pa.RecordBatch.from_pydict({"plain": [a.state()], "marked": [b.state()], "size": [size], "at": [at]})
+
+
+def sha256_in_parts(spark: SparkSession, path: str, length: int) -> str:
+    """The SHA-256 of one file, whose splits are read by one task each, in order; the digest's state goes from task to task.
+
+    The text source gives a file's bytes unchanged, a row a line, but for line feeds, which are put back, and for a byte
+    order mark, which it leaves out: so a digest with a mark goes along. The length tells if there was one, and if the
+    last line ended in a line feed.
+    """
+    session = spark.newSession()  # split sizes are settings of a session
+    for k, v in spark.conf.getAll.items():
+        if session.conf.get(k, None) != v and (spark.conf.isModifiable(k) or not k.startswith("spark.")):
+            session.conf.set(k, v)
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(PART_BYTES))
+    session.conf.set("spark.sql.files.minPartitionNum", "1")
+    text = session.read.text(literal_path(path), lineSep="\n", recursiveFileLookup=True)
+    lines = text.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("at"))
+    state, last = (Sha256().state(), Sha256().update(b"\xef\xbb\xbf").state(), 0), -1
+    for split in range(lines.rdd.getNumPartitions()):
+        after = lines.mapInArrow(lambda batches, s=state: hashed_on(batches, *s), "plain binary, marked binary, size bigint, at bigint")
+        for r in spark.sparkContext.runJob(after.rdd, list, [split]):  # none if a line is longer than the split
+            if r["at"] <= last:
+                raise ValueError(f"the splits of {path} are not in order")
+            state, last = (bytes(r["plain"]), bytes(r["marked"]), r["size"]), r["at"]
+    plain, marked = Sha256(state[0]), Sha256(state[1])
+    ends = {0: plain.update(b"\n"), 1: Sha256(state[0]), -3: marked.update(b"\n"), -2: Sha256(state[1])}
+    if state[2] - length not in ends:
+        raise ValueError(f"{path} changed while it was read")
+    return ends[state[2] - length].hexdigest()
 
 
 def checksum_mismatches(found: DataFrame, manifest: DataFrame) -> DataFrame:

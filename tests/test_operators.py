@@ -1,4 +1,5 @@
 import hashlib
+import os
 import sqlite3
 import tempfile
 
@@ -244,3 +245,23 @@ def test_stemming_shuffles_no_token(spark):
     d = text.tokenized(spark.createDataFrame(rows, "id int, body string"), "id", ["body"])
     assert sorted(map(tuple, d.collect()))[:2] == [(1, "body", " hors "), (1, "body", " run hors ran ")] and d.count() == 3
     assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inventory_in_parts(spark, monkeypatch):
+    """Files over a part are hashed by several tasks: the digests are those of the whole bytes."""
+    d = tempfile.mkdtemp(prefix="spark-parts-")
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 256, 300_000, np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    contents = {"noise.parquet": noise, "ended.bin": noise + b"\n", "marked.csv": mark + noise, "marked_ended.csv": mark + noise + b"\n", "twice.csv": mark + mark + noise,
+                "feeds.txt": b"\n" * 200_000, "long line.txt": b"x" * 250_000 + b"\r\n" + b"\0" * 9, "a=1/odd [x]{y}.txt": noise[::-1], "named.gz": noise, "small.txt": b"a"}
+    os.makedirs(f"{d}/a=1")
+    for name, data in contents.items():
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(data)
+    monkeypatch.setattr(files, "PART_BYTES", 64 << 10)
+    parted, alone = [], files.sha256_in_parts
+    monkeypatch.setattr(files, "sha256_in_parts", lambda s, path, n: parted.append(path) or alone(s, path, n))
+    found = {r["path"]: (r["bytes"], r["sha256"]) for r in files.inventory(spark, d).collect()}
+    assert found == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+    assert len(parted) == 8
