@@ -265,3 +265,19 @@ def test_inventory_in_parts(spark, monkeypatch):
     found = {r["path"]: (r["bytes"], r["sha256"]) for r in files.inventory(spark, d).collect()}
     assert found == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
     assert len(parted) == 8
+
+
+def test_manifest_inventory_reads_a_split_a_task(spark, monkeypatch):
+    from epochlens.plans import history_queries
+
+    d = tempfile.mkdtemp(prefix="spark-manifest-")
+    data = np.random.default_rng(4).integers(0, 256, 200_000, np.uint8).tobytes()
+    for name in ("lineitem.parquet", "orders.parquet"):
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(data + name.encode())
+    monkeypatch.setattr(files, "PART_BYTES", 64 << 10)
+    jobs, run = [], type(spark.sparkContext).runJob
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda sc, rdd, f, partitions=None, *a: jobs.append(partitions) or run(sc, rdd, f, partitions, *a))
+    found = {r["path"]: r["sha256"] for r in history_queries.manifest_inventory(spark, d).collect()}
+    assert found == {n: hashlib.sha256(data + n.encode()).hexdigest() for n in ("lineitem.parquet", "orders.parquet")}
+    assert sorted(jobs) == [[i] for i in range(4) for _ in range(2)]
