@@ -120,9 +120,14 @@ def prompt_jaccard(hits: DataFrame, prompt_hits: DataFrame) -> DataFrame:
     prompts = prompt_hits.groupBy("query_id", "prompt_id").agg(F.count("*").alias("b"))
     both = prompt_hits.join(hits.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "prompt_id").agg(F.count("*").alias("ab"))
     own = hits.groupBy("query_id").agg(F.count("*").alias("a"))
-    d = prompts.join(own, "query_id", "left").join(both, ["query_id", "prompt_id"], "left")
+    return mean_jaccard(prompts.join(own, "query_id", "left").join(both, ["query_id", "prompt_id"], "left"))
+
+
+def mean_jaccard(counts: DataFrame) -> DataFrame:
+    """(query_id, prompt_jaccard) from (query_id, prompt_id, a, b, ab), as retrieval.shared_hits() counts them: the hits of the
+    query, of the prompt and of both."""
     shared, union = F.coalesce("ab", F.lit(0)), F.coalesce("a", F.lit(0)) + F.col("b") - F.coalesce("ab", F.lit(0))
-    return d.groupBy("query_id").agg(F.avg(F.when(union > 0, shared / union).otherwise(1.0)).alias("prompt_jaccard"))
+    return counts.groupBy("query_id").agg(F.avg(F.when(union > 0, shared / union).otherwise(1.0)).alias("prompt_jaccard"))
 
 
 def signal_diagnostics(statistics: DataFrame, jaccards: DataFrame, least_separation: float = 1.0, least_jaccard: float = 0.25) -> DataFrame:

@@ -147,14 +147,13 @@ def _prompts(v: DataFrame) -> DataFrame:
     return v.where("vec_id % 50 between 1 and 3").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), F.col("vec_id").alias("prompt_id"), "embedding")
 
 
-def _prompt_jaccard(v: DataFrame, hits: DataFrame) -> DataFrame:
+def _prompt_jaccard(v: DataFrame) -> DataFrame:
     prompts = _prompts(v)
-    found = R.exact_topk(prompts.select(F.col("prompt_id").alias("query_id"), "embedding"), v, SHARE).select(F.col("query_id").alias("prompt_id"), "id")
-    return S.prompt_jaccard(hits, found.join(prompts.select("query_id", "prompt_id"), "prompt_id"))
+    return S.mean_jaccard(R.shared_hits(_queries(v), prompts, v, SHARE))
 
 
 def prompt_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompt_jaccard(*_hits(spark, sf_dir)).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
+    return _prompt_jaccard(T.vectors(spark, sf_dir)).withColumn("prompt_jaccard", F.round("prompt_jaccard", 6))
 
 
 def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +164,7 @@ def prompt_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, hits = _hits(spark, sf_dir)
     controls = R.pair_scores(R.sampled_others(hits, _queries(v), v, S.CONTROLS, S.control_order()), _queries(v), v)
-    return S.signal_diagnostics(S.control_statistics(hits, controls), _prompt_jaccard(v, hits))
+    return S.signal_diagnostics(S.control_statistics(hits, controls), _prompt_jaccard(v))
 
 
 def signal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
