@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -17,8 +18,8 @@ from epochlens.functions.base import ranged_ranks, written
 from epochlens.functions.digests import Sha256, resumable
 
 ERROR_COLUMNS = ("error_type", "error_subtype")
-#: Bytes of a file that one task reads for its digest.
-PART_BYTES = 128 << 20
+#: Bytes of a file that one task reads for its digest, and of a record where a file is read in records.
+PART_BYTES, RECORD_BYTES = 128 << 20, 64 << 10
 
 
 def read_corpus_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -91,16 +92,12 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     large = files.where(F.col("length") > PART_BYTES).select("path", "length").collect() if resumable() else []
     if not large:
         return files.select(*digested)
-    parted = [r for r in large if not named_as_compressed(spark, r["path"])]
-    out = files.where(F.col("length") <= PART_BYTES).select(*digested)
-    if packed := [literal_path(r["path"]) for r in large if r not in parted]:
-        out = out.union(spark.read.format("binaryFile").load(packed).select(*digested))
-    if parted:
-        with ThreadPool(min(len(parted), spark.sparkContext.defaultParallelism)) as pool:
-            digests = pool.map(inheritable_thread_target(spark)(lambda r: sha256_in_parts(spark, r["path"], r["length"])), parted, 1)
-        rows = [(r["path"], r["length"], d) for r, d in zip(parted, digests)]
-        out = out.union(spark.createDataFrame(rows, "path string, length bigint, sha256 string").select(base.alias("path"), F.col("length").alias("bytes"), "sha256"))
-    return out
+    digest = lambda r: sha256_in_ranges(spark, *r) if named_as_compressed(spark, r["path"]) else sha256_in_parts(spark, *r)
+    with ThreadPool(min(len(large), spark.sparkContext.defaultParallelism)) as pool:
+        digests = pool.map(inheritable_thread_target(spark)(digest), large, 1)
+    rows = [(*r, d) for r, d in zip(large, digests)]
+    parted = spark.createDataFrame(rows, "path string, length bigint, sha256 string").select(base.alias("path"), F.col("length").alias("bytes"), "sha256")
+    return files.where(F.col("length") <= PART_BYTES).select(*digested).union(parted)
 
 
 def literal_path(path: str) -> str:
@@ -132,7 +129,8 @@ def sha256_in_parts(spark: SparkSession, path: str, length: int) -> str:
 
     The text source gives a file's bytes unchanged, a row a line, but for line feeds, which are put back, and for a byte
     order mark, which it leaves out: so a digest with a mark goes along. The length tells if there was one, and if the
-    last line ended in a line feed.
+    last line ended in a line feed. Reading a line stops after an eighth of a part, and a file with such a line is read in
+    ranges instead, as its line would be one row of one task.
     """
     session = spark.newSession()  # split sizes are settings of a session
     for k, v in spark.conf.getAll.items():
@@ -140,15 +138,19 @@ def sha256_in_parts(spark: SparkSession, path: str, length: int) -> str:
             session.conf.set(k, v)
     session.conf.set("spark.sql.files.maxPartitionBytes", str(PART_BYTES))
     session.conf.set("spark.sql.files.minPartitionNum", "1")
-    text = session.read.text(literal_path(path), lineSep="\n", recursiveFileLookup=True)
+    reader = session.read.option("mapreduce.input.linerecordreader.line.maxlength", PART_BYTES // 8)
+    text = reader.text(literal_path(path), lineSep="\n", recursiveFileLookup=True)
     lines = text.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("at"))
     state, last = (Sha256().state(), Sha256().update(b"\xef\xbb\xbf").state(), 0), -1
     for split in range(lines.rdd.getNumPartitions()):
         after = lines.mapInArrow(lambda batches, s=state: hashed_on(batches, *s), "plain binary, marked binary, size bigint, at bigint")
-        for r in spark.sparkContext.runJob(after.rdd, list, [split]):  # none if a line is longer than the split
-            if r["at"] <= last:
-                raise ValueError(f"the splits of {path} are not in order")
-            state, last = (bytes(r["plain"]), bytes(r["marked"]), r["size"]), r["at"]
+        got = spark.sparkContext.runJob(after.rdd, list, [split])
+        if not got or got[0]["size"] + 4 < min(got[0]["at"] + PART_BYTES, length):  # a mark and a line feed may be missing, else a line
+            return sha256_in_ranges(spark, path, length)
+        r = got[0]
+        if r["at"] <= last:
+            raise ValueError(f"the splits of {path} are not in order")
+        state, last = (bytes(r["plain"]), bytes(r["marked"]), r["size"]), r["at"]
     plain, marked = Sha256(state[0]), Sha256(state[1])
     ends = {0: plain.update(b"\n"), 1: Sha256(state[0]), -3: marked.update(b"\n"), -2: Sha256(state[1])}
     if state[2] - length not in ends:
@@ -156,6 +158,37 @@ def sha256_in_parts(spark: SparkSession, path: str, length: int) -> str:
     return ends[state[2] - length].hexdigest()
 
 
+def hashed_records(records, path: str, state: bytes, size: int) -> tuple[bytes, int]:
+    """The digest's state after a split's records, and the bytes so far."""
+    digest = Sha256(state)
+    for at, data in records:
+        if at != size:
+            raise ValueError(f"the records of {path} are not in order")
+        digest.update(bytes(data))
+        size += len(data)
+    return digest.state(), size
+
+
+def sha256_in_ranges(spark: SparkSession, path: str, length: int) -> str:
+    """As sha256_in_parts, for any bytes: splits are read in records of fixed length.
+
+    Hadoop takes a shorter last record for an error, so the last split is cut into smaller ones, twice, and what is left of
+    the file is read by the byte. The file is mounted under a name without suffix, comma or wildcard, so nothing is unpacked.
+    """
+    mount, hadoop = "digest" + hashlib.sha256(path.encode()).hexdigest()[:32], "org.apache.hadoop"
+    link = {f"fs.viewfs.mounttable.{mount}.link./file": spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()}
+    state, size = Sha256().state(), 0
+    for split, whole in ((PART_BYTES, True), (PART_BYTES >> 4, True), (PART_BYTES >> 8, True), (PART_BYTES >> 8, False)):
+        cut = {f"mapreduce.input.fileinputformat.split.{k}": str(split) for k in ("minsize", "maxsize")}
+        conf = link | cut | {"fixedlengthinputformat.record.length": str(min(RECORD_BYTES, split) if whole else 1)}
+        records = spark.sparkContext.newAPIHadoopFile(f"viewfs://{mount}/file", f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable", conf=conf)
+        for k in range(size // split, records.getNumPartitions() - whole):
+            [(state, size)] = spark.sparkContext.runJob(records, lambda rows, s=(state, size): [hashed_records(rows, path, *s)], [k])
+    if size != length:
+        raise ValueError(f"{path} changed while it was read")
+    return Sha256(state).hexdigest()
+
+
 def checksum_mismatches(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files of the manifest that are missing, outside the root, or of another size or digest."""
     f = found.select("path", F.col("bytes").alias("f_bytes"), F.col("sha256").alias("f_sha"))

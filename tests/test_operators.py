@@ -281,3 +281,23 @@ def test_manifest_inventory_reads_a_split_a_task(spark, monkeypatch):
     found = {r["path"]: r["sha256"] for r in history_queries.manifest_inventory(spark, d).collect()}
     assert found == {n: hashlib.sha256(data + n.encode()).hexdigest() for n in ("lineitem.parquet", "orders.parquet")}
     assert sorted(jobs) == [[i] for i in range(4) for _ in range(2)]
+
+
+def test_inventory_reads_long_lines_and_compressed_names_in_parts(spark, monkeypatch):
+    """No task reads a file of one line, or one named as compressed, as a whole."""
+    d = tempfile.mkdtemp(prefix="spark-ranges-")
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 3_000_001, np.uint8).tobytes()
+    contents = {"run.bin": b"\0" * 3_000_000, "run in lines.csv": noise[:700_000] + b"x" * 1_500_000 + noise[-700_001:], "packed, {a}.gz": noise, "ended.bz2": noise[:2_000_000] + b"\n"}
+    for name, data in contents.items():
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(data)
+    monkeypatch.setattr(files, "PART_BYTES", 256 << 10)
+    sc = spark.sparkContext
+    stages = lambda: {s.stageId(): s for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()))}
+    earlier = set(stages())
+    found = {r["path"]: (r["bytes"], r["sha256"]) for r in files.inventory(spark, d).collect()}
+    assert found == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    read = [s.inputBytes() / s.numTasks() for k, s in stages().items() if k not in earlier]
+    assert len(read) > 40 and 200_000 < max(read) < 600_000
