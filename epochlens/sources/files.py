@@ -144,17 +144,16 @@ def sha256_in_parts(spark: SparkSession, path: str, length: int) -> str:
     state, last = (Sha256().state(), Sha256().update(b"\xef\xbb\xbf").state(), 0), -1
     for split in range(lines.rdd.getNumPartitions()):
         after = lines.mapInArrow(lambda batches, s=state: hashed_on(batches, *s), "plain binary, marked binary, size bigint, at bigint")
-        got = spark.sparkContext.runJob(after.rdd, list, [split])
-        if not got or got[0]["size"] + 4 < min(got[0]["at"] + PART_BYTES, length):  # a mark and a line feed may be missing, else a line
+        for r in spark.sparkContext.runJob(after.rdd, list, [split]):  # none if no line begins in the split
+            if r["at"] <= last:
+                raise ValueError(f"the splits of {path} are not in order")
+            state, last = (bytes(r["plain"]), bytes(r["marked"]), r["size"]), r["at"]
+        if state[2] + 4 < min((split + 1) * PART_BYTES, length):  # more is missing than a mark and a line feed
             return sha256_in_ranges(spark, path, length)
-        r = got[0]
-        if r["at"] <= last:
-            raise ValueError(f"the splits of {path} are not in order")
-        state, last = (bytes(r["plain"]), bytes(r["marked"]), r["size"]), r["at"]
     plain, marked = Sha256(state[0]), Sha256(state[1])
     ends = {0: plain.update(b"\n"), 1: Sha256(state[0]), -3: marked.update(b"\n"), -2: Sha256(state[1])}
     if state[2] - length not in ends:
-        raise ValueError(f"{path} changed while it was read")
+        return sha256_in_ranges(spark, path, length)
     return ends[state[2] - length].hexdigest()
 
 
