@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochlens.functions import text as X
 from epochlens.functions import vectors as V
-from epochlens.functions.base import written
+from epochlens.functions.base import spread, written
 from epochlens.operators import bins as B
 from epochlens.operators import evidence as E
 from epochlens.operators import retrieval as R
@@ -130,16 +130,15 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.score_thresholds(_hits(spark, sf_dir)[1]).select("query_id", F.round("threshold", 6).alias("threshold"), "k")
 
 
-def _lift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    v, hits = _hits(spark, sf_dir)
-    v = v.withColumn("cluster", F.col("vec_id") % 50)
-    d = SW.interval_denominators(v, B.extent_bins(v), physical="vec_id", cluster="cluster", id_col="vec_id")
-    matched = hits.select("query_id", F.col("id").alias("vec_id")).join(v.drop("embedding"), "vec_id")
-    return SW.interval_series(matched, d, hits, SHARE, cluster="cluster", id_col="vec_id"), hits, v
+def _denominators(v: DataFrame) -> DataFrame:
+    return SW.interval_denominators(v, B.extent_bins(v), physical="vec_id", cluster="cluster", id_col="vec_id")
 
 
 def concentration_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _lift(spark, sf_dir)[0]
+    v, hits = _hits(spark, sf_dir)
+    v = v.withColumn("cluster", F.col("vec_id") % 50)
+    matched = hits.select("query_id", F.col("id").alias("vec_id")).join(v.drop("embedding"), "vec_id")
+    p = SW.interval_series(matched, _denominators(v), hits, SHARE, cluster="cluster", id_col="vec_id")
     return p.select("query_id", "bin_index", "bin_key", F.round("hit_mass", 6).alias("hit_mass"), F.round("share", 7).alias("share"), F.round("lift", 6).alias("lift"), "object_count", "cluster_count")
 
 
@@ -173,8 +172,15 @@ def signal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, hits, v = _lift(spark, sf_dir)
-    return E.evidence_slices(hits, _queries(v), v, S.peak_bins(points), "vec_id")
+    """From the place of each query's last hit: the hits grow with the square of the rows, so they are weighed where the rows are."""
+    v = T.vectors(spark, sf_dir)
+    corpus, c, queries = (written(spread(d), "corpus") for d in (v.select(F.col("vec_id").alias("id"), "embedding"), E.dated(v, "vec_id"), _queries(v)))
+    n, bound = R.largest_score(queries, corpus)
+    places = R.last_places(queries, corpus, R.retrieval_size(n, SHARE), bound).join(queries, "query_id")
+    places = written(places.select("query_id", "embedding", F.col("score").alias("below"), F.col("last_id").alias("below_id")), "places")
+    mass = R.hit_mass(places, c, bound).withColumns({x: F.lit(None).cast("long") for x in "oc"})  # a peak takes no counts
+    points = S.points_of_mass(mass, _denominators(v.withColumn("cluster", F.col("vec_id") % 50)), places, SHARE)
+    return E.slices_at(places, c, S.peak_bins(points), bound)
 
 
 def evidence_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
