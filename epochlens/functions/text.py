@@ -39,6 +39,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0))
 
 
+def token_text(c: Column) -> Column:
+    """tokens() as one text with single blanks between."""
+    return F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " "))
+
+
 _VOWELS = "aeiou"
 # Suffixes of the Porter algorithm with what replaces them, by step.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log", "bli": "ble"}

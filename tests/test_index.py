@@ -296,3 +296,29 @@ def test_a_phrase_of_common_words_costs_no_list_a_term(spark):
     assert {(r["query_id"], r["id"]): r["n_hits"] for r in hits.collect()} == {(q, i): 2 for q in range(200) for i in range(60)}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and plan.count("Generate explode") == 1
+
+
+@pytest.mark.parametrize("texts, tokens, most", [(4000, 2_000_000, 200_000), (7, 60, 200_000), (7, 60, 0)])
+def test_a_word_has_one_row_a_block(spark, monkeypatch, texts, tokens, most):
+    """Blocks of any size, phrases with and without codes, a query of two phrases, and texts of more than 2^16 words."""
+    monkeypatch.setattr(textindex, "TEXTS", texts)
+    monkeypatch.setattr(textindex, "TOKENS", tokens)
+    monkeypatch.setattr(textindex, "BROADCAST_ROWS", most)
+    rng = random.Random(5)
+    rows = [(f"r{i % 150}", " ".join(rng.choice("abcd") for _ in range(rng.randrange(30)))) for i in range(200)]
+    rows += [("long", "a b " * 40_000 + "c d a"), ("no", ""), ("none", None)]
+    d = spark.createDataFrame(rows + rows[:40], "id string, body string")  # rows that are there twice count once
+    index = textindex.TextIndex(spark, new_path(spark, "index"), buckets=3)
+    index.append(d, "id", ["body"])
+    blocks = index.postings().select("block").distinct().count()
+    assert index.postings().where("word = 'a'").count() <= blocks <= 4 if texts == 4000 else blocks > 25
+    assert index.postings().where("word is null").count() == blocks
+    index.append(d.where("id > 'r5'"), "id", ["body"])  # again, in other blocks
+    terms = [(1, "a"), (2, "a b"), (2, "b a"), (3, "c d a"), (4, "b c d a b"), (5, "e"), (6, "a b")]
+    want = Counter()
+    for i, text in set(rows):
+        for q, p in terms:
+            want[q, i] += phrase_count(text, p)
+    got = index.phrases(spark.createDataFrame(terms, "query_id int, normalized string"))
+    assert {(r["query_id"], r["id"]): r["n_hits"] for r in got.collect()} == {k: n for k, n in want.items() if n}
+    assert index.phrases(spark.createDataFrame([(9, "-")], "query_id int, normalized string")).count() == 0
